@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def flagged(flags: dict[str, Column]) -> Column:
     return F.concat_ws(",", *[F.when(flag, F.lit(name)) for name, flag in flags.items()])
 
 
+def any_of(flags: dict[str, Column]) -> Column:
+    """True when at least one flag is."""
+    return reduce(Column.__or__, flags.values())
+
+
 def is_blank(value: Column) -> Column:
     return value.isNull() | (value == "")
 

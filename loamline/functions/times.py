@@ -7,13 +7,14 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Extended ISO form that Spark's own parser reads; the common case.
+# The common form: extended ISO date, optionally with a time and a zone.
 _PLAIN_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?$"
-# Every calendar or week form of ISO 8601, extended or basic, with any one-character separator.
-_DATE = r"(?:(\d{4})-(\d{2})-(\d{2})|(\d{4})(\d{2})(\d{2})|(\d{4})-?W(\d{2})(?:-?([1-7]))?)"
-_CLOCK = r"(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,]\d+)?)?)?"
-_ZONE = r"(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2}(?:\.\d+)?)?)?)?"
-_ANY_ISO = rf"^{_DATE}(?:.{_CLOCK}{_ZONE})?$"
+# All forms: calendar or week date, extended or basic, any one-character separator before the time.
+_DATE = r"(\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-W\d{2}(-[1-7])?|\d{4}W\d{2}[1-7]?)"
+_HOUR, _SIXTY = r"([01]\d|2[0-3])", r"[0-5]\d"
+_CLOCK = (rf"{_HOUR}((:{_SIXTY}(:{_SIXTY}([.,]\d+)?)?)?|({_SIXTY}({_SIXTY}([.,]\d+)?)?)?)")
+_ZONE = rf"(Z|[+-]{_HOUR}(:?{_SIXTY}(:?{_SIXTY}(\.\d+)?)?)?)?"
+_ANY_ISO = rf"^{_DATE}(.{_CLOCK}{_ZONE})?$"
 
 
 def as_of_column(as_of: dt.datetime | str | Column | None) -> Column:
@@ -33,21 +34,19 @@ def parse_event_time(text: Column) -> Column:
 
 
 def is_iso_timestamp(text: Column) -> Column:
-    """True for text in any ISO 8601 date or date-time form that names a real day and time."""
-    plain = F.when(text.rlike(_PLAIN_ISO), F.try_to_timestamp(text))
-
-    def part(*groups: int) -> Column:
-        return F.coalesce(*[F.nullif(F.regexp_extract(text, _ANY_ISO, g), F.lit("")) for g in groups])
-
-    day = F.try_to_date(F.concat_ws("-", part(1, 4), part(2, 5), part(3, 6)), "yyyy-MM-dd")
-    # Week 53 exists only where 28 December lies in it.
-    last_week = F.weekofyear(F.try_to_date(F.concat(part(7), F.lit("-12-28")), "yyyy-MM-dd"))
-    week = part(8).cast("int")
-    hour, minute, second = (F.coalesce(part(g).cast("int"), F.lit(0)) for g in (10, 11, 12))
-    general = (text.rlike(_ANY_ISO)
-               & (day.isNotNull() | ((week >= 1) & (week <= last_week)))
-               & (hour < 24) & (minute < 60) & (second < 60))
-    return F.coalesce(plain.isNotNull() | general, F.lit(False))
+    """True for text in any ISO 8601 date or date-time form that names a real day and time.
+
+    The common form is decided first; the other forms are looked at only where it does not match.
+    """
+    plain = text.rlike(_PLAIN_ISO) & F.try_to_timestamp(text).isNotNull()
+    calendar = F.try_to_date(F.regexp_replace(
+        F.substring(text, 1, 10), r"^(\d{4})-?(\d{2})-?(\d{2}).*$", "$1-$2-$3")).isNotNull()
+    # Week 53 exists only in years whose 28 December lies in it.
+    last_day = F.try_to_date(F.concat(F.substring(text, 1, 4), F.lit("-12-28")))
+    week = (text.rlike(r"^\d{4}-?W(0[1-9]|[1-4]\d|5[0-2])")
+            | (text.rlike(r"^\d{4}-?W53") & (F.weekofyear(last_day) == 53)))
+    general = text.rlike(_ANY_ISO) & F.when(text.substr(5, 2).contains("W"), week).otherwise(calendar)
+    return F.when(plain, True).otherwise(F.coalesce(general, F.lit(False)))
 
 
 def boundaries_crossed(unit: str, start: Column, end: Column) -> Column:

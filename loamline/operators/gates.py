@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loamline.contract import TELEMETRY, Contract
 from loamline.functions.numbers import outside
-from loamline.functions.texts import flagged, reason_family
+from loamline.functions.texts import any_of, flagged, reason_family
 from loamline.operators.parsing import once
 
 
@@ -19,14 +19,14 @@ def quality_verdict(contract: Contract = TELEMETRY, ingest_time: str = "kafka_ts
     """The first gate a record fails, NULL if it passes all."""
     event, ingest = F.col(contract.event_time), F.col(ingest_time)
     unreadable = F.coalesce(*[F.col(c).cast("string") for c in contract.identity]).isNull()
-    absent = flagged({c: F.col(c).isNull() for c in contract.required})
-    beyond = flagged({c: outside(F.col(c), lo, hi) for c, (lo, hi) in contract.ranges.items()})
+    absent = {c: F.col(c).isNull() for c in contract.required}
+    beyond = {c: outside(F.col(c), lo, hi) for c, (lo, hi) in contract.ranges.items()}
     ahead = event > ingest + F.expr(f"INTERVAL {contract.max_ahead}")
     stale = event < ingest - F.expr(f"INTERVAL {contract.max_age}")
     return (
         F.when(unreadable, F.lit("unparseable_payload"))
-        .when(absent != "", F.concat(F.lit("completeness:"), absent))
-        .when(beyond != "", F.concat(F.lit("range:"), beyond))
+        .when(any_of(absent), F.concat(F.lit("completeness:"), flagged(absent)))
+        .when(any_of(beyond), F.concat(F.lit("range:"), flagged(beyond)))
         .when(ahead, F.lit("plausibility:future_ts"))
         .when(stale, F.lit("plausibility:stale_ts"))
     )

@@ -64,7 +64,7 @@ def device_dimension(stg: DataFrame, as_of=None) -> DataFrame:
     """One row per device.
 
     Built on daily rows: the readings pass through a hash aggregate with numeric buffers, and the
-    text maxima and the distinct day count see only the small daily table.
+    text maxima and the set of days (no larger than the history is long) see only the daily table.
     """
     per_device = device_days(stg).groupBy("device_id").agg(
         F.max("site_id").alias("site_id"),
@@ -72,7 +72,7 @@ def device_dimension(stg: DataFrame, as_of=None) -> DataFrame:
         F.min("first_at").alias("first_seen_at"),
         F.max("last_at").alias("last_seen_at"),
         F.sum("readings").alias("total_readings"),
-        F.countDistinct("measured_date").alias("active_days"),
+        F.size(F.collect_set("measured_date")).alias("_days"),
         F.min("battery").alias("_battery"),
         F.sum(F.col("moisture_sum").cast("decimal(38,0)")).alias("_sum"),
         F.sum("moisture_n").alias("_n"),
@@ -83,7 +83,7 @@ def device_dimension(stg: DataFrame, as_of=None) -> DataFrame:
         "device_id", "site_id", "fw_version", "first_seen_at", "last_seen_at",
         boundaries_crossed("minute", F.col("last_seen_at"), as_of_column(as_of))
         .alias("minutes_since_last_reading"),
-        "total_readings", "active_days",
+        "total_readings", F.col("_days").cast("bigint").alias("active_days"),
         round_exact(F.col("_battery"), 3).alias("min_battery_v"),
         mean_of(F.col("_sum"), F.col("_n"), 2).alias("avg_soil_moisture_pct"),
         round_exact(F.col("_low"), 2).alias("min_soil_moisture_pct"),

@@ -10,19 +10,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamline.contract import TELEMETRY, Contract
-from loamline.functions.texts import flagged, is_blank, reason_family
+from loamline.functions.texts import any_of, flagged, is_blank, reason_family
 from loamline.functions.times import is_iso_timestamp
 from loamline.operators.parsing import once
 
 
+# Number words that are not JSON but that common producers write and common parsers read.
+_NON_FINITE = r"(?<=[:\[,\s])(NaN|-?Infinity)(?=[,\]}\s])"
+
+
 def _sole_json_value(text: Column) -> Column:
     """The text as an array ``[value, length]``, NULL if it is not JSON.
 
     The parser stops after the first value, so trailing garbage would go unseen. Closing the array
     with the text's own length makes anything but exactly one value show up.
     """
-    size = F.length(text).cast("string")
-    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), size, F.lit("]")))
+    def parse(body: Column) -> Column:
+        size = F.length(text).cast("string")
+        return F.try_parse_json(F.concat(F.lit("["), body, F.lit(","), size, F.lit("]")))
+
+    lenient = F.when(text.rlike("NaN|Infinity"), parse(F.regexp_replace(text, _NON_FINITE, "null")))
+    return F.coalesce(parse(text), lenient)
 
 
 def check_structure(messages: DataFrame, contract: Contract = TELEMETRY,
@@ -30,29 +38,27 @@ def check_structure(messages: DataFrame, contract: Contract = TELEMETRY,
     """Add ``record_key`` (device, where readable) and ``reject_reason`` (NULL = accepted)."""
     text = F.col(value).cast("string")
     sound = F.when(F.is_valid_utf8(text), text)
-    read = once(messages, _json=_sole_json_value(sound), _length=F.length(sound))
+    read = messages.withColumn("_text", sound).withColumns(
+        {"_json": _sole_json_value(F.col("_text")), "_length": F.length("_text")})
 
     def at(path: str, kind: str) -> Column:
         return F.try_variant_get("_json", path, kind)
 
-    fields = read.select(
-        "*",
-        F.inline(F.array(F.struct(
-            (at("$[1]", "int").eqNullSafe(F.col("_length"))
-             & at("$[2]", "variant").isNull()).alias("_readable"),
-            at("$[0]", "map<string,variant>").isNotNull().alias("_object"),
-            *[at(f"$[0].{name}", "string").alias(f"_{name}") for name in contract.structural],
-        ))),
-    )
-    missing = flagged({n: is_blank(F.col(f"_{n}")) for n in contract.structural})
+    # Only an object can be read as a struct, so a NULL record is some other JSON value.
+    record = ", ".join(f"{name}: string" for name in contract.structural)
+    fields = read.withColumns({
+        "_readable": at("$[1]", "int").eqNullSafe(F.col("_length")) & at("$[2]", "variant").isNull(),
+        "_record": at("$[0]", f"struct<{record}>"),
+    })
+    missing = {n: is_blank(F.col("_record")[n]) for n in contract.structural}
     reason = (
         F.when(~F.col("_readable"), F.lit("invalid_json:not one JSON value"))
-        .when(~F.col("_object"), F.lit("not_an_object"))
-        .when(missing != "", F.concat(F.lit("missing_fields:"), missing))
-        .when(~is_iso_timestamp(F.col(f"_{contract.event_time}")), F.lit("unparseable_ts"))
+        .when(F.col("_record").isNull(), F.lit("not_an_object"))
+        .when(any_of(missing), F.concat(F.lit("missing_fields:"), flagged(missing)))
+        .when(~is_iso_timestamp(F.col("_record")[contract.event_time]), F.lit("unparseable_ts"))
     )
-    device = F.col(f"_{contract.entity}")
-    key = F.when(F.col("_readable") & F.col("_object") & ~is_blank(device), device)
+    device = F.col("_record")[contract.entity]
+    key = F.when(F.col("_readable") & ~is_blank(device), device)
     return once(fields, record_key=key, reject_reason=reason).select(
         *messages.columns, "record_key", "reject_reason")
 

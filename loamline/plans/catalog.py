@@ -16,7 +16,7 @@ from loamline.operators import (
 )
 from loamline.plans import event_feed
 from loamline.session import prepare, scratch_dir
-from loamline.sources.lake import load_hourly, read_lake
+from loamline.sources.lake import load_hourly, materialize, read_lake, write_partitioned
 from loamline.sources.state_table import DeviceStateTable
 from loamline.streaming.job import judged, start_file_sink
 from loamline.streaming.progress import progress_table
@@ -138,8 +138,18 @@ def duplicate_keys(spark, sf):
     return passed.unionByName(kept)
 
 
+def built_marts(spark, sf):
+    """Clean lake, fact and dimension as written tables, so that later readers do not start from JSON."""
+    root = scratch_dir(prepare(spark), "marts")
+    write_partitioned(clean(spark, sf), f"{root}/telemetry", CLEAN_PARTITIONS)
+    view = marts.staging(read_lake(spark, f"{root}/telemetry", CLEAN_SCHEMA))
+    return (view, materialize(marts.hourly_facts(view), f"{root}/fct_readings_hourly"),
+            materialize(marts.device_dimension(view, AS_OF), f"{root}/dim_devices"))
+
+
 def mart_validation(spark, sf):
-    df = checks.mart_validation(facts(spark, sf), dims(spark, sf), "2024-02-05 00:00:00")
+    _, fact, dim = built_marts(spark, sf)
+    df = checks.mart_validation(fact, dim, "2024-02-05 00:00:00")
     return df.withColumn("problems", F.concat_ws("; ", "problems"))
 
 
@@ -171,9 +181,10 @@ def check_accepted_range(spark, sf):
 
 
 def check_summary(spark, sf):
-    return (checks.run_checks(stg(spark, sf), checks.STAGING_CHECKS)
-            .unionByName(checks.run_checks(facts(spark, sf), checks.FACT_CHECKS))
-            .unionByName(checks.run_checks(dims(spark, sf), checks.DEVICE_CHECKS)))
+    view, fact, dim = built_marts(spark, sf)
+    return (checks.run_checks(view, checks.STAGING_CHECKS)
+            .unionByName(checks.run_checks(fact, checks.FACT_CHECKS))
+            .unionByName(checks.run_checks(dim, checks.DEVICE_CHECKS)))
 
 
 def history_summary(spark, sf):
@@ -209,11 +220,12 @@ def silent_devices(spark, sf):
 
 
 def fleet_status(spark, sf):
-    passed = gates.passing(checked(spark, sf))
+    """Three frames from one state; the battery frame lists weak ones only, so the join has gaps."""
+    now = newest(spark, sf)
     return monitoring.fleet_status(
-        monitoring.silence_seconds(state.latest_state(passed), AS_OF),
-        state.last_known(passed, "soil_moisture_pct"),
-        state.last_known(passed.filter(F.col("battery_v") < 3.9), "battery_v"))
+        monitoring.silence_seconds(now, AS_OF),
+        now.filter(F.col("soil_moisture_pct").isNotNull()).select("device_id", "soil_moisture_pct"),
+        now.filter(F.col("battery_v") < 3.9).select("device_id", "battery_v"))
 
 
 # --- features, split, scores ---------------------------------------------------------------------

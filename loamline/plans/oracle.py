@@ -321,16 +321,12 @@ ORACLE: dict[str, str] = {
              WHEN status = 'online' THEN 'ghost' ELSE 'unknown' END AS "class"
         FROM (SELECT device_id, site_id, round_even((epoch_us({AS_OF}) - epoch_us(ts)) / 60000000.0::double, 1)
               AS age_minutes FROM newest) LEFT JOIN (SELECT device_id, status FROM status) USING (device_id)"""),
-    "fleet_status": _query(("newest", "passed"), f"""
+    "fleet_status": _query("newest", f"""
         SELECT device_id, site_id, silence_s, {_ALARM} AS severity, soil_moisture_pct, battery_v
         FROM (SELECT device_id, site_id,
                      cast(floor((epoch_us({AS_OF}) - epoch_us(ts)) / 1000000.0::double) AS bigint) AS silence_s FROM newest)
-        FULL JOIN (SELECT device_id, soil_moisture_pct FROM passed WHERE soil_moisture_pct IS NOT NULL
-              QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY ts DESC, kafka_offset, kafka_partition) = 1)
-              USING (device_id)
-        FULL JOIN (SELECT device_id, battery_v FROM passed WHERE battery_v < 3.9
-              QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY ts DESC, kafka_offset, kafka_partition) = 1)
-              USING (device_id)"""),
+        FULL JOIN (SELECT device_id, soil_moisture_pct FROM newest WHERE soil_moisture_pct IS NOT NULL) USING (device_id)
+        FULL JOIN (SELECT device_id, battery_v FROM newest WHERE battery_v < 3.9) USING (device_id)"""),
     "features": _query("feat", "SELECT * FROM feat"),
     "next_hour_match": _query("feat", """SELECT f.device_id, f.site_id, f.hour_start, f.needs_irrigation_next_hour,
         n.min_soil_moisture_pct AS observed_min,
