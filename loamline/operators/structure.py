@@ -47,7 +47,8 @@ def check_structure(messages: DataFrame, contract: Contract = TELEMETRY,
     # Only an object can be read as a struct, so a NULL record is some other JSON value.
     record = ", ".join(f"{name}: string" for name in contract.structural)
     fields = read.withColumns({
-        "_readable": at("$[1]", "int").eqNullSafe(F.col("_length")) & at("$[2]", "variant").isNull(),
+        "_readable": F.coalesce(at("$[1]", "int") == F.col("_length"), F.lit(False))
+                     & at("$[2]", "variant").isNull(),
         "_record": at("$[0]", f"struct<{record}>"),
     })
     missing = {n: is_blank(F.col("_record")[n]) for n in contract.structural}
