@@ -19,7 +19,7 @@ from loamline.session import prepare, scratch_dir
 from loamline.sources.lake import load_hourly, materialize, read_lake, write_partitioned
 from loamline.sources.state_table import DeviceStateTable
 from loamline.streaming.job import judged, start_file_sink
-from loamline.streaming.progress import progress_table
+from loamline.streaming.progress import RULES, progress_table, with_gate_counts
 
 AS_OF = "2024-01-30 18:00:00"
 SF_COLUMNS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -320,12 +320,14 @@ def stream_state(spark, sf):
 
 
 def progress_log(spark, sf):
+    """What the clean stream reported about itself, summed over its micro-batches."""
     root = scratch_dir(prepare(spark), "progress")
-    records = gates.clean_records(judged(event_feed.messages(events_stream(spark, sf))))
-    query = start_file_sink(records, "clean", f"{root}/telemetry", CLEAN_PARTITIONS, f"{root}/ckpt",
-                            every=None)
+    checked_stream = with_gate_counts(judged(event_feed.messages(events_stream(spark, sf))))
+    query = start_file_sink(gates.clean_records(checked_stream), "clean", f"{root}/telemetry",
+                            CLEAN_PARTITIONS, f"{root}/ckpt", every=None)
     query.awaitTermination()
-    return progress_table(spark, [query])
+    counted = ["input_rows", "dropped_rows", "passing_rows", *[f"{r}_rows" for r in RULES]]
+    return progress_table(spark, [query]).groupBy("query").agg(*[F.sum(c).alias(c) for c in counted])
 
 
 # --- models --------------------------------------------------------------------------------------

@@ -375,4 +375,8 @@ ORACLE: dict[str, str] = {
     "seen_recently": _query("newest", f"SELECT count(*) AS devices FROM newest WHERE epoch_us({AS_OF}) - epoch_us(ts) < 14400000000"),
     "stream_clean": _query("clean", "SELECT * EXCLUDE (kafka_partition, kafka_offset) FROM clean"),
     "stream_state": _query("newest", f"SELECT {_STATE} FROM newest"),
+    "progress_log": _query("checked", """SELECT 'clean' AS query, (SELECT count(*) FROM events) AS input_rows,
+        0::bigint AS dropped_rows, count(*) FILTER (WHERE quality_reason IS NULL) AS passing_rows, """ + ", ".join(
+        f"count(*) FILTER (WHERE split_part(quality_reason, ':', 1) = '{r}') AS {r}_rows"
+        for r in ("unparseable_payload", "completeness", "range", "plausibility")) + " FROM checked"),
 }

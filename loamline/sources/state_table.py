@@ -2,28 +2,32 @@
 
 Parquet has no conditional update, and rewriting the state of a whole fleet for each micro-batch
 would cost as much as the fleet is large. A batch therefore writes only its own devices, into a
-folder named after the batch, so a replayed batch overwrites itself. Readers merge base and deltas;
-``compact`` folds them. The merge keeps the strictly newest row per device, and among equal times the
-one of the earlier batch, so its result does not depend on when it is done.
+folder named after the batch, so a replayed batch overwrites itself. Readers merge the newest base
+with the deltas written after it; ``compact`` folds them into the next base, and readers no longer
+list the folded ones. The merge keeps the strictly newest row per device, and among equal times the
+one of the earlier batch, so its result does not depend on when it is done. There is one writer, the
+streaming query; readers in other sessions see either the old or the new base, both complete.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.contract import TELEMETRY, Contract
 from loamline.operators.state import keep_newest, latest_state
+from loamline.sources.lake import read_lake
 
 
 class DeviceStateTable:
     """Latest record per device below a root folder."""
 
-    def __init__(self, spark: SparkSession, root: str, contract: Contract = TELEMETRY):
+    def __init__(self, spark: SparkSession, root: str, contract: Contract = TELEMETRY,
+                 compact_every: int | None = None):
         self.spark, self.root, self.contract = spark, root.rstrip("/"), contract
+        self.compact_every = compact_every
         kinds = {**contract.columns, contract.event_time: "timestamp"}
         names = [contract.entity, contract.site, contract.event_time, *contract.measures]
         ddl = ", ".join(f"{n} {kinds[n]}" for n in names)
@@ -33,47 +37,37 @@ class DeviceStateTable:
         """Store one micro-batch of passing records; the signature ``foreachBatch`` calls."""
         stamp = F.lit(now).cast("timestamp") if now else F.current_timestamp()
         newest = latest_state(batch, self.contract).withColumn("updated_at", stamp)
-        newest.write.mode("overwrite").parquet(f"{self.root}/deltas/batch_id={batch_id}")
+        newest.write.mode("overwrite").parquet(
+            f"{self._delta_root(self._base_batch())}/batch_id={batch_id}")
+        if self.compact_every and (batch_id + 1) % self.compact_every == 0:
+            self.compact()
 
     def read(self) -> DataFrame:
-        """The state now: newest base with every later delta, one row per device."""
+        """The state now, one row per device."""
         return self._merged(self._base_batch()).drop("batch_id")
 
     def compact(self) -> int | None:
-        """Fold all deltas into a new base and publish it with one appended row."""
+        """Fold the deltas into a new base and publish it with one appended row."""
         base = self._base_batch()
-        through = self._deltas(base).agg(F.max("batch_id")).first()[0]
-        if through is None:
+        through = read_lake(self.spark, self._delta_root(base), self._columns).agg(F.max("batch_id")).first()[0]
+        if through is None or through == base:
             return base
-        # Deltas that arrive meanwhile have a higher number and stay outside.
-        merged = self._merged(base, through)
-        merged.write.mode("overwrite").parquet(f"{self.root}/base/through={through}")
+        self._merged(base).write.mode("overwrite").parquet(f"{self.root}/base/through={through}")
         (self.spark.createDataFrame([(through,)], "through bigint").coalesce(1)
          .write.mode("append").parquet(f"{self.root}/published"))
         return through
 
     def _base_batch(self) -> int | None:
-        published = self._read(f"{self.root}/published", "through bigint")
+        published = read_lake(self.spark, f"{self.root}/published", "through bigint")
         return published.agg(F.max("through")).first()[0]
 
-    def _deltas(self, base: int | None) -> DataFrame:
-        deltas = self._read(f"{self.root}/deltas", self._columns)
-        return deltas if base is None else deltas.filter(F.col("batch_id") > base)
+    def _delta_root(self, base: int | None) -> str:
+        return f"{self.root}/deltas/after={'start' if base is None else base}"
 
-    def _merged(self, base: int | None, through: int | None = None) -> DataFrame:
-        rows = self._deltas(base)
-        if through is not None:
-            rows = rows.filter(F.col("batch_id") <= through)
+    def _merged(self, base: int | None) -> DataFrame:
+        rows = read_lake(self.spark, self._delta_root(base), self._columns)
         if base is not None:
             stored = self.spark.read.schema(self._columns).parquet(f"{self.root}/base/through={base}")
             rows = stored.unionByName(rows)
         order = F.struct(self.contract.event_time, -F.col("batch_id"))
         return keep_newest(rows, self.contract.entity, order)
-
-    def _read(self, path: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).option("basePath", path).parquet(path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)

@@ -12,10 +12,13 @@ from loamline.contract import CLEAN_PARTITIONS, QUARANTINE_PARTITIONS, TELEMETRY
 from loamline.operators.gates import apply_gates, clean_records, passing, quarantined_records
 from loamline.operators.parsing import parse_messages
 from loamline.sources.state_table import DeviceStateTable
+from loamline.streaming.progress import with_gate_counts
 
 # Fixed processing-time triggers.
 FILE_TRIGGER = "30 seconds"
 STATE_TRIGGER = "15 seconds"
+# State deltas are folded once per hour of such batches.
+COMPACT_EVERY = 240
 
 
 @dataclass(frozen=True)
@@ -86,17 +89,18 @@ def start_pipeline(messages: DataFrame, paths: Paths, contract: Contract = TELEM
     """Start the queries; ``every=None`` processes what is available and stops.
 
     Clean and quarantine are plain file sinks. State and monitor are optional and use foreachBatch.
+    The clean query counts the verdicts of each micro-batch on its way.
     """
     checked = judged(messages, contract)
     bad = quarantined_records(checked, contract)
     queries = {
-        "clean": start_file_sink(clean_records(checked, contract), "clean", paths.clean,
-                                 CLEAN_PARTITIONS, paths.checkpoints, every),
+        "clean": start_file_sink(clean_records(with_gate_counts(checked), contract), "clean",
+                                 paths.clean, CLEAN_PARTITIONS, paths.checkpoints, every),
         "quarantine": start_file_sink(bad, "quarantine", paths.quarantine,
                                       QUARANTINE_PARTITIONS, paths.checkpoints, every),
     }
     if with_state:
-        table = DeviceStateTable(messages.sparkSession, paths.state, contract)
+        table = DeviceStateTable(messages.sparkSession, paths.state, contract, COMPACT_EVERY)
         queries["device-state"] = start_state_sink(
             passing(checked), table, paths.checkpoints, every and STATE_TRIGGER)
     if with_monitor:

@@ -6,18 +6,40 @@ import datetime as dt
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.listener import StreamingQueryProgress
 
+from loamline.functions.texts import reason_family
+from loamline.sources.lake import read_lake
+
+# The rules a verdict can name.
+RULES = ("unparseable_payload", "completeness", "range", "plausibility")
+_COUNTED = ("passing_rows", *(f"{rule}_rows" for rule in RULES))
+_OBSERVATION = "gates"
+
 PROGRESS_SCHEMA = (
     "query string, run_id string, batch_id bigint, batch_time timestamp, input_rows bigint, "
-    "output_rows bigint, dropped_rows bigint, watermark string, duration_ms bigint"
+    "output_rows bigint, dropped_rows bigint, watermark string, duration_ms bigint, "
+    + ", ".join(f"{name} bigint" for name in _COUNTED)
 )
 
 
+def with_gate_counts(checked: DataFrame) -> DataFrame:
+    """Count verdicts while a micro-batch runs, passing rows with their copies and rejections by rule.
+
+    The counts arrive with the progress of the batch, so a batch that is tried again is not counted
+    twice, and no second pass over the data is made.
+    """
+    rule = reason_family(F.col("quality_reason"))
+    counts = [F.count_if(F.col("quality_reason").isNull()), *[F.count_if(rule == r) for r in RULES]]
+    return checked.observe(_OBSERVATION, *[c.alias(n) for c, n in zip(counts, _COUNTED)])
+
+
 def progress_row(progress: StreamingQueryProgress) -> tuple:
     """One micro-batch; output rows are NULL where the sink does not report them."""
     written = progress.sink.numOutputRows
+    observed = progress.observedMetrics.get(_OBSERVATION)
     return (
         progress.name, str(progress.runId), progress.batchId,
         dt.datetime.fromisoformat(progress.timestamp.replace("Z", "+00:00")),
@@ -26,6 +48,7 @@ def progress_row(progress: StreamingQueryProgress) -> tuple:
         sum(op.numRowsDroppedByWatermark for op in progress.stateOperators),
         (progress.eventTime or {}).get("watermark"),
         progress.batchDuration,
+        *[observed[name] if observed else None for name in _COUNTED],
     )
 
 
@@ -36,9 +59,12 @@ def progress_table(spark: SparkSession, queries: Iterable[StreamingQuery]) -> Da
 
 
 def append_progress(table: DataFrame, path: str) -> None:
-    """Add rows to the log, one folder per run so that overlapping reads of a run replace each other."""
-    (table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("query", "run_id", "batch_id").parquet(path))
+    """Add the micro-batches that the log does not hold yet, so overlapping reads do no harm."""
+    logged = read_lake(table.sparkSession, path, PROGRESS_SCHEMA).groupBy("query", "run_id").agg(
+        F.max("batch_id").alias("_last"))
+    new = table.join(logged, ["query", "run_id"], "left").filter(
+        F.col("_last").isNull() | (F.col("batch_id") > F.col("_last")))
+    new.select(*table.columns).coalesce(1).write.mode("append").parquet(path)
 
 
 class ProgressListener(StreamingQueryListener):

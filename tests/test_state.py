@@ -75,6 +75,16 @@ def test_table_goes_on_after_compaction(spark, table):
     assert content(table.read()) == want
 
 
+def test_a_batch_replayed_after_compaction_changes_nothing(spark, tmp_path):
+    table = DeviceStateTable(spark, str(tmp_path / "s"), compact_every=2)
+    batches = [rows(spark, ("a", f"2026-01-01T1{i}:00:00", float(i), i)) for i in range(5)]
+    for number, batch in enumerate(batches):
+        table.apply(batch, number)
+        table.apply(batch, number)
+    assert content(table.read()) == {"a": ("14:00", 4.0)}
+    assert (tmp_path / "s" / "base" / "through=3").is_dir()
+
+
 def test_table_equals_one_batch_however_it_is_cut(spark, table):
     df = rows(spark, *[(f"d{i % 3}", f"2026-01-01T{10 + i * 7 % 5}:00:00", float(i), i) for i in range(20)])
     for number in range(5):

@@ -117,6 +117,16 @@ def test_progress_table(spark, topic, tmp_path):
     assert monitoring.watermark_drops(log, late_clock).first()[0] == 0
 
 
+def test_verdicts_are_counted_per_batch(spark, topic):
+    """Passing rows with their copies, rejections by rule, for each micro-batch."""
+    topic.send(at(0), at(0), at(1, soil_moisture_pct=148.0), "x")
+    topic.send(at(0), at(3), at(2, site_id=None))
+    log = progress_table(spark, [topic.drain()["clean"]]).filter("input_rows > 0").orderBy("batch_id")
+    got = [(r["passing_rows"], r["unparseable_payload_rows"], r["completeness_rows"], r["range_rows"],
+            r["plausibility_rows"]) for r in log.collect()]
+    assert got == [(2, 1, 0, 1, 0), (2, 0, 1, 0, 0)]
+
+
 def test_a_hand_made_file_is_hidden_from_the_sink_folder(spark, topic):
     """Why backfills go to a folder of their own."""
     topic.send(at(0))
