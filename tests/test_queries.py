@@ -58,7 +58,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-LAZY = sorted(set(ORACLE) - {"stream_clean", "stream_state", "progress_log", "mart_validation", "check_summary"})
+LAZY = sorted(set(ORACLE) - {"stream_clean", "stream_state", "progress_log", "check_summary"})
 
 
 @pytest.mark.parametrize("name", LAZY)
@@ -78,7 +78,7 @@ def test_features_run_their_input_once(spark):
     df = QUERIES["features"](spark, SF)
     df.collect()
     final = plan_of(df).split("== Initial Plan ==")[0]
-    assert final.count("FileScan parquet") == 1
+    assert final.count("FileScan parquet") == 1, final
     assert "ReusedExchange" in final
 
 

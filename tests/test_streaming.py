@@ -127,6 +127,14 @@ def test_verdicts_are_counted_per_batch(spark, topic):
     assert got == [(2, 1, 0, 1, 0), (2, 0, 1, 0, 0)]
 
 
+def test_a_batch_adds_few_files_to_a_directory(spark, topic):
+    topic.send(*[at(0, device_id=f"d{i}") for i in range(400)])
+    topic.drain()
+    folder = f"{topic.paths.clean}/site_id=site-a/date=2026-08-10"
+    files = [f for f in os.listdir(folder) if f.endswith(".parquet")]
+    assert 1 <= len(files) <= 4 and topic.clean().count() == 400
+
+
 def test_a_hand_made_file_is_hidden_from_the_sink_folder(spark, topic):
     """Why backfills go to a folder of their own."""
     topic.send(at(0))
