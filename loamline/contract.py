@@ -75,6 +75,8 @@ QUARANTINE_SCHEMA = (
 )
 CLEAN_PARTITIONS = ["site_id", "date"]
 QUARANTINE_PARTITIONS = ["quality_rule", "date"]
+DEAD_LETTER_SCHEMA = "key string, value string, family string"
+DEAD_LETTER_PARTITIONS = ["family"]
 
 # Fixed thresholds shared by reports and models.
 DRY_THRESHOLD_PCT = 32.0

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loamline.contract import CLEAN_PARTITIONS, QUARANTINE_PARTITIONS, TELEMETRY, Contract
+from loamline.contract import (
+    CLEAN_PARTITIONS, DEAD_LETTER_PARTITIONS, QUARANTINE_PARTITIONS, TELEMETRY, Contract,
+)
 from loamline.operators.gates import apply_gates, clean_records, passing, quarantined_records
 from loamline.operators.parsing import parse_messages
+from loamline.operators.structure import accepted, check_structure, dead_letters
 from loamline.sources.state_table import DeviceStateTable
 from loamline.streaming.progress import with_gate_counts
 
@@ -38,6 +41,14 @@ class Paths:
     def quarantine(self) -> str:
         return f"{self.lake}/quarantine"
 
+    @property
+    def accepted(self) -> str:
+        return f"{self.lake}/accepted"
+
+    @property
+    def dead_letter(self) -> str:
+        return f"{self.lake}/dead_letter"
+
     @property
     def state(self) -> str:
         return f"{self.lake}/device_state"
@@ -62,10 +73,13 @@ def _writer(df: DataFrame, name: str, checkpoints: str, every: str | None):
 def gathered(df: DataFrame, partitions: list[str], files: int = FILES_PER_DIRECTORY) -> DataFrame:
     """Bring the rows of a directory into a few tasks, so that a micro-batch writes few files.
 
-    Without it every task writes a file into every directory. The offset spreads a directory that
-    gets most of the rows; it is data, so a batch that is tried again is cut the same way.
+    Without it every task writes a file into every directory. A hash of the row spreads a directory
+    that gets most of the rows; being made from data, it is the same when a batch is tried again.
     """
-    return df.repartition(*partitions, F.pmod("kafka_offset", F.lit(files))) if partitions else df
+    if not partitions:
+        return df
+    rest = [c for c in df.columns if c not in partitions]
+    return df.repartition(*partitions, F.pmod(F.xxhash64(*rest), F.lit(files)))
 
 
 def start_file_sink(df: DataFrame, name: str, path: str, partitions: list[str], checkpoints: str,
@@ -75,6 +89,20 @@ def start_file_sink(df: DataFrame, name: str, path: str, partitions: list[str],
             .option("path", path).partitionBy(*partitions).start())
 
 
+def start_router(raw: DataFrame, paths: Paths, contract: Contract = TELEMETRY, *,
+                 every: str | None = FILE_TRIGGER) -> dict[str, StreamingQuery]:
+    """Structural check in front of the pipeline: sound messages on, keyed by device, others to the
+    dead-letter table by reason family."""
+    checked = check_structure(raw, contract)
+    onward = accepted(checked).withColumn("key", F.col("record_key").cast("binary"))
+    return {
+        "accepted": start_file_sink(onward.select(*raw.columns), "accepted", paths.accepted, [],
+                                    paths.checkpoints, every),
+        "dead-letter": start_file_sink(dead_letters(checked), "dead-letter", paths.dead_letter,
+                                       DEAD_LETTER_PARTITIONS, paths.checkpoints, every),
+    }
+
+
 def start_state_sink(df: DataFrame, table: DeviceStateTable, checkpoints: str,
                      every: str | None = STATE_TRIGGER) -> StreamingQuery:
     """Passing records into the device state; no watermark, so late records still arrive."""

@@ -5,12 +5,12 @@ import time
 import pytest
 from conftest import NOON, messages, payload
 
-from loamline.contract import CLEAN_SCHEMA, QUARANTINE_SCHEMA
+from loamline.contract import CLEAN_SCHEMA, DEAD_LETTER_SCHEMA, QUARANTINE_SCHEMA
 from loamline.operators import gates, monitoring
 from loamline.sources.lake import read_lake
 from loamline.sources.messages import read_message_files
 from loamline.sources.state_table import DeviceStateTable
-from loamline.streaming.job import Paths, judged, start_pipeline, write_rule_counts
+from loamline.streaming.job import Paths, judged, start_pipeline, start_router, write_rule_counts
 from loamline.streaming.progress import append_progress, progress_table
 
 MINUTE = dt.timedelta(minutes=1)
@@ -135,6 +135,21 @@ def test_a_batch_adds_few_files_to_a_directory(spark, topic):
     assert 1 <= len(files) <= 4 and topic.clean().count() == 400
 
 
+def test_from_raw_messages_to_the_lake(spark, topic):
+    """A sound message ends in clean, one without a time is stopped in front, an impossible value is
+    let through by the structural check and ends in quarantine."""
+    topic.send(at(0), payload(ts=..., device_id="no-time"), at(1, soil_moisture_pct=148.0), "not json")
+    for query in start_router(read_message_files(spark, topic.path), topic.paths, every=None).values():
+        query.awaitTermination()
+    onward = read_message_files(spark, topic.paths.accepted)
+    for query in start_pipeline(onward, topic.paths, with_state=False, with_monitor=False, every=None).values():
+        query.awaitTermination()
+    assert [r["device_id"] for r in topic.clean().collect()] == ["esp32-01"]
+    assert [r["quality_rule"] for r in topic.quarantine().collect()] == ["range"]
+    letters = read_lake(spark, topic.paths.dead_letter, DEAD_LETTER_SCHEMA).collect()
+    assert {(r["key"], r["family"]) for r in letters} == {("no-time", "missing_fields"), (None, "invalid_json")}
+
+
 def test_a_hand_made_file_is_hidden_from_the_sink_folder(spark, topic):
     """Why backfills go to a folder of their own."""
     topic.send(at(0))
