@@ -5,18 +5,22 @@ Reports that compare with "now" take the fixed instant ``AS_OF``, so both engine
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.contract import CLEAN_PARTITIONS, CLEAN_SCHEMA, TELEMETRY
+from loamline.contract import (
+    CLEAN_PARTITIONS, CLEAN_SCHEMA, DEAD_LETTER_PARTITIONS, DEAD_LETTER_SCHEMA, QUARANTINE_PARTITIONS,
+    QUARANTINE_SCHEMA, TELEMETRY,
+)
 from loamline.operators import (
     checks, features, gates, marts, monitoring, parsing, recalibration, scoring, state, structure,
 )
 from loamline.plans import event_feed
 from loamline.session import prepare, scratch_dir
-from loamline.sources.lake import load_hourly, materialize, read_lake, spread
+from loamline.sources.lake import load_hourly, materialize, read_lake, spread, write_backfill
 from loamline.sources.state_table import DeviceStateTable
 from loamline.streaming.job import judged, start_file_sink
 from loamline.streaming.progress import RULES, progress_table, with_gate_counts
@@ -93,13 +97,17 @@ def structural_verdicts(spark, sf):
         .otherwise(F.col("reject_reason")).alias("verdict"))
 
 
-def dead_letters(spark, sf):
-    df = structure.dead_letters(structured(spark, sf))
+def _opened(letters):
+    """Dead letters with the envelope opened; the reason's detail is left out as above."""
     body = F.from_json("value", "reason string, mqtt_topic string, received_at string, payload string")
-    return df.select("key", "family", F.inline(F.array(body))).select(
+    return letters.select("key", "family", F.inline(F.array(body))).select(
         "key", "family", "mqtt_topic", "received_at", "payload")
 
 
+def dead_letters(spark, sf):
+    return _opened(structure.dead_letters(structured(spark, sf)))
+
+
 def dead_letters_by_family(spark, sf):
     return structure.routing_counts(structured(spark, sf))
 
@@ -223,6 +231,24 @@ def fleet_status(spark, sf):
         now.filter(F.col("battery_v") < 3.9).select("device_id", "battery_v"))
 
 
+def moisture_series(spark, sf):
+    """Last known moisture per device, here among records whose humidity reading failed."""
+    passed = gates.passing(checked(spark, sf))
+    return state.last_known(passed.filter(F.col("air_humidity_pct").isNull()), "soil_moisture_pct")
+
+
+def state_table(spark, sf):
+    """The state kept in three batches with a fold in between, as the stream keeps it."""
+    table = DeviceStateTable(spark, scratch_dir(prepare(spark), "state-table"))
+    passed = gates.passing(checked(spark, sf))
+    day = F.dayofmonth("kafka_ts")
+    for number, part in enumerate((day <= 10, (day > 10) & (day <= 20), day > 20)):
+        table.apply(passed.filter(part), number)
+        if number == 1:
+            table.compact()
+    return table.read().select(*_STATE_OUT)
+
+
 # --- features, split, scores ---------------------------------------------------------------------
 
 def next_hour_match(spark, sf):
@@ -295,11 +321,9 @@ def seen_recently(spark, sf):
 def stream_clean(spark, sf):
     """The clean table written by the stream. Copies of a message differ in offset only, and which
     one a stream keeps is open, so the broker coordinates are left out."""
-    root = scratch_dir(prepare(spark), "stream-clean")
     records = gates.clean_records(judged(event_feed.messages(events_stream(spark, sf))))
-    start_file_sink(records, "clean", f"{root}/telemetry", CLEAN_PARTITIONS, f"{root}/ckpt",
-                    every=None).awaitTermination()
-    return read_lake(spark, f"{root}/telemetry", CLEAN_SCHEMA).drop("kafka_partition", "kafka_offset")
+    table = _drain(records, "clean", CLEAN_SCHEMA, CLEAN_PARTITIONS, spark)
+    return table.drop("kafka_partition", "kafka_offset")
 
 
 def stream_state(spark, sf):
@@ -314,6 +338,32 @@ def stream_state(spark, sf):
     return table.read().select(*_STATE_OUT)
 
 
+def _drain(df, name, schema, partitions, spark):
+    """Stream a frame into a partitioned table until nothing is left, and read the table."""
+    root = scratch_dir(spark, name)
+    start_file_sink(df, name, f"{root}/table", partitions, f"{root}/ckpt", every=None).awaitTermination()
+    return read_lake(spark, f"{root}/table", schema)
+
+
+def stream_quarantine(spark, sf):
+    rejected = gates.quarantined_records(judged(event_feed.messages(events_stream(spark, sf))))
+    return _drain(rejected, "quarantine", QUARANTINE_SCHEMA, QUARANTINE_PARTITIONS, spark)
+
+
+def stream_dead_letters(spark, sf):
+    checked_stream = structure.check_structure(event_feed.messages(events_stream(spark, sf)))
+    table = _drain(structure.dead_letters(checked_stream), "dead-letters", DEAD_LETTER_SCHEMA,
+                   DEAD_LETTER_PARTITIONS, spark)
+    return _opened(table)
+
+
+def backfill_rows(spark, sf):
+    """A backfill written by site and date up to the last midnight, read back."""
+    path = scratch_dir(prepare(spark), "backfill")
+    write_backfill(clean(spark, sf), path, dt.datetime(2024, 1, 20, 15, tzinfo=dt.timezone.utc))
+    return read_lake(spark, path, CLEAN_SCHEMA)
+
+
 def progress_log(spark, sf):
     """What the clean stream reported about itself, summed over its micro-batches."""
     root = scratch_dir(prepare(spark), "progress")
@@ -383,7 +433,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quarantine_pct_10m": lambda spark, sf: monitoring.quarantine_pct(checked(spark, sf)),
     "rule_rate_5m": lambda spark, sf: monitoring.rule_rate(quarantine(spark, sf)),
     "seen_recently": seen_recently,
+    "moisture_series": moisture_series,
+    "state_table": state_table,
+    "backfill_rows": backfill_rows,
     "stream_clean": stream_clean,
+    "stream_quarantine": stream_quarantine,
+    "stream_dead_letters": stream_dead_letters,
     "stream_state": stream_state,
     "progress_log": progress_log,
     "lr_scores": lr_scores,

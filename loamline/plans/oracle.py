@@ -260,12 +260,14 @@ _SUMMARY = " UNION ALL ".join([
             [("unique_dim_devices_device_id", "true")]),
 ])
 
+_LETTERS = """SELECT record_key AS key, split_part(verdict, ':', 1) AS family, topic AS mqtt_topic,
+    strftime(kafka_ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS received_at, raw_value AS payload
+    FROM structured WHERE verdict IS NOT NULL"""
+
 ORACLE: dict[str, str] = {
     "parse_flatten": _query("parsed", "SELECT * FROM parsed"),
     "structural_verdicts": _query("structured", "SELECT kafka_partition, kafka_offset, record_key, verdict FROM structured"),
-    "dead_letters": _query("structured", """SELECT record_key AS key, split_part(verdict, ':', 1) AS family,
-        topic AS mqtt_topic, strftime(kafka_ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS received_at, raw_value AS payload
-        FROM structured WHERE verdict IS NOT NULL"""),
+    "dead_letters": _query("structured", _LETTERS),
     "dead_letters_by_family": _query("structured", """SELECT
         CASE WHEN verdict IS NULL THEN 'forwarded' ELSE 'dead_lettered' END AS result,
         coalesce(split_part(verdict, ':', 1), 'none') AS family, count(*) AS messages FROM structured GROUP BY ALL"""),
@@ -373,6 +375,13 @@ ORACLE: dict[str, str] = {
               FROM checked GROUP BY 1)"""),
     "rule_rate_5m": _query("quarantine", _rate("quarantine", "kafka_ts", 5, "quality_rule")),
     "seen_recently": _query("newest", f"SELECT count(*) AS devices FROM newest WHERE epoch_us({AS_OF}) - epoch_us(ts) < 14400000000"),
+    "moisture_series": _query("passed", """SELECT device_id, soil_moisture_pct FROM passed
+        WHERE soil_moisture_pct IS NOT NULL AND air_humidity_pct IS NULL
+        QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY ts DESC, kafka_offset, kafka_partition) = 1"""),
+    "state_table": _query("newest", f"SELECT {_STATE} FROM newest"),
+    "backfill_rows": _query("clean", "SELECT * FROM clean WHERE ts < timestamp '2024-01-20 00:00:00'"),
+    "stream_quarantine": _query("quarantine", "SELECT * FROM quarantine"),
+    "stream_dead_letters": _query("structured", _LETTERS),
     "stream_clean": _query("clean", "SELECT * EXCLUDE (kafka_partition, kafka_offset) FROM clean"),
     "stream_state": _query("newest", f"SELECT {_STATE} FROM newest"),
     "progress_log": _query("checked", """SELECT 'clean' AS query, (SELECT count(*) FROM events) AS input_rows,
