@@ -14,7 +14,7 @@ _DATE = r"(\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-W\d{2}(-[1-7])?|\d{4}W\d{2}[1-7]?)"
 _HOUR, _SIXTY = r"([01]\d|2[0-3])", r"[0-5]\d"
 _CLOCK = (rf"{_HOUR}((:{_SIXTY}(:{_SIXTY}([.,]\d+)?)?)?|({_SIXTY}({_SIXTY}([.,]\d+)?)?)?)")
 _ZONE = rf"(Z|[+-]{_HOUR}(:?{_SIXTY}(:?{_SIXTY}(\.\d+)?)?)?)?"
-_ANY_ISO = rf"^{_DATE}(.{_CLOCK}{_ZONE})?$"
+_ANY_ISO = rf"^{_DATE}([^Z]{_CLOCK}{_ZONE})?$"
 
 
 def as_of_column(as_of: dt.datetime | str | Column | None) -> Column:

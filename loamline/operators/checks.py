@@ -31,7 +31,7 @@ class Check:
         return f"{self.kind}_{self.table}_{self.column}"
 
 
-# The checks declared for the three models.
+# The checks declared for the three models.
 STAGING_CHECKS = [
     Check("stg_telemetry", "device_id", "not_null"),
     Check("stg_telemetry", "measured_at", "not_null"),

@@ -16,7 +16,7 @@ from loamline.operators.parsing import once
 
 
 # Number words that are not JSON but that common producers write and common parsers read.
-_NON_FINITE = r"(?<=[:\[,\s])(NaN|-?Infinity)(?=[,\]}\s])"
+_NON_FINITE = r"(?<=^|[:\[,\s])(NaN|-?Infinity)(?=[,\]}\s]|$)"
 
 
 def _sole_json_value(text: Column) -> Column:
@@ -29,7 +29,7 @@ def _sole_json_value(text: Column) -> Column:
         size = F.length(text).cast("string")
         return F.try_parse_json(F.concat(F.lit("["), body, F.lit(","), size, F.lit("]")))
 
-    lenient = F.when(text.rlike("NaN|Infinity"), parse(F.regexp_replace(text, _NON_FINITE, "null")))
+    lenient = F.when(text.rlike("NaN|Infinity"), parse(F.regexp_replace(text, _NON_FINITE, "0")))
     return F.coalesce(parse(text), lenient)
 
 

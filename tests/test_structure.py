@@ -35,6 +35,9 @@ CASES = [
     (payload(soil_moisture_pct=float("nan")), None),
     (payload(soil_moisture_pct=float("-inf")), None),
     (payload(note="NaN, Infinity"), None),
+    ("NaN", "not_an_object"),
+    ('{"device_id":NaN,"site_id":"b","ts":"2026-01-01"}', None),
+    ('{"device_id":"a","site_id":"b","ts":"2026-01-01","x":[NaN, -Infinity ]}', None),
     ('{"device_id":"a","device_id":"","site_id":"s","ts":"2026-08-10"}', "missing_fields:device_id"),
     (b"\xff\xfe{}", "invalid_json"),
 ]
@@ -83,7 +86,7 @@ TIMES = [
     "2026-W53-1", "2025-W53-1", "2026-08-10T115900", "2026-8-1", "2026-08-10T", "2026", " 2026-08-10",
     "2026-08-10x11:59", "20260810", "20261301", "2026-08-10T11:60", "2026-08-10T11:59:61",
     "2026-08-10T11:59:00,5", "2026-08-10T1159:00", "12:30", "now", "2026-08-10T11:59:00+0230",
-    "2026-08-10T11:59:00+02", "2026-W00-1", "2026-W10-0",
+    "2026-08-10T11:59:00+02", "2026-W00-1", "2026-W10-0", "2026-08-10Z11:59",
 ]
 
 
