@@ -391,6 +391,26 @@ def rf_scores(spark, sf):
     return _scores(spark, sf, "random_forest")
 
 
+def roc_auc(spark, sf):
+    """Exact area under the curve when dryness itself is the score; many rows share a score."""
+    from pyspark.ml.functions import array_to_vector
+
+    from loamline.operators import models
+    dryness = (F.lit(100.0) - F.col("min_soil_moisture_pct")) / 100.0
+    scored = feature_table(spark, sf).select(
+        features.LABEL, array_to_vector(F.array(F.lit(1.0) - dryness, dryness)).alias("probability"))
+    area = models.roc_auc(materialize(scored, scratch_dir(spark, "auc")))
+    return spark.range(1).select(F.lit(None if area is None else round(area, 6)).cast("double").alias("roc_auc"))
+
+
+def model_results(spark, sf):
+    """Scores of the rule and of both models on the later part, and which model was selected."""
+    from loamline.operators.models import train
+    run = train(feature_table(spark, sf), trees=50, max_depth=8)
+    return run.metrics.select(F.explode("results").alias("model", "scores"), "selected_model").select(
+        "model", "scores.*", (F.col("model") == F.col("selected_model")).alias("selected"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_flatten": parse_flatten,
     "structural_verdicts": structural_verdicts,
@@ -441,6 +461,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_dead_letters": stream_dead_letters,
     "stream_state": stream_state,
     "progress_log": progress_log,
+    "roc_auc": roc_auc,
     "lr_scores": lr_scores,
     "rf_scores": rf_scores,
+    "model_results": model_results,
 }

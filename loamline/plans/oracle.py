@@ -375,6 +375,13 @@ ORACLE: dict[str, str] = {
               FROM checked GROUP BY 1)"""),
     "rule_rate_5m": _query("quarantine", _rate("quarantine", "kafka_ts", 5, "quality_rule")),
     "seen_recently": _query("newest", f"SELECT count(*) AS devices FROM newest WHERE epoch_us({AS_OF}) - epoch_us(ts) < 14400000000"),
+    "roc_auc": _query("feat", """SELECT round((sum(rank) FILTER (WHERE y = 1) - ones * (ones + 1) / 2.0::double)
+          / (ones * zeros::double), 6) AS roc_auc
+        FROM (SELECT y, ones, zeros, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::double AS rank
+              FROM (SELECT needs_irrigation_next_hour AS y, -min_soil_moisture_pct AS s,
+                           count(*) FILTER (WHERE needs_irrigation_next_hour = 1) OVER () AS ones,
+                           count(*) FILTER (WHERE needs_irrigation_next_hour = 0) OVER () AS zeros FROM feat))
+        GROUP BY ones, zeros"""),
     "moisture_series": _query("passed", """SELECT device_id, soil_moisture_pct FROM passed
         WHERE soil_moisture_pct IS NOT NULL AND air_humidity_pct IS NULL
         QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY ts DESC, kafka_offset, kafka_partition) = 1"""),

@@ -11,7 +11,7 @@ import __spark_entry__ as entry_point
 from loamline.plans.catalog import QUERIES
 from loamline.plans.oracle import ORACLE
 
-ROWS_ONLY = {"lr_scores", "rf_scores"}
+ROWS_ONLY = {"lr_scores", "rf_scores", "model_results"}
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +50,18 @@ def test_equal_to_sql(spark, duck, name):
     assert ordered(got) == ordered(want)
 
 
+def test_model_results_hold_the_rule(spark, duck):
+    """The models' scores have no SQL; the rule's scores on the later rows do."""
+    got = {r["model"]: r for r in QUERIES["model_results"](spark, SF).collect()}
+    assert set(got) == {"baseline_rule", "logistic_regression", "random_forest"}
+    assert sum(r["selected"] for r in got.values()) == 1
+    late = ORACLE["rule_baseline_scores"].rsplit(" FROM feat", 1)[0] + (
+        " FROM feat WHERE hour_start > (SELECT make_timestamp(cast(floor(quantile_cont("
+        "epoch_us(hour_start), 0.7)) AS bigint)) FROM feat)")
+    want = duck.execute(late).fetchone()
+    assert tuple(got["baseline_rule"][c] for c in ("accuracy", "precision", "recall", "f1")) == want
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
 
@@ -60,7 +72,7 @@ def plan_of(df):
 
 # Queries that write tables or run a stream before they return a plan.
 WRITING = {"stream_clean", "stream_quarantine", "stream_dead_letters", "stream_state", "progress_log",
-           "state_table", "backfill_rows", "check_summary"}
+           "state_table", "backfill_rows", "check_summary", "roc_auc"}
 LAZY = sorted(set(ORACLE) - WRITING)
 
 
