@@ -83,14 +83,15 @@ def gathered(df: DataFrame, partitions: list[str], files: int = FILES_PER_DIRECT
 
 
 def start_file_sink(df: DataFrame, name: str, path: str, partitions: list[str], checkpoints: str,
-                    every: str | None = FILE_TRIGGER) -> StreamingQuery:
-    """Append to partitioned Parquet."""
-    return (_writer(gathered(df, partitions), name, checkpoints, every).format("parquet")
+                    every: str | None = FILE_TRIGGER, files: int = FILES_PER_DIRECTORY) -> StreamingQuery:
+    """Append to partitioned Parquet; more files per directory for larger micro-batches."""
+    return (_writer(gathered(df, partitions, files), name, checkpoints, every).format("parquet")
             .option("path", path).partitionBy(*partitions).start())
 
 
 def start_router(raw: DataFrame, paths: Paths, contract: Contract = TELEMETRY, *,
-                 every: str | None = FILE_TRIGGER) -> dict[str, StreamingQuery]:
+                 every: str | None = FILE_TRIGGER,
+                 files: int = FILES_PER_DIRECTORY) -> dict[str, StreamingQuery]:
     """Structural check in front of the pipeline: sound messages on, keyed by device, others to the
     dead-letter table by reason family."""
     checked = check_structure(raw, contract)
@@ -99,7 +100,7 @@ def start_router(raw: DataFrame, paths: Paths, contract: Contract = TELEMETRY, *
         "accepted": start_file_sink(onward.select(*raw.columns), "accepted", paths.accepted, [],
                                     paths.checkpoints, every),
         "dead-letter": start_file_sink(dead_letters(checked), "dead-letter", paths.dead_letter,
-                                       DEAD_LETTER_PARTITIONS, paths.checkpoints, every),
+                                       DEAD_LETTER_PARTITIONS, paths.checkpoints, every, files),
     }
 
 
@@ -125,7 +126,8 @@ def start_rule_monitor(quarantine: DataFrame, path: str, checkpoints: str,
 
 def start_pipeline(messages: DataFrame, paths: Paths, contract: Contract = TELEMETRY, *,
                    with_state: bool = True, with_monitor: bool = True,
-                   every: str | None = FILE_TRIGGER) -> dict[str, StreamingQuery]:
+                   every: str | None = FILE_TRIGGER,
+                   files: int = FILES_PER_DIRECTORY) -> dict[str, StreamingQuery]:
     """Start the queries; ``every=None`` processes what is available and stops.
 
     Clean and quarantine are plain file sinks. State and monitor are optional and use foreachBatch.
@@ -135,9 +137,9 @@ def start_pipeline(messages: DataFrame, paths: Paths, contract: Contract = TELEM
     bad = quarantined_records(checked, contract)
     queries = {
         "clean": start_file_sink(clean_records(with_gate_counts(checked), contract), "clean",
-                                 paths.clean, CLEAN_PARTITIONS, paths.checkpoints, every),
+                                 paths.clean, CLEAN_PARTITIONS, paths.checkpoints, every, files),
         "quarantine": start_file_sink(bad, "quarantine", paths.quarantine,
-                                      QUARANTINE_PARTITIONS, paths.checkpoints, every),
+                                      QUARANTINE_PARTITIONS, paths.checkpoints, every, files),
     }
     if with_state:
         table = DeviceStateTable(messages.sparkSession, paths.state, contract, COMPACT_EVERY)
