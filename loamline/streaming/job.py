@@ -41,6 +41,17 @@ class Paths:
     def quarantine(self) -> str:
         return f"{self.lake}/quarantine"
 
+    @property
+    def backfill(self) -> str:
+        return f"{self.lake}/telemetry_backfill"
+
+    @property
+    def models(self) -> str:
+        return f"{self.lake}/models"
+
+    def mart(self, name: str) -> str:
+        return f"{self.lake}/marts/{name}"
+
     @property
     def accepted(self) -> str:
         return f"{self.lake}/accepted"
