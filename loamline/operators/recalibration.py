@@ -12,10 +12,11 @@ from loamline.functions.numbers import round_exact
 def recalibrate(readings: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Add ``recalibrated_pct``; devices without own endpoints (device_id, adc_dry, adc_wet) keep the defaults.
 
-    One endpoint row per device: the join is broadcast by Spark where statistics show it fits, and
-    otherwise shuffled with skewed devices split by AQE.
+    One endpoint row per device: Spark broadcasts them where statistics show that they fit, and
+    otherwise shuffles both sides. The rebalance hint keeps the endpoints from bringing along the
+    partitioning of an aggregate; AQE splits a hot device only between two plain exchanges.
     """
-    joined = readings.join(endpoints, "device_id", "left")
+    joined = readings.join(endpoints.hint("rebalance"), "device_id", "left")
     dry = F.coalesce("adc_dry", F.lit(ADC_DRY))
     wet = F.coalesce("adc_wet", F.lit(ADC_WET))
     pct = round_exact(raw_to_moisture(F.col("soil_raw"), dry, wet), 2)
