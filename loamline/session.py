@@ -21,6 +21,8 @@ RUNTIME_CONF = {
     # Deduplication state lives in RocksDB, outside the executor heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A micro-batch uploads what changed in the state, not a snapshot of all of it.
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 

@@ -10,7 +10,9 @@ from loamline.operators import gates, monitoring
 from loamline.sources.lake import read_lake
 from loamline.sources.messages import read_message_files
 from loamline.sources.state_table import DeviceStateTable
-from loamline.streaming.job import Paths, judged, start_pipeline, start_router, write_rule_counts
+from loamline.streaming.job import (
+    Paths, judged, start_file_sink, start_pipeline, start_router, write_rule_counts,
+)
 from loamline.streaming.progress import append_progress, progress_table
 
 MINUTE = dt.timedelta(minutes=1)
@@ -150,6 +152,19 @@ def test_from_raw_messages_to_the_lake(spark, topic):
     assert {(r["key"], r["family"]) for r in letters} == {("no-time", "missing_fields"), (None, "invalid_json")}
 
 
+def test_rates_on_a_stream(spark, topic, tmp_path):
+    """The batch report as a stream: windows are emitted once the watermark has passed them."""
+    for minute in (0, 1, 30, 60):
+        topic.send(at(minute, soil_moisture_pct=148.0), at(minute), ingested=NOON + minute * MINUTE)
+    source = read_message_files(spark, topic.path, files_per_trigger=1)
+    bad = gates.quarantined_records(judged(source)).withWatermark("kafka_ts", "10 minutes")
+    out = str(tmp_path / "rates")
+    start_file_sink(monitoring.rule_rate(bad), "rates", out, [], str(tmp_path / "ckpt"),
+                    every=None).awaitTermination()
+    rows = spark.read.parquet(out).orderBy("window_start").collect()
+    assert [(r["window_start"].minute, r["quality_rule"], r["n"]) for r in rows] == [(0, "range", 2), (30, "range", 1)]
+
+
 def test_a_hand_made_file_is_hidden_from_the_sink_folder(spark, topic):
     """Why backfills go to a folder of their own."""
     topic.send(at(0))
