@@ -103,6 +103,16 @@ def test_late_rows_leave_the_clean_stream_but_are_counted(spark, topic):
     assert gates.passing(judged(frame)).count() == 1
 
 
+def test_lateness_is_judged_by_the_watermark_of_the_batch_before(spark, topic):
+    """A row behind the new watermark still passes in the next batch and is dropped one batch later."""
+    topic.send(at(0))
+    topic.send(at(60), ingested=NOON + 60 * MINUTE)
+    topic.send(at(5), ingested=NOON + 62 * MINUTE)
+    topic.send(at(6), ingested=NOON + 63 * MINUTE)
+    topic.drain()
+    assert [r["ts"].minute + 60 * (r["ts"].hour - 12) for r in topic.clean().orderBy("ts").collect()] == [0, 5, 60]
+
+
 def test_progress_table(spark, topic, tmp_path):
     topic.send(at(0), at(1))
     topic.send(at(2))
