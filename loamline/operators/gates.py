@@ -42,24 +42,29 @@ def passing(checked: DataFrame) -> DataFrame:
     return checked.filter(F.col("quality_reason").isNull())
 
 
-def deduplicate(records: DataFrame, contract: Contract = TELEMETRY) -> DataFrame:
+def deduplicate(records: DataFrame, contract: Contract = TELEMETRY, salts: int = 1) -> DataFrame:
     """One record per device and event time.
 
     A stream keeps the first to arrive, within the watermark. A batch keeps the one with the lowest
     offset; the rank filter is also applied before the shuffle, so many copies of one key do not
-    travel.
+    travel. Streams have no such step: with ``salts`` above 1 they drop copies among as many shares
+    of a key first, at the price of a second state, so that a device that repeats itself endlessly
+    does not keep one task busy.
     """
     if records.isStreaming:
-        return (records.withWatermark(contract.event_time, contract.watermark)
-                .dropDuplicates(list(contract.key)))
+        timed = records.withWatermark(contract.event_time, contract.watermark)
+        if salts > 1:
+            timed = (timed.withColumn("_salt", F.pmod("kafka_offset", F.lit(salts)))
+                     .dropDuplicates([*contract.key, "_salt"]).drop("_salt"))
+        return timed.dropDuplicates(list(contract.key))
     order = Window.partitionBy(*contract.key).orderBy("kafka_offset", "kafka_partition")
     return records.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
 
 
-def clean_records(checked: DataFrame, contract: Contract = TELEMETRY) -> DataFrame:
+def clean_records(checked: DataFrame, contract: Contract = TELEMETRY, salts: int = 1) -> DataFrame:
     """The clean table: passing, deduplicated, dated by event time."""
     narrow = passing(checked).select(*contract.columns, "kafka_partition", "kafka_offset")
-    return deduplicate(narrow, contract).select(
+    return deduplicate(narrow, contract, salts).select(
         contract.entity, contract.site, contract.event_time,
         F.to_date(contract.event_time).alias("date"),
         *contract.measures, "kafka_partition", "kafka_offset")

@@ -138,16 +138,17 @@ def start_rule_monitor(quarantine: DataFrame, path: str, checkpoints: str,
 def start_pipeline(messages: DataFrame, paths: Paths, contract: Contract = TELEMETRY, *,
                    with_state: bool = True, with_monitor: bool = True,
                    every: str | None = FILE_TRIGGER,
-                   files: int = FILES_PER_DIRECTORY) -> dict[str, StreamingQuery]:
+                   files: int = FILES_PER_DIRECTORY, salts: int = 1) -> dict[str, StreamingQuery]:
     """Start the queries; ``every=None`` processes what is available and stops.
 
     Clean and quarantine are plain file sinks. State and monitor are optional and use foreachBatch.
-    The clean query counts the verdicts of each micro-batch on its way.
+    The clean query counts the verdicts of each micro-batch on its way; ``salts`` above 1 spreads the
+    copies of a record it meets (see ``deduplicate``).
     """
     checked = judged(messages, contract)
     bad = quarantined_records(checked, contract)
     queries = {
-        "clean": start_file_sink(clean_records(with_gate_counts(checked), contract), "clean",
+        "clean": start_file_sink(clean_records(with_gate_counts(checked), contract, salts), "clean",
                                  paths.clean, CLEAN_PARTITIONS, paths.checkpoints, every, files),
         "quarantine": start_file_sink(bad, "quarantine", paths.quarantine,
                                       QUARANTINE_PARTITIONS, paths.checkpoints, every, files),

@@ -35,9 +35,9 @@ class Topic:
         stamp = time.time() - 1000 + self.files
         os.utime(newest, (stamp, stamp))
 
-    def drain(self):
+    def drain(self, **options):
         source = read_message_files(self.spark, self.path, files_per_trigger=1)
-        queries = start_pipeline(source, self.paths, with_state=False, with_monitor=False, every=None)
+        queries = start_pipeline(source, self.paths, with_state=False, with_monitor=False, every=None, **options)
         for q in queries.values():
             q.awaitTermination()
         return queries
@@ -75,6 +75,19 @@ def test_copies_in_different_batches_are_dropped(topic):
     assert [r["ts"].minute for r in topic.clean().orderBy("ts").collect()] == [0, 1, 2, 3]
 
 
+def test_a_record_repeated_endlessly(spark, topic):
+    """With salts the copies are dropped in shares first; within a batch, across batches, and late."""
+    topic.send(*[at(0)] * 300, at(1))
+    topic.send(*[at(0)] * 200, at(60), ingested=NOON + 60 * MINUTE)
+    topic.send(at(61), ingested=NOON + 61 * MINUTE)
+    topic.send(at(2), at(62), at(62), ingested=NOON + 62 * MINUTE)
+    clean = topic.drain(salts=4)["clean"]
+    assert [r["ts"].minute for r in topic.clean().orderBy("ts").collect()] == [0, 1, 0, 1, 2]
+    batch = max(clean.recentProgress, key=lambda p: p.numInputRows)
+    copies = [op.numRowsUpdated for op in batch.stateOperators]
+    assert len(copies) == 2 and min(copies) == 2 and max(copies) <= 5
+
+
 def test_stream_equals_batch_on_ordered_data(spark, topic):
     texts = [at(i // 2, device_id=f"d{i % 3}", soil_moisture_pct=float(i)) for i in range(0, 8)]
     for part in (texts[:3], texts[3:6], texts[6:]):
