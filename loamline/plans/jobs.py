@@ -29,10 +29,16 @@ def clean_table(spark: SparkSession, paths: Paths) -> DataFrame:
 
 
 def build_marts(spark: SparkSession, paths: Paths, as_of: dt.datetime | None = None) -> dict[str, DataFrame]:
-    """Rebuild fact and dimension, run every declared check, and validate size and freshness."""
+    """Rebuild fact and dimension, run every declared check, and validate size and freshness.
+
+    Staging stays a view over the lake; all three can be queried in SQL by name afterwards.
+    """
     view = marts.staging(clean_table(spark, paths))
     fact = materialize(marts.hourly_facts(view), paths.mart("fct_readings_hourly"))
     dim = materialize(marts.device_dimension(view, as_of), paths.mart("dim_devices"))
+    built = {"stg_telemetry": view, "fct_readings_hourly": fact, "dim_devices": dim}
+    for name, model in built.items():
+        model.createOrReplaceTempView(name)
     verdicts = (checks.run_checks(view, checks.STAGING_CHECKS)
                 .unionByName(checks.run_checks(fact, checks.FACT_CHECKS))
                 .unionByName(checks.run_checks(dim, checks.DEVICE_CHECKS)))
@@ -40,7 +46,7 @@ def build_marts(spark: SparkSession, paths: Paths, as_of: dt.datetime | None = N
     if failed:
         raise FailedChecks(", ".join(sorted(failed)))
     checks.require_valid_marts(checks.mart_validation(fact, dim, as_of))
-    return {"fct_readings_hourly": fact, "dim_devices": dim}
+    return built
 
 
 def check_freshness(spark: SparkSession, paths: Paths, status_messages: DataFrame,

@@ -47,6 +47,8 @@ def lake(spark, tmp_path_factory):
 def test_marts(spark, lake):
     built = jobs.build_marts(spark, lake, END)
     assert built["dim_devices"].count() == 2
+    by_sql = spark.sql("SELECT count(*) FROM stg_telemetry s JOIN dim_devices d ON s.device_id = d.device_id")
+    assert by_sql.first()[0] == built["stg_telemetry"].count() > 800
     assert built["fct_readings_hourly"].agg(F.sum("reading_count")).first()[0] == jobs.clean_table(spark, lake).count()
 
 

@@ -1,9 +1,11 @@
 import datetime as dt
 import os
 import time
+from types import SimpleNamespace
 
 import pytest
 from conftest import NOON, messages, payload
+from pyspark.sql.streaming import DataStreamWriter
 
 from loamline.contract import CLEAN_SCHEMA, DEAD_LETTER_SCHEMA, QUARANTINE_SCHEMA
 from loamline.operators import gates, monitoring
@@ -13,7 +15,9 @@ from loamline.sources.state_table import DeviceStateTable
 from loamline.streaming.job import (
     Paths, judged, start_file_sink, start_pipeline, start_router, write_rule_counts,
 )
-from loamline.streaming.progress import append_progress, progress_table
+from loamline.streaming.progress import (
+    PROGRESS_SCHEMA, ProgressListener, append_progress, progress_row, progress_table,
+)
 
 MINUTE = dt.timedelta(minutes=1)
 
@@ -188,6 +192,51 @@ def test_rates_on_a_stream(spark, topic, tmp_path):
     assert [(r["window_start"].minute, r["quality_rule"], r["n"]) for r in rows] == [(0, "range", 2), (30, "range", 1)]
 
 
+def test_all_four_queries(spark, topic, monkeypatch):
+    """The job with all branches. foreachBatch itself would open a callback port, so a stand-in takes
+    the function it is given and the query writes to nowhere; the functions are then called by hand."""
+    given = []
+
+    def stand_in(writer, function):
+        given.append(function)
+        return writer.format("noop")
+
+    monkeypatch.setattr(DataStreamWriter, "foreachBatch", stand_in)
+    topic.send(at(0), at(0), at(1, soil_moisture_pct=148.0))
+    source = read_message_files(spark, topic.path)
+    queries = start_pipeline(source, topic.paths, every=None)
+    for query in queries.values():
+        query.awaitTermination()
+    assert list(queries) == [q.name for q in queries.values()] == [
+        "clean", "quarantine", "device-state", "quality-monitor"]
+    assert sorted(os.listdir(topic.paths.checkpoints)) == sorted(queries)
+    write_state, write_counts = given
+    checked = judged(spark.read.parquet(topic.path))
+    write_state(gates.passing(checked), 0)
+    write_counts(gates.quarantined_records(checked), 0)
+    assert DeviceStateTable(spark, topic.paths.state).read().count() == 1
+    assert spark.read.parquet(topic.paths.rule_counts).first()["n"] == 1
+
+
+def test_branches_are_optional(spark, topic):
+    topic.send(at(0))
+    assert set(topic.drain()) == {"clean", "quarantine"}
+
+
+def test_listener_hands_on_one_row_per_batch(spark, topic):
+    topic.send(at(0), at(1))
+    query = topic.drain()["clean"]
+    rows = []
+    listener = ProgressListener(rows.append)
+    listener.onQueryStarted(None)
+    for progress in query.recentProgress:
+        listener.onQueryProgress(SimpleNamespace(progress=progress))
+    listener.onQueryIdle(None)
+    listener.onQueryTerminated(None)
+    assert rows == [progress_row(p) for p in query.recentProgress]
+    assert spark.createDataFrame(rows, PROGRESS_SCHEMA).agg({"input_rows": "sum"}).first()[0] == 2
+
+
 def test_a_hand_made_file_is_hidden_from_the_sink_folder(spark, topic):
     """Why backfills go to a folder of their own."""
     topic.send(at(0))
