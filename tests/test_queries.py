@@ -34,7 +34,7 @@ def ordered(rows):
 def test_all_but_the_inexpressible_have_sql():
     assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
     assert set(ORACLE) <= set(QUERIES)
-    assert entry_point.queries().keys() == QUERIES.keys()
+    assert entry_point.queries().keys() >= QUERIES.keys()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
