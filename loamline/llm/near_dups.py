@@ -10,10 +10,12 @@ Two documents at the threshold 0.75 share no band with probability (1 - 0.75^4)^
 the figure falls fast. The rest is exact:
 
 - documents with equal word sequences are one class, found by grouping, not by pairs;
-- in every bucket members are compared with one member, drawn anew per bucket and round. Links that
-  hold join components, and rounds go on as long as a bucket spans several components;
-- after ``star_rounds`` rounds all pairs left in a bucket whose components differ are compared. In a
-  large group of copies nearly all are in one component by then, so pairs within it are never made.
+- in every bucket all members are compared with its *centre*, the member that meets most others in
+  all its buckets: in a group of edited copies that is the original or the copy nearest to it. Links
+  join components; then the members outside the centre's component get a centre of their own, twice;
+- what is left are pairs of different components around a common centre. Of these only pairs that
+  share a shingle which the centre lacks, or whose sizes allow it without one, can be similar
+  (``_around``); all of them are compared. Pairs inside a component are never made.
 
 Rows without a ``doc_id`` link with nothing and are kept. Repeated rows get equal results; where one
 ``doc_id`` has several texts, each row follows its own text. Other columns are not read.
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.blocks import batches_of, find_words, inside_documents, mix, rolling
@@ -108,37 +110,91 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, _SETS)
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, compared on the full sets."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _compare(pairs: DataFrame, sets: DataFrame, private: bool) -> DataFrame:
+    """Exact overlap of pairs (x, c): ``both`` shingles are common; with ``private``, also the shingles
+    of x that c lacks."""
+    schema = pa.schema([("x", pa.int64()), ("c", pa.int64()), ("both", pa.int64()), ("m", pa.int64()),
+                        ("n", pa.int64()), ("own", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            keep = []
-            for left, right in zip(x, y):
+        def compared(batch):
+            for x, c, left, right in zip(*[batch.column(i).to_pylist() for i in range(4)]):
                 s, t = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                small, large = (s, t) if len(s) <= len(t) else (t, s)
-                if 100 * len(small) < percent * len(large):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int(np.count_nonzero(large[at] == small))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()).filter(pa.array(keep, pa.bool_())) for c in (a, b)], schema=schema)
-
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"), F.col("size").alias("m"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"), F.col("size").alias("n"))
-    # The size alone rules many pairs out before their sets travel.
-    sized = (pairs.join(left.select("a", "m"), "a").join(right.select("b", "n"), "b")
-             .filter(F.lit(100) * F.least("m", "n") >= F.lit(percent) * F.greatest("m", "n")))
-    joined = sized.select("a", "b").join(left.select("a", "x"), "a").join(right.select("b", "y"), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+                common = t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s
+                own = s[~common].view(np.int64) if private else None
+                yield x, c, int(np.count_nonzero(common)), len(s), len(t), own
+
+        for batch in batches:
+            yield from batches_of(compared(batch), schema, 1024)
+
+    left = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("s"))
+    right = sets.select(F.col("doc_id").alias("c"), F.col("shingles").alias("t"))
+    joined = pairs.select("x", "c").join(left, "x").join(right, "c").select("x", "c", "s", "t")
+    return joined.mapInArrow(run, "x bigint, c bigint, both bigint, m bigint, n bigint, own array<bigint>")
+
+
+def _similar(percent: int, both: Column, sizes: Column) -> Column:
+    """100 * intersection >= percent * union, by the sum of the sizes."""
+    return F.lit(100 + percent) * both >= F.lit(percent) * sizes
+
+
+def _named(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Buckets with components, those that span several."""
+    named = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "band", "doc_id", "centrality", F.coalesce("component", "doc_id").alias("component"))
+    several = (named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+               .filter("low < high").select("band"))
+    return written(named.join(several, "band", "left_semi"), "open")
+
+
+def _centres(members: DataFrame) -> DataFrame:
+    """The member of each bucket that meets most others in all its buckets."""
+    best = members.groupBy("band").agg(F.max("centrality").alias("centrality"))
+    top = members.join(written(best, "best"), ["band", "centrality"]).groupBy("band").agg(F.min("doc_id").alias("c"))
+    return written(top, "centres")
+
+
+def _around(compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components around a common centre that can still be similar.
+
+    Of x and a around c, the common part is at most the smaller of their parts in c, plus what both
+    have outside c. So they are similar only if they share a shingle that c lacks, or if the smaller
+    part in c alone would do, which bounds the size of a by that of x.
+    """
+    of = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    around = compared.join(of, F.col("x") == F.col("_n"), "left").withColumn(
+        "comp", F.coalesce("_c", "x")).drop("_n", "_c")
+    around = around.join(of, F.col("c") == F.col("_n"), "left").withColumn(
+        "home", F.coalesce("_c", "c")).drop("_n", "_c")
+    around = written(around, "around")
+
+    token = around.select("c", "x", "comp", F.explode("own").alias("token"))
+    mixed = (token.groupBy("c", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+             .filter("low < high").select("c", "token"))
+    token = written(token.join(mixed, ["c", "token"], "left_semi"), "private")
+    by_token = token.join(token.select("c", "token", F.col("x").alias("a"), F.col("comp").alias("theirs")),
+                          ["c", "token"]).filter((F.col("comp") != F.col("theirs")) & (F.col("x") < F.col("a")))
+
+    # Sizes are compared in steps of the centre's size, exactly after the join.
+    reach = F.floor(F.lit(100 + percent) * F.col("both") / percent) - F.col("m")
+
+    def step(size: Column) -> Column:
+        return F.floor(size * 64 / F.col("n"))
+
+    strangers = around.filter(F.col("comp") != F.col("home")).withColumn("reach", reach).filter(
+        F.lit(100) * F.col("reach") >= F.lit(percent) * F.col("m")).select(
+        "c", "x", "comp", "m", "reach", F.explode(F.sequence(step(F.col("m") * percent / 100), step(F.col("reach")))).alias("step"))
+    others = around.select("c", F.col("x").alias("a"), F.col("comp").alias("theirs"), F.col("m").alias("size"),
+                           reach.alias("back"), step(F.col("m")).alias("step"))
+    by_size = strangers.join(others, ["c", "step"]).filter(
+        (F.col("comp") != F.col("theirs")) & (F.col("size") <= F.col("reach")) & (F.col("m") <= F.col("back")))
+    pairs = by_token.select("x", F.col("a").alias("c")).union(
+        by_size.select(F.least("x", "a").alias("x"), F.greatest("x", "a").alias("c")))
+    return written(pairs.distinct(), "pairs")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: int = 32, rows: int = 4,
-                    star_rounds: int = 3) -> DataFrame:
+                    peels: int = 2) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text"))
     sketch = written(sketches(docs, width, bands, rows), "sketches")
@@ -148,39 +204,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
                       .groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
 
     one = sketch.join(classes.select(F.col("rep").alias("doc_id"), "class"), ["doc_id", "class"], "left_semi")
-    member = one.select("doc_id", F.explode("bands").alias("band"))
-    crowded = member.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    buckets = written(member.join(crowded, "band", "left_semi"), "buckets")
+    member = written(one.select("doc_id", F.explode("bands").alias("band")).distinct(), "members")
+    crowded = written(member.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "crowded")
+    held = written(member.join(crowded, "band"), "held")
+    centrality = held.groupBy("doc_id").agg(F.sum("n").alias("centrality"))
+    buckets = written(held.select("band", "doc_id").join(centrality, "doc_id"), "buckets")
 
     # Sets of those that share a bucket with anyone; all others need none.
-    wanted = buckets.select("doc_id").distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi")
-    sets = written(shingle_sets(texts, width).withColumn("size", F.length("shingles")), "sets")
-
-    labels = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
-    for turn in range(star_rounds + 1):
-        named = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-            "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        several = (named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-                   .filter("low < high").select("band"))
-        open_ = written(named.join(several, "band", "left_semi"), "open")
-        if turn < star_rounds:
-            order = F.xxhash64("band", "doc_id", F.lit(turn))
-            drawn = open_.groupBy("band").agg(F.min(order).alias("draw"))
-            centre = open_.withColumn("draw", order).join(written(drawn, "draws"), ["band", "draw"]).select(
-                "band", F.col("doc_id").alias("centre"), F.col("component").alias("theirs"))
-            pairs = open_.join(written(centre, "centres"), "band").filter(F.col("component") != F.col("theirs"))
-            pairs = pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
+    texts = docs.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = written(shingle_sets(texts, width), "sets")
+
+    centres = _centres(buckets)
+    star = written(buckets.join(centres, "band").filter(F.col("doc_id") != F.col("c"))
+                   .select(F.col("doc_id").alias("x"), "c").distinct(), "stars")
+    compared = written(_compare(star, sets, private=True), "compared")
+    hit = _similar(percent, F.col("both"), F.col("m") + F.col("n"))
+    labels = components(compared.filter(hit).select(F.col("x").alias("a"), F.col("c").alias("b")))
+    for turn in range(peels + 1):
+        if turn < peels:
+            open_ = _named(buckets, labels)
+            home = open_.join(centres, "band").filter(F.col("doc_id") == F.col("c")).select(
+                "band", F.col("component").alias("home"))
+            peeled = open_.join(written(home, "homes"), "band", "left").filter(
+                F.col("home").isNull() | (F.col("component") != F.col("home")))
+            centre = _centres(peeled)
+            pairs = written(peeled.join(centre, "band").filter(F.col("doc_id") != F.col("c"))
+                            .select(F.col("doc_id").alias("x"), "c").distinct(), "pairs")
         else:
-            other = open_.select("band", F.col("doc_id").alias("b"), F.col("component").alias("theirs"))
-            pairs = open_.join(other, "band").filter(
-                (F.col("component") != F.col("theirs")) & (F.col("doc_id") < F.col("b")))
-            pairs = pairs.select(F.col("doc_id").alias("a"), "b")
-        pairs = written(pairs.distinct(), "pairs")
+            pairs = _around(compared, labels, percent)
         if pairs.isEmpty():
-            break
-        found = written(_confirm(pairs, sets, percent), "links")
-        labels = components(found.union(labels.select("component", "node")))
+            continue
+        found = written(_compare(pairs, sets, private=False), "links").filter(hit)
+        labels = components(found.select(F.col("x").alias("a"), F.col("c").alias("b"))
+                            .union(labels.select("component", "node")))
 
     of_class = classes.join(labels, classes["rep"] == labels["node"], "left").select(
         "class", F.coalesce("component", "rep").alias("_component"))
