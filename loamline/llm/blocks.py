@@ -15,8 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows of one Arrow batch: a few MB of ordinary texts, and bounded memory with very long ones.
+# Rows and bytes of one Arrow batch: a few MB of ordinary texts, and bounded memory with very long ones.
 BATCH_ROWS = 512
+BATCH_BYTES = "8m"
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -31,6 +32,7 @@ _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], np.u
 def small_batches(spark: SparkSession) -> SparkSession:
     """Keep Arrow batches of texts small on this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 

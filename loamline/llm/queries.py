@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import near_dups, packing, quality, recompression, secrets
+from loamline.llm import near_dups, packing, pivots, ppm, quality, recompression, secrets
 from loamline.llm.blocks import documents, small_batches
 from loamline.session import prepare
 
@@ -22,6 +22,10 @@ def op2_minmax_near_dups(spark: SparkSession, sf: str) -> DataFrame:
     return near_dups.near_duplicates(documents(prepare(spark), sf))
 
 
+def op3_partial_matching(spark: SparkSession, sf: str) -> DataFrame:
+    return ppm.score_texts(documents(prepare(spark), sf))
+
+
 def op4_harmonic_packing(spark: SparkSession, sf: str) -> DataFrame:
     pieces = packing.pack(documents(prepare(spark), sf), word_vocabulary)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
@@ -48,10 +52,16 @@ def op8_multipart_secrets(spark: SparkSession, sf: str) -> DataFrame:
                         "spans", "n_linked")
 
 
+def op9_pivot_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return pivots.top_k(documents(prepare(spark), sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minmax_near_dups": op2_minmax_near_dups,
+    "op3_partial_matching": op3_partial_matching,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_decision_lists": op5_decision_lists,
     "op7_recompression_repeats": op7_recompression_repeats,
     "op8_multipart_secrets": op8_multipart_secrets,
+    "op9_pivot_top_k": op9_pivot_top_k,
 }
