@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loamline.llm.blocks import batches_of, find_words, inside_documents, mix, rolling
 from loamline.llm.graphs import components, written
@@ -168,12 +169,20 @@ def _around(compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         "home", F.coalesce("_c", "c")).drop("_n", "_c")
     around = written(around, "around")
 
-    token = around.select("c", "x", "comp", F.explode("own").alias("token"))
-    mixed = (token.groupBy("c", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-             .filter("low < high").select("c", "token"))
-    token = written(token.join(mixed, ["c", "token"], "left_semi"), "private")
-    by_token = token.join(token.select("c", "token", F.col("x").alias("a"), F.col("comp").alias("theirs")),
-                          ["c", "token"]).filter((F.col("comp") != F.col("theirs")) & (F.col("x") < F.col("a")))
+    # A pair needs at least ``need`` common shingles outside c, so the rarest of them is among all but
+    # the ``need - 1`` most common ones of either side; the order is the same for all around c.
+    need = F.greatest(F.ceil(F.col("m") * percent / 100) - F.col("both"), F.lit(1))
+    token = written(around.select("c", "x", "comp", "m", (F.size("own") - need + 1).alias("prefix"), F.explode("own").alias("token"))
+                    .filter("prefix > 0"), "private")
+    spread = written(token.groupBy("c", "token").agg(F.count("*").alias("n"), F.min("comp").alias("low"),
+                                                     F.max("comp").alias("high")), "spread")
+    place = F.row_number().over(Window.partitionBy("c", "x").orderBy("n", "token"))
+    token = written(token.join(spread, ["c", "token"]).withColumn("place", place).filter(
+        "place <= prefix AND low < high").select("c", "token", "x", "comp", "m"), "prefixes")
+    by_token = token.join(token.select("c", "token", F.col("x").alias("a"), F.col("comp").alias("theirs"),
+                                       F.col("m").alias("size")), ["c", "token"]).filter(
+        (F.col("comp") != F.col("theirs")) & (F.col("x") < F.col("a"))
+        & (F.lit(100) * F.least("m", "size") >= F.lit(percent) * F.greatest("m", "size")))
 
     # Sizes are compared in steps of the centre's size, exactly after the join.
     reach = F.floor(F.lit(100 + percent) * F.col("both") / percent) - F.col("m")
