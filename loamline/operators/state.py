@@ -84,15 +84,19 @@ def silence_report(seen: DataFrame, status: DataFrame,
 
 
 class GhostDevices(RuntimeError):
-    """Devices that claim to be online but send nothing."""
+    """Devices that claim to be online but send nothing. ``report`` is the whole report, ghosts included."""
 
+    def __init__(self, message: str, report: DataFrame):
+        super().__init__(message)
+        self.report = report
 
-def require_no_ghosts(report: DataFrame, named: int = 20) -> DataFrame:
-    """Pass the report on, or raise; the message names the longest silent ghosts."""
+
+def require_no_ghosts(report: DataFrame) -> DataFrame:
+    """Pass the report on, or raise with the report; the message counts the ghosts and names the worst."""
     ghosts = report.filter(F.col("class") == "ghost")
     total = ghosts.count()
     if total:
-        worst = ghosts.orderBy(F.desc("age_minutes"), "device_id").limit(named).collect()
-        listed = ", ".join(f"{r['device_id']} ({r['age_minutes']} min)" for r in worst)
-        raise GhostDevices(f"{total} devices online without data: {listed}")
+        worst = ghosts.orderBy(F.desc("age_minutes"), "device_id").first()
+        raise GhostDevices(f"{total} devices online without data, longest {worst['device_id']} "
+                           f"({worst['age_minutes']} min); all are in the report", report)
     return report

@@ -20,14 +20,13 @@ _NON_FINITE = r"(?<=^|[:\[,\s])(NaN|-?Infinity)(?=[,\]}\s]|$)"
 
 
 def _sole_json_value(text: Column) -> Column:
-    """The text as an array ``[value, length]``, NULL if it is not JSON.
+    """The text as an array ``[value, seal]``, NULL if it is not JSON.
 
     The parser stops after the first value, so trailing garbage would go unseen. Closing the array
-    with the text's own length makes anything but exactly one value show up.
+    with a hash of the whole text, which no text can contain, makes anything but exactly one value show up.
     """
     def parse(body: Column) -> Column:
-        size = F.length(text).cast("string")
-        return F.try_parse_json(F.concat(F.lit("["), body, F.lit(","), size, F.lit("]")))
+        return F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), F.sha2(text, 256), F.lit('"]')))
 
     lenient = F.when(text.rlike("NaN|Infinity"), parse(F.regexp_replace(text, _NON_FINITE, "0")))
     return F.coalesce(parse(text), lenient)
@@ -39,7 +38,7 @@ def check_structure(messages: DataFrame, contract: Contract = TELEMETRY,
     text = F.col(value).cast("string")
     sound = F.when(F.is_valid_utf8(text), text)
     read = messages.withColumn("_text", sound).withColumns(
-        {"_json": _sole_json_value(F.col("_text")), "_length": F.length("_text")})
+        {"_json": _sole_json_value(F.col("_text")), "_seal": F.sha2("_text", 256)})
 
     def at(path: str, kind: str) -> Column:
         return F.try_variant_get("_json", path, kind)
@@ -47,7 +46,7 @@ def check_structure(messages: DataFrame, contract: Contract = TELEMETRY,
     # Only an object can be read as a struct, so a NULL record is some other JSON value.
     record = ", ".join(f"{name}: string" for name in contract.structural)
     fields = read.withColumns({
-        "_readable": F.coalesce(at("$[1]", "int") == F.col("_length"), F.lit(False))
+        "_readable": F.coalesce(at("$[1]", "string") == F.col("_seal"), F.lit(False))
                      & at("$[2]", "variant").isNull(),
         "_record": at("$[0]", f"struct<{record}>"),
     })

@@ -20,25 +20,34 @@ from loamline.operators import (
 )
 from loamline.plans import event_feed
 from loamline.session import prepare, scratch_dir
-from loamline.sources.lake import load_hourly, materialize, read_lake, spread, write_backfill
+from loamline.sources.lake import load_hourly, materialize, read_lake, write_backfill
 from loamline.sources.state_table import DeviceStateTable
 from loamline.streaming.job import judged, start_file_sink
 from loamline.streaming.progress import RULES, progress_table, with_gate_counts
 
 AS_OF = "2024-01-30 18:00:00"
+# An instant a few minutes before the newest records end, for reports on the last minutes.
+LAST_MINUTES = "2024-01-30 23:58:00"
+# Files in a micro-batch of the stream queries.
+STREAM_FILES = 64
 SF_COLUMNS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
 # --- inputs --------------------------------------------------------------------------------------
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(prepare(spark).read.schema(SF_COLUMNS).parquet(f"{sf}/events.parquet"))
+    return prepare(spark).read.schema(SF_COLUMNS).parquet(f"{sf}/events.parquet")
 
 
 def events_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The same file as a stream."""
+    """The same table as a stream, be it one file or a folder of part files; a missing table raises.
+
+    A stream reads folders, so a single file needs a pattern: the star makes it one, and a folder that
+    matches is read as a table would be.
+    """
+    events(spark, sf)
     return (prepare(spark).readStream.schema(SF_COLUMNS)
-            .option("pathGlobFilter", "events.parquet").parquet(sf))
+            .option("maxFilesPerTrigger", STREAM_FILES).parquet(f"{sf}/events.parquet*"))
 
 
 def messages(spark, sf):
@@ -223,18 +232,17 @@ def silent_devices(spark, sf):
 
 
 def fleet_status(spark, sf):
-    """Three frames from one state; the battery frame lists weak ones only, so the join has gaps."""
+    """Three frames from one state, over all devices."""
     now = newest(spark, sf)
     return monitoring.fleet_status(
         monitoring.silence_seconds(now, AS_OF),
         now.filter(F.col("soil_moisture_pct").isNotNull()).select("device_id", "soil_moisture_pct"),
-        now.filter(F.col("battery_v") < 3.9).select("device_id", "battery_v"))
+        now.filter(F.col("battery_v").isNotNull()).select("device_id", "battery_v"))
 
 
 def moisture_series(spark, sf):
-    """Last known moisture per device, here among records whose humidity reading failed."""
-    passed = gates.passing(checked(spark, sf))
-    return state.last_known(passed.filter(F.col("air_humidity_pct").isNull()), "soil_moisture_pct")
+    """Last known moisture per device."""
+    return state.last_known(gates.passing(checked(spark, sf)), "soil_moisture_pct")
 
 
 def state_table(spark, sf):
@@ -305,15 +313,15 @@ def recalibrated(spark, sf):
     probes = events(spark, sf).groupBy("user_id").agg(F.count("*").alias("n"))
     endpoints = probes.filter("n > 60").select(
         F.concat(F.lit("dev-"), F.col("user_id").cast("string")).alias("device_id"),
-        (F.lit(3200) - F.col("n").cast("int")).alias("adc_dry"),
-        (F.lit(1200) + F.col("n").cast("int")).alias("adc_wet"))
+        (F.lit(3200) - F.pmod("n", F.lit(1000))).cast("int").alias("adc_dry"),
+        (F.lit(1200) + F.pmod("n", F.lit(1000))).cast("int").alias("adc_wet"))
     return recalibration.recalibrate(readings, endpoints)
 
 
 # --- monitoring ----------------------------------------------------------------------------------
 
 def seen_recently(spark, sf):
-    return monitoring.seen_recently(newest(spark, sf), AS_OF, seconds=4 * 3600)
+    return monitoring.seen_recently(newest(spark, sf), LAST_MINUTES, seconds=300)
 
 
 # --- streams -------------------------------------------------------------------------------------

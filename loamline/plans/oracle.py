@@ -328,7 +328,7 @@ ORACLE: dict[str, str] = {
         FROM (SELECT device_id, site_id,
                      cast(floor((epoch_us({AS_OF}) - epoch_us(ts)) / 1000000.0::double) AS bigint) AS silence_s FROM newest)
         FULL JOIN (SELECT device_id, soil_moisture_pct FROM newest WHERE soil_moisture_pct IS NOT NULL) USING (device_id)
-        FULL JOIN (SELECT device_id, battery_v FROM newest WHERE battery_v < 3.9) USING (device_id)"""),
+        FULL JOIN (SELECT device_id, battery_v FROM newest WHERE battery_v IS NOT NULL) USING (device_id)"""),
     "features": _query("feat", "SELECT * FROM feat"),
     "next_hour_match": _query("feat", """SELECT f.device_id, f.site_id, f.hour_start, f.needs_irrigation_next_hour,
         n.min_soil_moisture_pct AS observed_min,
@@ -374,7 +374,8 @@ ORACLE: dict[str, str] = {
               count(quality_reason) AS quarantined, count(*) FILTER (WHERE quality_reason IS NULL) AS clean
               FROM checked GROUP BY 1)"""),
     "rule_rate_5m": _query("quarantine", _rate("quarantine", "kafka_ts", 5, "quality_rule")),
-    "seen_recently": _query("newest", f"SELECT count(*) AS devices FROM newest WHERE epoch_us({AS_OF}) - epoch_us(ts) < 14400000000"),
+    "seen_recently": _query("newest", f"SELECT count(*) AS devices FROM newest "
+                            "WHERE epoch_us(timestamp '2024-01-30 23:58:00') - epoch_us(ts) < 300000000"),
     "roc_auc": _query("feat", """SELECT round((sum(rank) FILTER (WHERE y = 1) - ones * (ones + 1) / 2.0::double)
           / (ones * zeros::double), 6) AS roc_auc
         FROM (SELECT y, ones, zeros, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::double AS rank
@@ -383,7 +384,7 @@ ORACLE: dict[str, str] = {
                            count(*) FILTER (WHERE needs_irrigation_next_hour = 0) OVER () AS zeros FROM feat))
         GROUP BY ones, zeros"""),
     "moisture_series": _query("passed", """SELECT device_id, soil_moisture_pct FROM passed
-        WHERE soil_moisture_pct IS NOT NULL AND air_humidity_pct IS NULL
+        WHERE soil_moisture_pct IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY ts DESC, kafka_offset, kafka_partition) = 1"""),
     "state_table": _query("newest", f"SELECT {_STATE} FROM newest"),
     "backfill_rows": _query("clean", "SELECT * FROM clean WHERE ts < timestamp '2024-01-20 00:00:00'"),

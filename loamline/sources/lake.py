@@ -18,16 +18,6 @@ HOURLY_COLUMNS = [
 ]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one partition per core.
-
-    A file with few row groups is read by few tasks however many cores there are. Scans of many files
-    have more partitions than cores and are left as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def read_lake(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """A table below a root folder; directory values become typed columns and prune the scan.
 

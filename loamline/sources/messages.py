@@ -9,14 +9,15 @@ MESSAGE_SCHEMA = ("key binary, value binary, topic string, partition int, offset
 
 
 def read_kafka(spark: SparkSession, servers: str, topic: str, starting: str = "latest",
-               max_per_trigger: int = 2000, **options: str) -> DataFrame:
-    """One topic as a stream, with a rate limit; offsets lost to retention do not stop it."""
+               max_per_trigger: int | None = None, allow_loss: bool = False, **options: str) -> DataFrame:
+    """One topic as a stream. A rate limit, and going on after offsets were lost to retention, are
+    choices of the caller."""
     reader = spark.readStream.format("kafka").options(**{
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
         "startingOffsets": starting,
-        "maxOffsetsPerTrigger": str(max_per_trigger),
-        "failOnDataLoss": "false",
+        "failOnDataLoss": str(not allow_loss).lower(),
+        **({"maxOffsetsPerTrigger": str(max_per_trigger)} if max_per_trigger else {}),
         **options,
     })
     return reader.load()

@@ -41,7 +41,7 @@ def test_hours_lie_on_a_circle(spark):
 
 
 def test_version_stamp(spark):
-    assert one(spark, times.version_stamp(at("2026-08-10T01:02:03"))) == "20260810T010203Z"
+    assert one(spark, times.version_stamp(at("2031-03-05T01:02:03"))) == "20310305T010203Z"
 
 
 def test_rounding_follows_the_decimal_reading(spark):
@@ -72,7 +72,7 @@ def test_outside(spark, value, inclusive, want):
 def test_texts(spark):
     assert one(spark, texts.reason_family(F.lit("range:a,b"))) == "range"
     assert one(spark, texts.reason_family(F.lit("unparseable_payload"))) == "unparseable_payload"
-    assert one(spark, texts.topic_segment(F.lit("farm/site-a/esp32-01/status"), -2)) == "esp32-01"
+    assert one(spark, texts.topic_segment(F.lit("farm/orchard/probe-7/status"), -2)) == "probe-7"
     assert one(spark, texts.topic_segment(F.lit("status"), -2)) is None
     assert one(spark, texts.flagged({"a": F.lit(True), "b": F.lit(False), "c": F.lit(True)})) == "a,c"
 

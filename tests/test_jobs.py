@@ -14,7 +14,7 @@ from loamline.sources.messages import read_message_files
 from loamline.sources.state_table import DeviceStateTable
 from loamline.streaming.job import judged, start_pipeline, start_router
 
-END = utc("2026-08-10T12:00:00")
+END = utc("2031-03-05T12:00:00")
 
 
 @pytest.fixture(scope="module")
@@ -61,14 +61,14 @@ def test_retraining(spark, lake):
     jobs.build_marts(spark, lake, END)
     options = {"trees": 5, "max_depth": 4, "min_rows": 100}
     first = jobs.retrain(spark, lake, END, **options)
-    assert first["candidate_version"] == "20260810T120000Z"
+    assert first["candidate_version"] == "20310305T120000Z"
     again = jobs.retrain(spark, lake, END + dt.timedelta(days=1), **options)
     assert not again["promoted"] and again["current_version"] == (first["candidate_version"] if first["promoted"] else None)
 
 
 def statuses(spark, *entries):
     return spark.createDataFrame(
-        [(f"farm/site-a/{d}/status", bytearray(f'{{"device_id":"{d}","status":"{s}"}}'.encode()), i)
+        [(f"farm/orchard/{d}/status", bytearray(f'{{"device_id":"{d}","status":"{s}"}}'.encode()), i)
          for i, (d, s) in enumerate(entries)], "topic string, value binary, received_order bigint")
 
 

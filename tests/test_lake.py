@@ -29,11 +29,11 @@ def test_directory_values_stay_text(spark, tmp_path):
     clean = gates.clean_records(judged(messages(spark, [payload(site_id="01")])))
     lake.write_partitioned(clean, str(tmp_path / "t"), CLEAN_PARTITIONS)
     row = lake.read_lake(spark, str(tmp_path / "t"), CLEAN_SCHEMA).first()
-    assert (row["site_id"], row["date"]) == ("01", dt.date(2026, 8, 10))
+    assert (row["site_id"], row["date"]) == ("01", dt.date(2031, 3, 5))
 
 
 def test_filters_reach_the_scan(spark, tmp_path):
-    clean = gates.clean_records(judged(messages(spark, [payload(), payload(site_id="b", ts="2026-08-10T11:00:00Z")])))
+    clean = gates.clean_records(judged(messages(spark, [payload(), payload(site_id="b", ts="2031-03-05T11:00:00Z")])))
     lake.write_partitioned(clean, str(tmp_path / "t"), CLEAN_PARTITIONS)
     df = (lake.read_lake(spark, str(tmp_path / "t"), CLEAN_SCHEMA)
           .filter("site_id = 'b' AND soil_moisture_pct > 10").select("device_id"))
@@ -45,13 +45,13 @@ def test_filters_reach_the_scan(spark, tmp_path):
 
 
 def test_backfill_ends_at_midnight_and_adds(spark, tmp_path):
-    path, now = str(tmp_path / "back"), dt.datetime(2026, 8, 10, 15, tzinfo=dt.timezone.utc)
+    path, now = str(tmp_path / "back"), dt.datetime(2031, 3, 5, 15, tzinfo=dt.timezone.utc)
     clean = gates.clean_records(judged(messages(spark, [
-        payload(ts="2026-08-09T23:59:59Z"), payload(ts="2026-08-10T00:00:00Z")])))
+        payload(ts="2031-03-04T23:59:59Z"), payload(ts="2031-03-05T00:00:00Z")])))
     lake.write_backfill(clean, path, now)
     lake.write_backfill(clean, path, now)
     stored = lake.read_lake(spark, path, CLEAN_SCHEMA)
-    assert [r["date"].day for r in stored.collect()] == [9, 9]
+    assert [r["date"].day for r in stored.collect()] == [4, 4]
     both = lake.read_with_backfill(spark, str(tmp_path / "stream"), path, CLEAN_SCHEMA)
     assert both.count() == 2
 

@@ -8,7 +8,7 @@ from loamline.streaming.job import judged
 
 
 def at(minute, second=0):
-    return utc(f"2026-08-10T12:{minute:02d}:{second:02d}")
+    return utc(f"2031-03-05T12:{minute:02d}:{second:02d}")
 
 
 def test_rates(spark):
@@ -21,7 +21,7 @@ def test_rates(spark):
 
 
 def test_quarantine_share(spark):
-    good = payload(ts="2026-08-10T12:00:00Z")
+    good = payload(ts="2031-03-05T12:00:00Z")
     checked = judged(messages(spark, [("x", at(0)), (good, at(1)), (good, at(2)), (good, at(9)), (good, at(10))]))
     got = monitoring.quarantine_pct(checked).orderBy("window_start").collect()
     assert [(r["quarantined"], r["clean"], round(r["quarantine_pct"], 6)) for r in got] == [(1, 3, 25.0), (0, 1, 0.0)]
@@ -64,5 +64,5 @@ def test_moisture_series(spark):
     rows = spark.createDataFrame([("a", at(0), 1.0, 0, 1), ("a", at(1), None, 0, 2)],
                                  "device_id string, ts timestamp, soil_moisture_pct double, kafka_partition int, kafka_offset bigint")
     assert [tuple(r) for r in last_known(rows, "soil_moisture_pct").collect()] == [("a", 1.0)]
-    full = judged(messages(spark, [payload(), payload(ts="2026-08-10T11:30:00Z", soil_moisture_pct=1.0)]))
-    assert latest_state(gates.passing(full)).select(F.col("soil_moisture_pct")).first()[0] == 54.89
+    full = judged(messages(spark, [payload(), payload(ts="2031-03-05T11:30:00Z", soil_moisture_pct=1.0)]))
+    assert latest_state(gates.passing(full)).select(F.col("soil_moisture_pct")).first()[0] == 41.25

@@ -105,3 +105,15 @@ def test_fact_aggregates_with_hash_tables(spark):
 def test_unused_columns_are_not_read(spark):
     plan = plan_of(QUERIES["throughput_5m"](spark, SF))
     assert "ReadSchema: struct<ts:timestamp_ntz,props:string>" in plan
+
+
+@pytest.mark.parametrize("name", ["stream_clean", "progress_log"])
+def test_streams_read_a_folder_of_parts(spark, tmp_path, name):
+    """The same rows whether the table is one file or a folder; a missing table raises."""
+    from loamline.plans.catalog import events_stream
+    spark.read.parquet(f"{SF}/events.parquet").repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES[name](spark, str(tmp_path))
+    want = QUERIES[name](spark, SF)
+    assert ordered(map(tuple, got.collect())) == ordered(map(tuple, want.collect()))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        events_stream(spark, str(tmp_path / "absent"))

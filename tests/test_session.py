@@ -3,7 +3,6 @@ from types import SimpleNamespace
 import pytest
 
 from loamline.session import RUNTIME_CONF, build_session, scratch_dir
-from loamline.sources.lake import spread
 
 
 def test_session_is_utc_with_adaptive_plans(spark):
@@ -22,12 +21,3 @@ def test_a_cluster_must_name_a_shared_folder():
         scratch_dir(session("spark://host:7077", None), "x")
     assert scratch_dir(session("spark://host:7077", "hdfs:///shared/"), "x").startswith("hdfs:///shared/x-")
     assert "loamline-" in scratch_dir(session("local[2]", None), "x")
-
-
-def test_only_small_scans_are_spread(spark, tmp_path):
-    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
-    one = spark.read.parquet(str(tmp_path / "one"))
-    cores = spark.sparkContext.defaultParallelism
-    assert spread(one).rdd.getNumPartitions() == cores
-    wide = spark.range(0, 100, 1, cores)
-    assert spread(wide) is wide

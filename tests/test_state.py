@@ -15,7 +15,7 @@ ROW = ("device_id string, site_id string, ts timestamp, soil_moisture_pct double
 def rows(spark, *entries):
     """(device, time, moisture, offset) as passing records."""
     return spark.createDataFrame(
-        [(d, "site-a", utc(t), m, 1, 1.0, 1.0, 4.0, "1.0.0", 0, o) for d, t, m, o in entries], ROW)
+        [(d, "orchard", utc(t), m, 1, 1.0, 1.0, 4.0, "1.0.0", 0, o) for d, t, m, o in entries], ROW)
 
 
 def content(df):
@@ -100,7 +100,7 @@ def test_table_columns(spark, table):
 
 
 def test_late_records_reach_the_state_but_rejected_ones_do_not(spark, table):
-    frame = messages(spark, [payload(ts="2026-08-09T13:00:00Z"), payload(soil_moisture_pct=148.0)])
+    frame = messages(spark, [payload(ts="2031-03-04T13:00:00Z"), payload(soil_moisture_pct=148.0)])
     table.apply(gates.passing(judged(frame)), 0)
     assert [r["ts"].hour for r in table.read().collect()] == [13]
 
@@ -139,7 +139,8 @@ def test_silence_classes(spark):
     assert {r["device_id"]: r["class"] for r in report.collect()} == {
         "fresh": "healthy", "rounded": "healthy", "edge": "expected_outage", "gone": "expected_outage",
         "ghost": "ghost", "none": "unknown", "odd": "unknown"}
-    with pytest.raises(state.GhostDevices, match="1 devices online without data: ghost"):
+    with pytest.raises(state.GhostDevices, match="1 devices online without data, longest ghost") as raised:
         state.require_no_ghosts(report)
+    assert raised.value.report is report
     calm = report.filter(F.col("class") != "ghost")
     assert state.require_no_ghosts(calm) is calm

@@ -1,7 +1,7 @@
 import json
 from datetime import datetime
 
-from conftest import messages, payload
+from conftest import messages, payload, values
 from pyspark.sql import functions as F
 
 from loamline.functions.times import is_iso_timestamp
@@ -16,6 +16,8 @@ CASES = [
     ("1,2", "invalid_json"),
     ("1,3", "invalid_json"),
     (payload() + " tail", "invalid_json"),
+    ("{},6]x", "invalid_json"),
+    ('{"device_id":"a","site_id":"b","ts":"2031-03-05T11:59:00Z"},70]garbage', "invalid_json"),
     (payload() + "] tail", "invalid_json"),
     (payload() + payload(), "invalid_json"),
     ("[1, 2, 3]", "not_an_object"),
@@ -23,13 +25,13 @@ CASES = [
     ("17", "not_an_object"),
     ('"text"', "not_an_object"),
     ("{}", "missing_fields:device_id,site_id,ts"),
-    (payload(device_id=...), "missing_fields:device_id"),
+    (payload(drop=["device_id"]), "missing_fields:device_id"),
     (payload(site_id=None), "missing_fields:site_id"),
     (payload(ts=""), "missing_fields:ts"),
-    (payload(device_id=..., site_id=...), "missing_fields:device_id,site_id"),
+    (payload(drop=["device_id", "site_id"]), "missing_fields:device_id,site_id"),
     (payload(ts="yesterday evening"), "unparseable_ts"),
     (payload(ts="12:30"), "unparseable_ts"),
-    (payload(ts=20260810), None),
+    (payload(ts=20310305), None),
     (payload(device_id=0), None),
     (payload(soil_moisture_pct=148.0), None),
     (payload(soil_moisture_pct=float("nan")), None),
@@ -38,7 +40,7 @@ CASES = [
     ("NaN", "not_an_object"),
     ('{"device_id":NaN,"site_id":"b","ts":"2026-01-01"}', None),
     ('{"device_id":"a","site_id":"b","ts":"2026-01-01","x":[NaN, -Infinity ]}', None),
-    ('{"device_id":"a","device_id":"","site_id":"s","ts":"2026-08-10"}', "missing_fields:device_id"),
+    ('{"device_id":"a","device_id":"","site_id":"s","ts":"2031-03-05"}', "missing_fields:device_id"),
     (b"\xff\xfe{}", "invalid_json"),
 ]
 
@@ -80,13 +82,13 @@ def test_agrees_with_the_standard_library(spark):
 
 
 TIMES = [
-    "2026-08-10", "2026-08-10T11:59:00.000Z", "2026-08-10 11:59", "2026-08-10T11:59:00+02:00",
-    "20260810T115900Z", "2026-08-10T11", "2026-08-10T25:00:00Z", "2026-02-30", "2024-02-29",
-    "2026-08-10T11:59:00.1234567Z", "2026-W33-1", "2026-W33", "2026W331", "2026-W331", "2026-W54-1",
-    "2026-W53-1", "2025-W53-1", "2026-08-10T115900", "2026-8-1", "2026-08-10T", "2026", " 2026-08-10",
-    "2026-08-10x11:59", "20260810", "20261301", "2026-08-10T11:60", "2026-08-10T11:59:61",
-    "2026-08-10T11:59:00,5", "2026-08-10T1159:00", "12:30", "now", "2026-08-10T11:59:00+0230",
-    "2026-08-10T11:59:00+02", "2026-W00-1", "2026-W10-0", "2026-08-10Z11:59",
+    "2031-03-05", "2031-03-05T11:59:00.000Z", "2031-03-05 11:59", "2031-03-05T11:59:00+02:00",
+    "20310305T115900Z", "2031-03-05T11", "2031-03-05T25:00:00Z", "2026-02-30", "2024-02-29",
+    "2031-03-05T11:59:00.1234567Z", "2026-W33-1", "2026-W33", "2026W331", "2026-W331", "2026-W54-1",
+    "2026-W53-1", "2025-W53-1", "2031-03-05T115900", "2026-8-1", "2031-03-05T", "2026", " 2031-03-05",
+    "2031-03-05x11:59", "20310305", "20261301", "2031-03-05T11:60", "2031-03-05T11:59:61",
+    "2031-03-05T11:59:00,5", "2031-03-05T1159:00", "12:30", "now", "2031-03-05T11:59:00+0230",
+    "2031-03-05T11:59:00+02", "2026-W00-1", "2026-W10-0", "2031-03-05Z11:59",
 ]
 
 
@@ -97,16 +99,16 @@ def test_iso_forms_agree_with_the_standard_library(spark):
 
 
 def test_router_and_envelope(spark):
-    texts = [payload(), payload(ts=...), "nope", payload(device_id="", ts=...)]
+    texts = [payload(), payload(drop=["ts"]), "nope", payload(drop=["ts"], device_id="")]
     checked = structure.check_structure(messages(spark, texts))
     good = structure.accepted(checked).collect()
-    assert [(r["offset"], r["record_key"]) for r in good] == [(0, "esp32-01")]
+    assert [(r["offset"], r["record_key"]) for r in good] == [(0, "probe-7")]
     bad = structure.dead_letters(checked).collect()
     assert [(r["key"], r["family"]) for r in bad] == [
-        ("esp32-01", "missing_fields"), (None, "invalid_json"), (None, "missing_fields")]
+        ("probe-7", "missing_fields"), (None, "invalid_json"), (None, "missing_fields")]
     body = json.loads(bad[0]["value"])
     assert body["reason"] == "missing_fields:ts"
-    assert body["mqtt_topic"] == "farm/site-a/esp32-01/telemetry"
+    assert body["mqtt_topic"] == "farm/orchard/probe-7/telemetry"
     assert body["payload"] == texts[1]
     assert datetime.fromisoformat(body["received_at"]).hour == 12
 
@@ -121,3 +123,10 @@ def test_counts(spark):
     got = {(r["result"], r["family"]): r["messages"] for r in structure.routing_counts(checked).collect()}
     assert got == {("forwarded", "none"): 2, ("dead_lettered", "invalid_json"): 1,
                    ("dead_lettered", "missing_fields"): 1}
+
+
+def test_no_text_can_close_the_array_itself(spark):
+    """A tail that names any length, its own among them, is not JSON."""
+    texts = [f"{payload()},{n}]{'x' * pad}" for n in range(150, 260) for pad in (0, 3)]
+    got = values(structure.check_structure(messages(spark, texts)), "offset", "reject_reason")
+    assert all(reason.startswith("invalid_json") for reason in got)
