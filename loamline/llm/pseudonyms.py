@@ -11,7 +11,7 @@ turns them back (``reveal``).
 - Phone numbers: ``+`` and 8 to 15 digits; the country's first digit stays.
 - Social security numbers ddd-dd-dddd with valid fields; serial and group are permuted within 1..n.
 - Dates yyyy-mm-dd from 1900-01-01 on for 270 x 270 days (to 2099); others and impossible ones stay.
-- IPv4 addresses: 32 bits in two halves.
+- IPv4 addresses: 32 bits in two halves; a number of the four may get more or fewer digits.
 
 A text is cut at its matches and joined again, so its length does not matter and no row leaves its task.
 Null texts stay null, empty ones empty. Repeated rows get equal results.
