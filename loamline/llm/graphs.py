@@ -33,11 +33,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                    .groupBy(F.col("u").alias("node")).agg(F.min("component").alias("offer")))
         lower = labels.join(offered, "node").select(
             "node", F.least("component", "offer").alias("component"), F.col("component").alias("old"))
-        lower = written(lower, "labels")
-        of_label = lower.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        of_label = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        root = F.coalesce("root", "component")
         jumped = written(lower.join(of_label, "component", "left").select(
-            "node", F.coalesce("root", "component").alias("component"),
-            (F.coalesce("root", "component") != F.col("old")).alias("changed")), "labels")
+            "node", root.alias("component"), (root != F.col("old")).alias("changed")), "labels")
         labels = jumped.select("node", "component")
         if jumped.filter("changed").isEmpty():
             return labels

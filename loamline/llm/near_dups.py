@@ -12,7 +12,7 @@ the figure falls fast. The rest is exact:
 - documents with equal word sequences are one class, found by grouping, not by pairs;
 - in every bucket all members are compared with its *centre*, the member that meets most others in
   all its buckets: in a group of edited copies that is the original or the copy nearest to it. Links
-  join components; then the members outside the centre's component get a centre of their own, twice;
+  join components;
 - what is left are pairs of different components around a common centre. Of these only pairs that
   share a shingle which the centre lacks, or whose sizes allow it without one, can be similar
   (``_around``); all of them are compared. Pairs inside a component are never made.
@@ -139,20 +139,10 @@ def _similar(percent: int, both: Column, sizes: Column) -> Column:
     return F.lit(100 + percent) * both >= F.lit(percent) * sizes
 
 
-def _named(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Buckets with components, those that span several."""
-    named = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "band", "doc_id", "centrality", F.coalesce("component", "doc_id").alias("component"))
-    several = (named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-               .filter("low < high").select("band"))
-    return written(named.join(several, "band", "left_semi"), "open")
-
-
 def _centres(members: DataFrame) -> DataFrame:
     """The member of each bucket that meets most others in all its buckets."""
-    best = members.groupBy("band").agg(F.max("centrality").alias("centrality"))
-    top = members.join(written(best, "best"), ["band", "centrality"]).groupBy("band").agg(F.min("doc_id").alias("c"))
-    return written(top, "centres")
+    first = F.struct("centrality", -F.col("doc_id"))
+    return written(members.groupBy("band").agg(F.max_by("doc_id", first).alias("c")), "centres")
 
 
 def _around(compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -160,7 +150,9 @@ def _around(compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
     Of x and a around c, the common part is at most the smaller of their parts in c, plus what both
     have outside c. So they are similar only if they share a shingle that c lacks, or if the smaller
-    part in c alone would do, which bounds the size of a by that of x.
+    part in c alone would do, which bounds the size of a by that of x. Private shingles are taken from
+    the rarest on: what x and a can share from a common one on is at most what either has left, so a
+    pair that is similar passes at the rarest shingle it shares.
     """
     of = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     around = compared.join(of, F.col("x") == F.col("_n"), "left").withColumn(
@@ -172,17 +164,21 @@ def _around(compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     # A pair needs at least ``need`` common shingles outside c, so the rarest of them is among all but
     # the ``need - 1`` most common ones of either side; the order is the same for all around c.
     need = F.greatest(F.ceil(F.col("m") * percent / 100) - F.col("both"), F.lit(1))
-    token = written(around.select("c", "x", "comp", "m", (F.size("own") - need + 1).alias("prefix"), F.explode("own").alias("token"))
+    token = written(around.select("c", "x", "comp", "m", "both", F.size("own").alias("private"), (F.size("own") - need + 1).alias("prefix"),
+                                F.explode("own").alias("token"))
                     .filter("prefix > 0"), "private")
     spread = written(token.groupBy("c", "token").agg(F.count("*").alias("n"), F.min("comp").alias("low"),
                                                      F.max("comp").alias("high")), "spread")
     place = F.row_number().over(Window.partitionBy("c", "x").orderBy("n", "token"))
     token = written(token.join(spread, ["c", "token"]).withColumn("place", place).filter(
-        "place <= prefix AND low < high").select("c", "token", "x", "comp", "m"), "prefixes")
-    by_token = token.join(token.select("c", "token", F.col("x").alias("a"), F.col("comp").alias("theirs"),
-                                       F.col("m").alias("size")), ["c", "token"]).filter(
+        "place <= prefix AND low < high").select(
+        "c", "token", "x", "comp", "m", "both", (F.col("private") - F.col("place") + 1).alias("rest")), "prefixes")
+    others = token.select("c", "token", F.col("x").alias("a"), F.col("comp").alias("theirs"), F.col("m").alias("size"),
+                          F.col("both").alias("their_both"), F.col("rest").alias("their_rest"))
+    most = F.least("both", "their_both") + F.least("rest", "their_rest")
+    by_token = token.join(others, ["c", "token"]).filter(
         (F.col("comp") != F.col("theirs")) & (F.col("x") < F.col("a"))
-        & (F.lit(100) * F.least("m", "size") >= F.lit(percent) * F.greatest("m", "size")))
+        & _similar(percent, most, F.col("m") + F.col("size")))
 
     # Sizes are compared in steps of the centre's size, exactly after the join.
     reach = F.floor(F.lit(100 + percent) * F.col("both") / percent) - F.col("m")
@@ -202,8 +198,7 @@ def _around(compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return written(pairs.distinct(), "pairs")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: int = 32, rows: int = 4,
-                    peels: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: int = 32, rows: int = 4) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text"))
     sketch = written(sketches(docs, width, bands, rows), "sketches")
@@ -229,21 +224,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
     compared = written(_compare(star, sets, private=True), "compared")
     hit = _similar(percent, F.col("both"), F.col("m") + F.col("n"))
     labels = components(compared.filter(hit).select(F.col("x").alias("a"), F.col("c").alias("b")))
-    for turn in range(peels + 1):
-        if turn < peels:
-            open_ = _named(buckets, labels)
-            home = open_.join(centres, "band").filter(F.col("doc_id") == F.col("c")).select(
-                "band", F.col("component").alias("home"))
-            peeled = open_.join(written(home, "homes"), "band", "left").filter(
-                F.col("home").isNull() | (F.col("component") != F.col("home")))
-            centre = _centres(peeled)
-            pairs = written(peeled.join(centre, "band").filter(F.col("doc_id") != F.col("c"))
-                            .select(F.col("doc_id").alias("x"), "c").distinct(), "pairs")
-        else:
-            pairs = _around(compared, labels, percent)
-        if pairs.isEmpty():
-            continue
-        found = written(_compare(pairs, sets, private=False), "links").filter(hit)
+    pairs = _around(compared, labels, percent)
+    if not pairs.isEmpty():
+        found = _compare(pairs, sets, private=False).filter(hit)
         labels = components(found.select(F.col("x").alias("a"), F.col("c").alias("b"))
                             .union(labels.select("component", "node")))
 
