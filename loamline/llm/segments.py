@@ -17,11 +17,13 @@ results.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +36,28 @@ Part = tuple[float, bytes, float]
 _NEVER = float("inf")
 
 
+class Recent:
+    """A bounded cache: what was not used while ``limit`` newer keys came in is forgotten."""
+
+    def __init__(self, limit: int):
+        self._limit = limit
+        self.new: dict = {}  # a miss here is no miss; loops look here first, as it costs no call
+        self._old: dict = {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None and self._old:
+            found = self._old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self._limit:
+            self._old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class Lattice:
     """Pieces with scores, and the n best paths through the lattice of one part."""
 
@@ -52,48 +76,77 @@ class Lattice:
         for piece in self.pieces:
             for stop in range(1, len(piece) + 1):
                 self._begins.setdefault(piece[:stop], self.pieces.get(piece[:stop]))
+        # The same as nested tables by character: (table behind it, cost, id), and the pairs inside pieces.
+        self._trie: dict = {}
+        self._joints: set[str] = set()
+        for piece, (i, score) in self.pieces.items():
+            table = self._trie
+            for c in piece[:-1]:
+                entry = table.get(c, (None, 0.0, None))
+                if entry[0] is None:
+                    entry = table[c] = ({}, *entry[1:])
+                table = entry[0]
+            table[piece[-1]] = (table.get(piece[-1], (None,))[0], -score, i)
+            self._joints.update(piece[k:k + 2] for k in range(len(piece) - 1))
         self._byte_score = floor - 10.0
         self._n = n
-        self._limit = limit
-        self._cache: dict[str, Part] = {}
-        self._before: dict[str, Part] = {}
+        self._cache, self._sections, self._searched = Recent(limit), Recent(limit), Recent(limit // 20)
 
     def part(self, text: str) -> Part:
         """Best score of a part, its ids as 32-bit numbers, and what the second best costs more."""
-        found = self._before.get(text) or self._two_best(text)
-        if len(self._cache) >= self._limit:
-            self._before, self._cache = self._cache, {}
+        found = self._cache.get(text)
+        if found:
+            return found
+        found = self._joined(text)
         if len(text) <= 64:
-            self._cache[text] = found
+            self._cache.put(text, found)
         return found
 
-    def _two_best(self, text: str) -> Part:
-        """Viterbi with the two best scores per place. A tie at the end shows as a gap of 0, and then
-        the search decides which ids come first."""
-        size, begins = len(text), self._begins
-        first, second = [_NEVER] * (size + 1), [_NEVER] * (size + 1)  # costs: scores with their sign turned
+    def _joined(self, text: str) -> Part:
+        """A part from its sections: it is cut wherever no piece holds the two characters side by side, as no
+        edge crosses there. A gap of 0 is a tie, and then the search decides which ids come first."""
+        joints, start, sections = self._joints, 0, []
+        for at in range(1, len(text)):
+            if text[at - 1:at + 1] not in joints:
+                sections.append(text[start:at])
+                start = at
+        sections.append(text[start:])
+        known = self._sections.new.get
+        found = [known(s) or self._sections.get(s) or self._section(s) for s in sections]
+        gap = min([f[2] for f in found])
+        if gap == 0:
+            score, ids = self.search(text)[0]
+            return score, struct.pack(f"<{len(ids)}I", *ids), gap
+        if len(found) == 1:
+            return found[0]
+        return sum([f[0] for f in found]), b"".join([f[1] for f in found]), gap
+
+    def _section(self, text: str) -> Part:
+        """Viterbi with the two best costs (scores with their sign turned) per place."""
+        size, root = len(text), self._trie
+        first, second = [_NEVER] * (size + 1), [_NEVER] * (size + 1)
         came: list = [None] * (size + 1)
         first[0] = 0.0
         for at in range(size):
-            one, two = first[at], second[at]
+            one, two, node = first[at], second[at], root
             for stop in range(at + 1, size + 1):
-                piece = begins.get(text[at:stop], False)
-                if piece:
-                    cost = one - piece[1]
-                    if cost < first[stop]:
-                        second[stop] = min(first[stop], two - piece[1])
-                        first[stop], came[stop] = cost, (at, piece[0])
+                entry = node.get(text[stop - 1])
+                if entry is None:
+                    break
+                node, more, piece = entry
+                if piece is not None:
+                    cost, best = one + more, first[stop]
+                    if cost < best:
+                        other = two + more
+                        second[stop] = best if best < other else other
+                        first[stop], came[stop] = cost, (at, piece)
                     elif cost < second[stop]:
                         second[stop] = cost
-                elif piece is False:
+                if node is None:
                     break
             if text[at] not in self.pieces:
                 first[at + 1], second[at + 1] = one - self._byte_score, two - self._byte_score
                 came[at + 1] = (at, None)
-        gap = second[size] - first[size]
-        if gap == 0:
-            score, ids = self.search(text)[0]
-            return score, struct.pack(f"<{len(ids)}I", *ids), gap
         path: list[int] = []
         at = size
         while at:
@@ -104,7 +157,10 @@ class Lattice:
                 path.append(piece)
             at = start
         path.reverse()
-        return -first[size], struct.pack(f"<{len(path)}I", *path), gap
+        found = -first[size], struct.pack(f"<{len(path)}I", *path), second[size] - first[size]
+        if size <= 64:
+            self._sections.put(text, found)
+        return found
 
     def search(self, text: str) -> list[Segmentation]:
         """Up to n segmentations of a part, best first."""
@@ -144,18 +200,27 @@ class Lattice:
                 heapq.heappush(heap, (-(best[start] + score + behind), turn, start, score + behind, (ids, tail)))
         return out
 
+    def _alternatives(self, text: str) -> list[Segmentation]:
+        """All of the n best of a part but the first."""
+        found = self._searched.get(text)
+        if found is None:
+            found = self.search(text)[1:]
+            if len(text) <= 64:
+                self._searched.put(text, found)
+        return found
+
     def text(self, text: str) -> list[tuple[float, bytes]]:
         """Up to n segmentations of a whole text, best first: score and ids as 32-bit numbers."""
         if not text:
             return [(0.0, b"")]
         names = _PARTS.findall(SPACE + text.replace(" ", SPACE))
-        known = self._cache.get
+        known = self._cache.new.get
         parts = [known(name) or self.part(name) for name in names]
         total = sum([p[0] for p in parts])
         gaps = [p[2] for p in parts]
         # The n - 1 cheapest alternatives lie in the n - 1 parts whose second best costs least.
         near = heapq.nsmallest(self._n - 1, range(len(gaps)), gaps.__getitem__)
-        other = {i: self.search(names[i])[1:] for i in near if gaps[i] < _NEVER}
+        other = {i: self._alternatives(names[i]) for i in near if gaps[i] < _NEVER}
         cheap = heapq.nsmallest(self._n - 1, [(parts[i][0] - score, i, k) for i, found in other.items()
                                               for k, (score, _) in enumerate(found)])
         changes: list[tuple[float, tuple]] = [(0.0, ())]
@@ -178,6 +243,14 @@ class Lattice:
         return raw.decode("utf-8", "replace").replace(SPACE, " ")[1:]
 
 
+@lru_cache(maxsize=1)
+def worker_lattice(path: str, n: int) -> Lattice:
+    """One lattice per Python worker, so that later tasks find its caches filled."""
+    lattice = Lattice(path, n)
+    gc.freeze()  # the tables stay; the collector need not walk them again and again
+    return lattice
+
+
 _SCHEMA = "doc_id bigint, paths array<struct<score:double,ids:array<int>>>"
 
 
@@ -186,7 +259,7 @@ def encode(docs: DataFrame, model: str | Callable[[], str], n: int = 4) -> DataF
     paths = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(model if isinstance(model, str) else model(), n)
+        lattice = worker_lattice(model if isinstance(model, str) else model(), n)
         for batch in batches:
             for lo in range(0, len(batch), 64):
                 some = batch.slice(lo, 64)
@@ -206,7 +279,7 @@ def digests(docs: DataFrame, model: str | Callable[[], str], n: int = 4) -> Data
                        ("scores", pa.list_(pa.float64())), ("ids_crc32", pa.list_(pa.int64())), ("round_trip", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(model if isinstance(model, str) else model(), n)
+        lattice = worker_lattice(model if isinstance(model, str) else model(), n)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
