@@ -13,8 +13,8 @@ MILLIONTHS = 1_000_000.0
 
 
 def round_exact(value: Column, digits: int) -> Column:
-    """Round half up on the decimal reading of a double."""
-    return F.round(value.cast("decimal(18,6)"), digits).cast("double")
+    """Round half up, once, on the shortest decimal reading of a double; NaN and infinities stay."""
+    return F.round(value.cast("double"), digits)
 
 
 def millionths(value: Column) -> Column:

@@ -118,7 +118,7 @@ SELECT device_id, site_id, ts AS measured_at, date AS measured_date, soil_moistu
 
 
 def _round(value: str, digits: int) -> str:
-    return f"cast(round(cast({value} AS decimal(18,6)), {digits}) AS double)"
+    return f"cast(round(cast(cast({value} AS varchar) AS decimal(38,18)), {digits}) AS double)"
 
 
 def _mean(column: str, digits: int = 2) -> str:

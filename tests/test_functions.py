@@ -47,6 +47,10 @@ def test_version_stamp(spark):
 def test_rounding_follows_the_decimal_reading(spark):
     assert one(spark, numbers.round_exact(F.lit(0.285), 2)) == 0.29
     assert one(spark, numbers.round_exact(F.lit(-0.285), 2)) == -0.29
+    assert one(spark, numbers.round_exact(F.lit(0.0049999996), 2)) == 0.0
+    assert one(spark, numbers.round_exact(F.lit(12.3449999996), 2)) == 12.34
+    assert one(spark, numbers.round_exact(F.lit(1e13), 2)) == 1e13
+    assert math.isnan(one(spark, numbers.round_exact(F.lit(float("nan")), 2)))
 
 
 def test_mean_is_exact_and_skips_null(spark):
