@@ -23,7 +23,7 @@ from loamline.session import prepare, scratch_dir
 from loamline.sources.lake import load_hourly, materialize, read_lake, write_backfill
 from loamline.sources.state_table import DeviceStateTable
 from loamline.streaming.job import judged, start_file_sink
-from loamline.streaming.progress import RULES, progress_table, with_gate_counts
+from loamline.streaming.progress import PROGRESS_SCHEMA, RULES, log_progress, with_gate_counts
 
 AS_OF = "2024-01-30 18:00:00"
 # An instant a few minutes before the newest records end, for reports on the last minutes.
@@ -378,9 +378,9 @@ def progress_log(spark, sf):
     checked_stream = with_gate_counts(judged(event_feed.messages(events_stream(spark, sf))))
     query = start_file_sink(gates.clean_records(checked_stream), "clean", f"{root}/telemetry",
                             CLEAN_PARTITIONS, f"{root}/ckpt", every=None)
-    query.awaitTermination()
+    log_progress(query, f"{root}/log")
     counted = ["input_rows", "dropped_rows", "passing_rows", *[f"{r}_rows" for r in RULES]]
-    return progress_table(spark, [query]).groupBy("query").agg(*[F.sum(c).alias(c) for c in counted])
+    return read_lake(spark, f"{root}/log", PROGRESS_SCHEMA).groupBy("query").agg(*[F.sum(c).alias(c) for c in counted])
 
 
 # --- models --------------------------------------------------------------------------------------

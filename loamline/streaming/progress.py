@@ -53,7 +53,8 @@ def progress_row(progress: StreamingQueryProgress) -> tuple:
 
 
 def progress_table(spark: SparkSession, queries: Iterable[StreamingQuery]) -> DataFrame:
-    """The micro-batches the queries still remember (Spark keeps the last hundred of each)."""
+    """The micro-batches the queries still remember (Spark keeps the last hundred of each); ``log_progress``
+    keeps all."""
     rows = [progress_row(p) for q in queries for p in q.recentProgress]
     return spark.createDataFrame(rows, PROGRESS_SCHEMA)
 
@@ -67,6 +68,40 @@ def append_progress(table: DataFrame, path: str) -> None:
     new.select(*table.columns).coalesce(1).write.mode("append").parquet(path)
 
 
+def log_progress(query: StreamingQuery, path: str, every: float = 1.0, rows: int = 25) -> None:
+    """Wait until a query ends, and write all its micro-batches to a table, ``rows`` or more at a time.
+
+    What the query remembers is read every so many seconds, far more often than it forgets, and without
+    the callback port of a listener. Batches are numbered without gaps: if one was missed all the same,
+    this raises, since sums over the table would be too small.
+    """
+    spark = SparkSession.active()
+    kept = int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100"))
+    last, ended = None, False
+    while not ended:
+        try:
+            ended = query.awaitTermination(every)
+        except Exception:
+            _log_new(spark, query, path, last, kept, 1)
+            raise
+        last = _log_new(spark, query, path, last, kept, 1 if ended else rows)
+
+
+def _log_new(spark: SparkSession, query: StreamingQuery, path: str, last: int | None, kept: int, least: int) -> int | None:
+    """Write the micro-batches after ``last`` if there are ``least`` or more; the last one written."""
+    known = query.recentProgress
+    new = [progress_row(p) for p in known if last is None or p.batchId > last]
+    if not new:
+        return last
+    first = new[0][2]
+    if len(known) >= kept and (last is None or first > last + 1) and first > 0:
+        raise RuntimeError(f"micro-batches before {first} of {query.name} ended unseen")
+    if len(new) < least:
+        return last
+    append_progress(spark.createDataFrame(new, PROGRESS_SCHEMA), path)
+    return new[-1][2]
+
+
 class ProgressListener(StreamingQueryListener):
     """Hands one row per micro-batch to a callback, for jobs that run for long."""
 

@@ -117,3 +117,16 @@ def test_streams_read_a_folder_of_parts(spark, tmp_path, name):
     assert ordered(map(tuple, got.collect())) == ordered(map(tuple, want.collect()))
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         events_stream(spark, str(tmp_path / "absent"))
+
+
+def test_progress_log_counts_all_batches(spark, tmp_path, monkeypatch):
+    """More micro-batches than a query remembers."""
+    from loamline.plans import catalog
+    monkeypatch.setattr(catalog, "STREAM_FILES", 1)
+    source = spark.read.parquet(f"{SF}/events.parquet")
+    source.limit(130).repartitionByRange(130, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["progress_log"](spark, str(tmp_path)).first()
+    want = source.limit(130).count()
+    assert len(list((tmp_path / "events.parquet").glob("*.parquet"))) > 110
+    assert got["input_rows"] == want
+    assert got["passing_rows"] == catalog.gates.passing(catalog.checked(spark, str(tmp_path))).count()
