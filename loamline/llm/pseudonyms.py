@@ -6,9 +6,14 @@ get equal pseudonyms in every document, however written, different values differ
 turns them back (``reveal``).
 
 - Cards: 13 to 19 digits with a valid Luhn digit; the digits before it are permuted, it is computed anew.
+  In a run of numbers (a card beside a security code, a date, another card) each number is tried as a
+  card's begin, in the groupings of ``CARDS`` in their order. Equal cards get equal pseudonyms there, too;
+  the price is that a pseudonym can by chance (1 in 10 for each other reading of such a run, such as with
+  a group of four digits before the card) form a card with its neighbours, and ``reveal`` misreads that run.
 - IBANs: two letters, mod-97 valid, up to 30 digits behind the check digits; the digits are permuted and
   the check digits computed anew. Country and length stay.
-- Phone numbers: ``+`` and 8 to 15 digits; the country's first digit stays.
+- Phone numbers: ``+`` and 8 to 15 digits; the country's first digit stays. A number of another kind, or
+  with decimals, behind them is not theirs; +1 has ten digits behind it.
 - Social security numbers ddd-dd-dddd with valid fields; serial and group are permuted within 1..n.
 - Dates yyyy-mm-dd from 1900-01-01 on for 270 x 270 days (to 2099); others and impossible ones stay.
 - IPv4 addresses: 32 bits in two halves; a number of the four may get more or fewer digits.
@@ -27,15 +32,37 @@ from loamline.operators.parsing import once
 ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", 270
 
+_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[0-9]{4}){2,7}(?:\x20?[0-9]{1,3})?(?![A-Za-z0-9])"
+_SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
+_IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])"
+# What a number with separators must not run into.
+_OTHER = f"(?!{_SSN}|{_DATE}|{_IP})"
+# How cards are written: the first of these whose Luhn digit is right counts.
+CARDS = (
+    r"[0-9]{13,19}", r"[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}", r"[0-9]{4}([\x20-])[0-9]{6}\1[0-9]{4,5}",
+    r"[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{5}", r"[0-9]{8}[\x20-][0-9]{8}", r"[0-9]{6}[\x20-][0-9]{13}",
+    r"[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}\1[0-9]{1,3}",
+)
+# A card right behind a phone number, with nothing behind it that could be its last group.
+_CARD_NEXT = (r"(?=[\x20-](?:[0-9]{13,19}(?![0-9])|[0-9]{4}(?<s>[\x20-])[0-9]{4}\k<s>[0-9]{4}\k<s>[0-9]{4}(?![0-9]|\k<s>[0-9]{4}(?![0-9]))"
+              r"|[0-9]{4}(?<t>[\x20-])[0-9]{6}\k<t>[0-9]{4,5}(?![0-9])))")
+_PHONE_END = r"(?![0-9]|\.[0-9])"
+_STEP = r"(?:(?!\.\x20)[\x20().-]{0,2}" + _OTHER + "[0-9])"
 # One alternative per kind, the most specific first; a digit or letter on either side
-# means that the match is part of something longer.
+# means that the match is part of something longer. Phone numbers: before a card; the North American
+# grouping; one separator style; any. Cards: all numbers joined by spaces or hyphens, to be cut into cards.
 PATTERNS = {
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[0-9]{4}){2,7}(?:\x20?[0-9]{1,3})?(?![A-Za-z0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
-    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])",
-    "phone": r"(?<![0-9+])\+[0-9](?:[\x20().-]{0,2}[0-9]){7,14}(?![0-9])",
-    "card": r"(?<![0-9.-])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])",
+    "iban": _IBAN,
+    "ssn": _SSN,
+    "date": _DATE,
+    "ip": _IP,
+    "phone": (r"(?<![0-9+])\+(?:[0-9]" + _STEP + "{7,14}?" + _CARD_NEXT
+              + r"|1[\x20.-]?(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}" + _PHONE_END
+              + r"|[0-9](?:\.?[0-9]){7,14}" + _PHONE_END
+              + r"|[0-9](?:[\x20()-]{0,2}" + _OTHER + "[0-9]){7,14}" + _PHONE_END
+              + "|[0-9]" + _STEP + "{7,14}(?![0-9]))"),
+    "card": r"(?<![0-9.-])(?=[0-9](?:[\x20-]?[0-9]){12})[0-9]++(?:[\x20-]" + _OTHER + "[0-9]++)*+",
 }
 KINDS = tuple(PATTERNS)
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -161,27 +188,80 @@ def _ip(m: Column, key: str, back: bool) -> Column:
 _MAKERS = {"iban": _iban, "ssn": _ssn, "date": _date, "ip": _ip, "phone": _phone, "card": _card}
 
 
-def _replaced(m: Column, key: str, back: bool) -> Column:
-    """Struct (kind, text): the pseudonym of a match, or the match and a null kind if it is not valid."""
-    kind, text = F.lit(None).cast("string"), m
-    for name in reversed(KINDS):
-        shaped = m.rlike(f"^(?:{PATTERNS[name]})$")
-        made = _MAKERS[name](m, key, back)
-        text = F.when(shaped, F.coalesce(made, m)).otherwise(text)
-        kind = F.when(shaped, F.when(made.isNotNull(), name)).otherwise(kind)
-    return F.struct(kind.alias("kind"), text.alias("text"))
+def _kind(m: Column) -> Column:
+    """The kind a match outside a run of numbers has, by its shape."""
+    kind = F.when(m.startswith("+"), "phone").when(m.rlike("^[A-Z]"), "iban")
+    for name in ("ssn", "date", "ip"):
+        kind = kind.when(m.rlike(f"^(?:{PATTERNS[name]})$"), name)
+    return kind
+
+
+def _lone(m: Column) -> Column:
+    return F.array(F.struct(F.lit("").alias("gap"), m.alias("m"), _kind(m).alias("kind")))
+
+
+def _cut(m: Column) -> Column:
+    """A run of numbers as pieces (gap before it, text, kind): cards, and single numbers without a kind.
+
+    From left to right, a card is the first way of writing that begins at a number and is valid. A run
+    that holds none is a card itself if it is valid as a whole, however grouped.
+    """
+    def card(window: Column) -> Column:
+        found = [F.regexp_extract(window, f"^(?:{p})(?![0-9])", 0) for p in CARDS]
+        return F.coalesce(*[F.when((f != "") & (_luhn_sum(_digits(f), False) % 10 == 0), f) for f in found], F.lit(""))
+
+    def cut(run: Column) -> Column:
+        numbers = F.regexp_extract_all(run, F.lit("[0-9]+"), F.lit(0))
+        signs = F.regexp_extract_all(run, F.lit("[\\x20-]"), F.lit(0))
+        windows = F.regexp_extract_all(run, F.lit(r"(?<![0-9])(?=([0-9]+(?:[\x20-][0-9]+){0,4}))[0-9]+"), F.lit(1))
+        digits = _digits(run)
+        odd = F.when(F.length(digits).between(13, 19) & (_luhn_sum(digits, False) % 10 == 0), run).otherwise("")
+        known = F.transform(windows, card)
+        cards = F.transform(F.array(known), lambda k: F.when(F.exists(k, lambda c: c != ""), k).otherwise(
+            F.transform(k, lambda c, i: F.when(i == 0, odd).otherwise(""))))[0]
+        return F.transform(F.array(F.struct(numbers.alias("n"), signs.alias("s"), cards.alias("c"))), join)[0]
+
+    def join(x: Column) -> Column:
+        def step(state: Column, c: Column) -> Column:
+            inside = state["left"] > 0
+            begins = ~inside & (c != "")
+            return F.struct(
+                F.when(inside, state["left"] - 1).when(begins, F.size(F.split(c, "[\\x20-]")) - 1).otherwise(0).alias("left"),
+                F.concat(state["marks"], F.when(inside, "i").when(begins, "c").otherwise("n")).alias("marks"))
+
+        marks = F.split(F.aggregate(x["c"], F.struct(F.lit(0).alias("left"), F.lit("").alias("marks")), step)["marks"], "")
+        pieces = F.transform(F.arrays_zip(marks.alias("mark"), x["n"].alias("n"), x["c"].alias("c")), lambda z, i: F.struct(
+            F.when((i == 0) | (z["mark"] == "i"), "").otherwise(F.get(x["s"], i - 1)).alias("gap"),
+            F.when(z["mark"] == "c", z["c"]).when(z["mark"] == "n", z["n"]).otherwise("").alias("m"),
+            F.when(z["mark"] == "c", "card").alias("kind")))
+        return pieces
+
+    return F.when(m.rlike(f"^(?:{PATTERNS['card']})$") & _kind(m).isNull(), cut(m)).otherwise(_lone(m))
+
+
+def _replaced(piece: Column, key: str, back: bool) -> Column:
+    """Struct (gap, kind, original, text): the pseudonym of a piece, or the piece and a null kind if it is
+    not valid."""
+    made = F.lit(None).cast("string")
+    for name in KINDS:
+        made = F.when(piece["kind"] == name, _MAKERS[name](piece["m"], key, back)).otherwise(made)
+    return F.transform(F.array(made), lambda t: F.struct(
+        piece["gap"].alias("gap"), F.when(t.isNotNull(), piece["kind"]).alias("kind"), piece["m"].alias("original"),
+        F.coalesce(t, piece["m"]).alias("text")))[0]
 
 
 def pseudonymize(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
     """(doc_id, text, found): texts with pseudonyms, and an array of (kind, original, pseudonym)."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     matched = once(rows, m=F.regexp_extract_all("text", F.lit(_ANY), F.lit(0)))
-    made = once(matched, made=F.transform("m", lambda m: _replaced(m, key, back)))
-    gaps = F.split("text", _ANY, -1)
-    whole = F.array_join(F.transform(gaps, lambda g, i: F.concat(
-        g, F.coalesce(F.get(F.col("made"), i)["text"], F.lit("")))), "")
-    found = F.filter(F.transform("made", lambda x, i: F.struct(
-        x["kind"].alias("kind"), F.get(F.col("m"), i).alias("original"), x["text"].alias("pseudonym"))), lambda x: x["kind"].isNotNull())
+    cut = once(matched, pieces=F.transform("m", _cut))
+    replaced = once(cut, made=F.transform("pieces", lambda p: F.transform(p, lambda x: _replaced(x, key, back))))
+    joined = F.transform("made", lambda p: F.array_join(F.transform(p, lambda x: F.concat(x["gap"], x["text"])), ""))
+    made = once(replaced, joined=joined)
+    whole = F.array_join(F.transform(F.split("text", _ANY, -1), lambda g, i: F.concat(
+        g, F.coalesce(F.get(F.col("joined"), i), F.lit("")))), "")
+    found = F.transform(F.filter(F.flatten("made"), lambda x: x["kind"].isNotNull()), lambda x: F.struct(
+        x["kind"].alias("kind"), x["original"].alias("original"), x["text"].alias("pseudonym")))
     return made.select("doc_id", F.when(F.size("m") > 0, whole).otherwise(F.col("text")).alias("text"),
                        F.coalesce(found, F.array().cast("array<struct<kind:string,original:string,pseudonym:string>>")).alias("found"))
 

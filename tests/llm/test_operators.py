@@ -84,6 +84,36 @@ def test_pseudonyms_keep_the_format_and_link(spark):
     assert {r["doc_id"]: r["text"] for r in back.collect()} == PERSONAL
 
 
+CARD, PHONE, IP = "4111111111111111", "+1 (826) 555-4081", "190.137.223.204"
+BESIDE = {
+    1: [CARD], 2: [PHONE], 3: [IP], 4: [PHONE, IP], 5: [CARD, "123"], 6: ["4111 1111 1111 1111", "12/26"], 7: ["5", CARD],
+    8: [PHONE, "4111 1111 1111 1111"], 9: ["+44 20 7946 0958", "4111 1111 1111 1111"], 10: ["+44 20 7946 0958", "1.5 kg"],
+    11: ["4111 1111 1111 1111", "5500 0000 0000 0004"], 12: [CARD, IP], 13: ["2023-02-30", CARD], 14: ["5", "2023-02-28", CARD],
+    15: ["+44 20 7946 0958"], 16: ["5500000000000004"], 17: ["2022", "4111-1111-1111-1111"], 18: ["3782 822463 10005", "0000"],
+    19: ["41 111 11111111111"], 20: [PHONE + ".", "20 people"],
+}
+
+
+def test_pseudonyms_of_neighbours(spark):
+    texts = {i: " ".join(parts) for i, parts in BESIDE.items()}
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonymize(docs_of(spark, texts), "k").collect()}
+    alone = {i: got[i]["found"][0]["pseudonym"] for i in (1, 2, 3, 15, 16)}
+    assert got[4]["text"] == f"{alone[2]} {alone[3]}"
+    assert got[5]["text"] == f"{alone[1]} 123" and got[7]["text"] == f"5 {alone[1]}"
+    assert got[9]["text"].startswith(alone[15]) and got[10]["text"] == f"{alone[15]} 1.5 kg"
+    assert got[12]["text"].startswith(alone[1]) and got[20]["text"] == f"{alone[2]}. 20 people"
+
+    def cards(i):
+        return [re.sub("[^0-9]", "", f["pseudonym"]) for f in got[i]["found"] if f["kind"] == "card"]
+
+    assert all(cards(i) == [alone[1]] for i in (1, 5, 6, 7, 8, 9, 12, 13, 14, 17, 19))
+    assert cards(11) == [alone[1], alone[16]] and cards(10) == [] and len(cards(18)) == 1
+    assert [[f["kind"] for f in got[i]["found"]] for i in (4, 8, 9, 14)] == [
+        ["phone", "ip"], ["phone", "card"], ["phone", "card"], ["date", "card"]]
+    numbers = docs_of(spark, {1: " ".join(map(str, range(40000)))})
+    assert len(pseudonyms.pseudonymize(numbers, "k").first()["text"]) == len(" ".join(map(str, range(40000))))
+
+
 def test_permutation_of_a_format_is_one_to_one(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("t"))
     made = df.select("t", pseudonyms.permute_digits(F.col("t"), "k", "x").alias("p"))
