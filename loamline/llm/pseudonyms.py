@@ -10,8 +10,9 @@ turns them back (``reveal``).
   card's begin, in the groupings of ``CARDS`` in their order. Equal cards get equal pseudonyms there, too;
   the price is that a pseudonym can by chance (1 in 10 for each other reading of such a run, such as with
   a group of four digits before the card) form a card with its neighbours, and ``reveal`` misreads that run.
-- IBANs: two letters, mod-97 valid, up to 30 digits behind the check digits; the digits are permuted and
-  the check digits computed anew. Country and length stay.
+- IBANs: two letters, mod-97 valid, up to 30 letters and digits behind the check digits; the digits are
+  permuted and the check digits computed anew. Country, length and letters stay. An account with letters
+  may be grouped by spaces if the country is one of ``IBAN_LENGTHS``.
 - Phone numbers: ``+`` and 8 to 15 digits; the country's first digit stays. A number of another kind, or
   with decimals, behind them is not theirs; +1 has ten digits behind it.
 - Social security numbers ddd-dd-dddd with valid fields; serial and group are permuted within 1..n.
@@ -32,7 +33,26 @@ from loamline.operators.parsing import once
 ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", 270
 
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[0-9]{4}){2,7}(?:\x20?[0-9]{1,3})?(?![A-Za-z0-9])"
+# Lengths of IBANs by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _account(size: int) -> str:
+    """Letters and digits in groups of four, with or without spaces."""
+    rest = rf"(?:\x20?[A-Z0-9]{{{size % 4}}})" if size % 4 else ""
+    return rf"(?:\x20?[A-Z0-9]{{4}}){{{size // 4}}}{rest}"
+
+
+# A country's own length; else any length, in one piece or with digits only.
+_IBAN = (r"(?<![A-Za-z0-9])(?:"
+         + "|".join(f"(?:{names.replace(' ', '|')})[0-9]{{2}}{_account(size - 4)}(?![A-Za-z0-9])" for size, names in IBAN_LENGTHS.items())
+         + r"|[A-Z]{2}[0-9]{2}[A-Z0-9]{8,30}(?![A-Za-z0-9])"
+         + r"|[A-Z]{2}[0-9]{2}(?:\x20?[0-9]{4}){2,7}(?:\x20?[0-9]{1,3})?(?![A-Za-z0-9]))")
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 _IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])"
@@ -129,13 +149,10 @@ def _luhn_sum(digits: Column, double_last: bool) -> Column:
     return F.aggregate(F.filter(values, lambda v: v.isNotNull()), F.lit(0), lambda s, v: s + v)
 
 
-def _mod97(digits: Column) -> Column:
-    return F.aggregate(F.filter(F.split(digits, ""), lambda c: c != ""), F.lit(0), lambda s, c: (s * 10 + c.cast("int")) % 97)
-
-
-def _letters(two: Column) -> Column:
-    """Two letters as the four digits of their places after 9."""
-    return F.concat(*[(F.ascii(F.substring(two, i, 1)) - 55).cast("string") for i in (1, 2)])
+def _mod97(text: Column) -> Column:
+    """Digits and capitals, read as one number with A as 10, modulo 97."""
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), lambda s, c: F.when(
+        c.rlike("^[0-9]$"), (s * 10 + c.cast("int")) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97))
 
 
 def _card(m: Column, key: str, back: bool) -> Column:
@@ -147,12 +164,12 @@ def _card(m: Column, key: str, back: bool) -> Column:
 
 
 def _iban(m: Column, key: str, back: bool) -> Column:
-    digits = _digits(m)
-    country, account = F.substring(m, 1, 2), F.substring(digits, 3, 40)
-    valid = _mod97(F.concat(account, _letters(country), F.substring(digits, 1, 2))) == 1
-    moved = permute_digits(account, key, "iban", back)
+    plain = F.regexp_replace(m, "\\x20", "")
+    country, check, account = F.substring(m, 1, 2), F.substring(plain, 3, 2), F.substring(plain, 5, 40)
+    valid = _mod97(F.concat(account, country, check)) == 1
+    moved = permute_digits(_digits(account), key, "iban", back)
     full = F.transform(F.array(moved), lambda p: F.concat(
-        F.lpad((F.lit(98) - _mod97(F.concat(p, _letters(country), F.lit("00")))).cast("string"), 2, "0"), p))[0]
+        F.lpad((F.lit(98) - _mod97(F.concat(_refill(account, p), country, F.lit("00")))).cast("string"), 2, "0"), p))[0]
     return F.when(valid, F.concat(country, _refill(F.substring(m, 3, 60), full)))
 
 

@@ -114,6 +114,23 @@ def test_pseudonyms_of_neighbours(spark):
     assert len(pseudonyms.pseudonymize(numbers, "k").first()["text"]) == len(" ".join(map(str, range(40000))))
 
 
+def test_ibans_with_letters(spark):
+    ibans = ["GB82 WEST 1234 5698 7654 32", "NL91ABNA0417164300", "IT60 X054 2811 1010 0000 0123 456", "DE89370400440532013000",
+             "MT84MALT011000012345MTLCAST001S", "IE29 AIBK 9311 5212 3456 78", "DE89 3704 0044 0532 0130 00"]
+    texts = {i: f"{t} PAID 2024" for i, t in enumerate(ibans)} | {90: "GB83 WEST 1234 5698 7654 32"}
+    made = pseudonyms.pseudonymize(docs_of(spark, texts), "k")
+    got = {r["doc_id"]: r for r in made.collect()}
+    assert got.pop(90)["found"] == []
+    for i, r in got.items():
+        assert [(f["kind"], f["original"]) for f in r["found"]] == [("iban", ibans[i])]
+        new = r["found"][0]["pseudonym"]
+        assert new != ibans[i] and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", ibans[i])
+        plain = new.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert got[3]["found"][0]["pseudonym"] == got[6]["found"][0]["pseudonym"].replace(" ", "")
+    assert {r["doc_id"]: r["text"] for r in pseudonyms.reveal(made.select("doc_id", "text"), "k").collect()} == texts
+
+
 def test_permutation_of_a_format_is_one_to_one(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("t"))
     made = df.select("t", pseudonyms.permute_digits(F.col("t"), "k", "x").alias("p"))
