@@ -4,10 +4,11 @@ Patterns of two sorts are searched in whole texts. *Strong* ones are findings by
 ones are parts of a credential: identifiers (who), secrets (proof) and endpoints (where). Alone they
 occur everywhere; a weak part is reported only if a complementary part lies in the same scope, at
 most ``scope`` characters between them: a secret with an identifier or an endpoint, and an identifier
-or endpoint with a secret. Strong findings serve as parts, too.
+or endpoint with a secret. Parts may lie in one another, such as a secret in the query of an endpoint.
+Strong findings serve as parts, too.
 
 Positions are code points. They come from the lengths of what lies between matches, added up per
-document. Parts meet in an interval join: each part enters the cells of ``scope`` characters its
+document and kind. Parts meet in an interval join: each part enters the cells of ``scope`` characters its
 surroundings touch, and cells are joined by equality and distance.
 
 Nulls and empty texts have no findings. Rows are identified by ``doc_id`` and a hash of the text, so
@@ -29,7 +30,7 @@ STRONG = {
     "access": r"AKIA[A-Z0-9]+",
     "hex": r"[0-9a-f]{32,}",
 }
-# Weak parts by role; the first alternative that matches names the role.
+# Weak parts by role, each searched on its own: parts of different roles may overlap.
 WEAK = {
     "ident": r"""(?i:access_?key_?id|client_?id|account|user(?:_?name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""",
     "proof": (r"""(?i:pwd|pass|auth|credential|key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8,}"""
@@ -40,7 +41,7 @@ WEAK = {
 KINDS = (*STRONG, *WEAK)
 # What a kind contributes to a credential.
 ROLE = {"assign": "proof", "access": "ident", "hex": "proof", "ident": "ident", "proof": "proof", "place": "place"}
-_WEAK_PATTERN = "|".join(f"({pattern})" for pattern in WEAK.values())
+_PATTERN = STRONG | WEAK
 
 
 def _parts(text: Column, pattern: str) -> tuple[Column, Column]:
@@ -56,7 +57,7 @@ def _matches(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn(
         "sig", F.xxhash64("text"))
     out = rows
-    for kind, pattern in (*STRONG.items(), ("weak", _WEAK_PATTERN)):
+    for kind, pattern in _PATTERN.items():
         # Most texts hold nothing of a kind: they are searched once and not split.
         found, gaps = _parts(F.col("text"), pattern)
         out = once(out, **{f"{kind}_found": found})
@@ -68,7 +69,7 @@ def _matches(docs: DataFrame) -> DataFrame:
 def _spans(matches: DataFrame) -> DataFrame:
     """(doc_id, sig, kind, start, end) of every match that holds."""
     parts = []
-    for kind in (*STRONG, "weak"):
+    for kind in KINDS:
         found = matches.filter(F.size(f"{kind}_found") > 0).select(
             "doc_id", "sig", F.posexplode(F.arrays_zip(F.col(f"{kind}_found").alias("m"), F.col(f"{kind}_gaps").alias("g"))))
         row = found.select("doc_id", "sig", F.lit(kind).alias("kind"), "pos", F.col("col.m").alias("m"),
@@ -79,17 +80,12 @@ def _spans(matches: DataFrame) -> DataFrame:
             good = F.length("m") >= 16
         else:
             good = F.lit(True)
-        if kind == "weak":
-            named = F.lit("place")
-            for role in ("proof", "ident"):
-                named = F.when(F.col("m").rlike(f"^(?:{WEAK[role]})$"), role).otherwise(named)
-            row = row.withColumn("kind", named)
-        parts.append(row.select("doc_id", "sig", F.lit(kind).alias("sort"), "kind", "pos", "gap",
+        parts.append(row.select("doc_id", "sig", "kind", "pos", "gap",
                                 F.length("m").alias("size"), good.alias("good")))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    before = (Window.partitionBy("doc_id", "sig", "sort").orderBy("pos")
+    before = (Window.partitionBy("doc_id", "sig", "kind").orderBy("pos")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     end = F.sum(F.col("gap").cast("bigint") + F.col("size")).over(before)
     return every.withColumn("end", end).filter("good").select(

@@ -442,6 +442,18 @@ def test_secret_spans(spark):
     assert secrets.scan(docs_of(spark, [])).count() == 0
 
 
+def test_parts_inside_each_other(spark):
+    texts = {1: "https://api.example.com/v1?client_id=abc123&key=Zx9f8e7d6c5b4a", 2: "account: key=ABCDEFGH1234",
+             3: "jdbc:postgresql://db1/x?user=bob&pass=hunter2secret9", 4: "login=https://h/x pwd=correcthorse1",
+             5: "https://api.example.com/v1?client_id=abc123"}
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(docs_of(spark, texts)).collect()}
+    kinds = {i: sorted(s.split(":")[0] for s in spans.split(",") if s) for i, spans in found.items()}
+    assert kinds == {1: ["ident", "place", "proof"], 2: ["ident", "proof"], 3: ["ident", "place", "proof"],
+                     4: ["ident", "place", "proof"], 5: []}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs_of(spark, texts)).collect()}
+    assert clean == {1: "[SECRET]", 2: "[SECRET]", 3: "[SECRET]", 4: "[SECRET] [SECRET]", 5: texts[5]}
+
+
 # --- search --------------------------------------------------------------------------------------
 
 def test_top_k_equals_all_products(spark):
