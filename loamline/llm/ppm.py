@@ -7,11 +7,11 @@ tried, without the bytes that the longer one has already ruled out. Below the em
 not yet ruled out are equally probable. A text ends with a symbol of its own; probabilities of all
 texts add up to one. Letters A-Z are read as a-z.
 
-All counts come from counting (context, byte) strings over the corpus. A model is broadcast in shards
-of at most ``SHARD`` strings, cut by the last two context bytes: a shard has everything about its
-contexts of two bytes and more, and shorter ones (65,536 strings at most) are in every shard. However
-large the corpus, a task holds one shard at a time. Word counts have no such bound: the most frequent
-``HEAD`` words are broadcast, the others are joined.
+All counts come from counting (context, byte) strings over the corpus. Up to ``SHARD`` distinct strings,
+the model is broadcast. Beyond that it stays a Spark table: counts per level are aggregated, each distinct
+string of the corpus gets its probability by joins with the levels, and (document, string) counts are
+joined with these, so that neither driver nor task holds the model. Of the words, the most frequent
+``HEAD`` are broadcast, the others are joined.
 
 Null texts are empty, and an empty text is its end symbol. Rows without a ``doc_id`` train nothing and
 are not held out. Repeated rows count as often as they occur and get equal scores. Without training
@@ -115,7 +115,7 @@ def _mask(size: int) -> np.uint64:
 
 
 class Model:
-    """One shard of the trie. ``codes`` are strings of ORDER context bytes and a byte, in order."""
+    """A whole trie. ``codes`` are strings of ORDER context bytes and a byte, in order."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray, short: np.ndarray, short_counts: np.ndarray):
         self.levels: list[Level] = []
@@ -217,44 +217,117 @@ def _head(words: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return found.hashes(), top["n"].to_numpy()
 
 
-def _shards(strings: DataFrame, size: int) -> tuple[list, np.ndarray, np.ndarray]:
-    """The model's parts, each at most about ``size`` strings, as broadcasts; and the short contexts."""
-    spark = strings.sparkSession
-    low = strings.groupBy(F.col("code").bitwiseAND(0xFFFF).alias("code")).agg(F.sum("n").alias("n")).orderBy("code").toArrow()
-    count = max(1, -(-strings.count() // size))
-    of = F.shiftrightunsigned("code", 8).bitwiseAND(0xFFFF) % count
-    shards = []
-    for number in range(count):
-        rows = strings.filter(of == number).toArrow()
-        code, n = rows["code"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-        order = np.argsort(code)
-        shards.append(spark.sparkContext.broadcast((code[order], n[order])))
-    return shards, low["code"].to_numpy().view(np.uint64), low["n"].to_numpy()
+def _model(strings: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All strings in order, and their counts."""
+    rows = strings.toArrow()
+    code, n = rows["code"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(code)
+    return code[order], n[order]
+
+
+def _levels(strings: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The trie as tables, per context length: (code, n) of (context, byte) strings; and per context
+    what ``Level`` holds of it: norm, escape, and after an escape from it then_norm, then_escape."""
+    counts = [strings]
+    for size in range(ORDER - 1, -1, -1):
+        code = F.col("code").bitwiseAND(int(_mask(size + 1)))
+        counts.insert(0, written(counts[0].groupBy(code.alias("code")).agg(F.sum("n").alias("n")), "level"))
+    contexts: list[DataFrame] = []
+    for size, level in enumerate(counts):
+        context = F.shiftrightunsigned("code", 8).alias("context")
+        if size == 0:
+            per = level.groupBy(context).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).select(
+                "*", F.lit(0).alias("left"), F.lit(0).alias("more"))
+        else:
+            shorter = counts[size - 1].select(F.col("code").alias("_c"), F.col("n").alias("_n"))
+            per = level.join(shorter, level["code"].bitwiseAND(int(_mask(size))) == F.col("_c")).groupBy(context).agg(
+                F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("_n").alias("gone"))
+            home = contexts[-1].select(F.col("context").alias("_h"), F.col("total").alias("_total"), F.col("kinds").alias("_kinds"))
+            per = per.join(home, F.col("context").bitwiseAND(int(_mask(size - 1)) if size > 1 else 0) == F.col("_h")).select(
+                "context", "total", "kinds", (F.col("_total") - F.col("gone")).alias("left"),
+                (F.col("_kinds") - F.col("kinds")).alias("more"))
+        norm, then_norm = F.log10(F.col("total") + F.col("kinds")), F.log10(F.col("left") + F.col("more"))
+        some = F.col("more") > 0
+        contexts.append(written(per.select(
+            "context", "total", "kinds", norm.alias("norm"), (F.log10("kinds") - norm).alias("escape"),
+            F.when(some, then_norm).otherwise(0.0).alias("then_norm"),
+            F.when(some, F.log10("more") - then_norm).otherwise(0.0).alias("then_escape")), "contexts"))
+    return counts, contexts
+
+
+def _log10(strings: DataFrame, codes: DataFrame) -> DataFrame:
+    """(code, lp): log10 probability of the byte of each string, for the strings of the model and for
+    ``codes``; the steps of ``Model.log10`` as joins."""
+    counts, contexts = _levels(strings)
+    longest = contexts[ORDER].select("context", "norm")
+    known = strings.join(longest, F.shiftrightunsigned(strings["code"], 8) == longest["context"]).select(
+        "code", (F.log10("n") - F.col("norm")).alias("lp"))
+    rows = codes.join(strings, "code", "left_anti").select(
+        "code", F.lit(0.0).alias("lp"), F.lit(False).alias("done"), F.lit(False).alias("came"),
+        F.lit(0.0).alias("tn"), F.lit(0.0).alias("te"))
+    for size in range(ORDER, -1, -1):
+        level = counts[size].select(F.col("code").alias("_c"), F.col("n").alias("_n"))
+        node = contexts[size].select(F.col("context").alias("_h"), *[F.col(c).alias(f"_{c}") for c in ("norm", "escape", "then_norm", "then_escape")])
+        context = F.shiftrightunsigned("code", 8).bitwiseAND(int(_mask(size)) if size else 0)
+        met = rows.join(level, F.col("code").bitwiseAND(int(_mask(size + 1))) == F.col("_c"), "left").join(
+            node, context == F.col("_h"), "left")
+        hit = F.col("_n").isNotNull()
+        cost = F.when(hit, F.log10("_n") - F.when(F.col("came"), F.col("tn")).otherwise(F.col("_norm"))).otherwise(
+            F.when(F.col("came"), F.col("te")).otherwise(F.coalesce("_escape", F.lit(0.0))))
+        rows = met.select("code", F.when(F.col("done"), F.col("lp")).otherwise(F.col("lp") + cost).alias("lp"),
+                          (F.col("done") | hit).alias("done"), F.col("_h").isNotNull().alias("came"),
+                          F.coalesce("_then_norm", F.lit(0.0)).alias("tn"), F.coalesce("_then_escape", F.lit(0.0)).alias("te"))
+    rest = float(np.log10(max(256 - counts[0].count(), 1)))
+    return known.unionByName(rows.select("code", F.when(F.col("done"), F.col("lp")).otherwise(F.col("lp") - rest).alias("lp")))
+
+
+def _row_strings(rows: DataFrame) -> DataFrame:
+    """(row, code, n): how often each string occurs in each row; parts of a long text may repeat a string."""
+    schema = pa.schema([("row", pa.int64()), ("code", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column(0).to_numpy()
+            for code, doc in _strings(batch.column(1)):
+                order = np.lexsort((code, doc))
+                code, doc = code[order], doc[order]
+                new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])]))
+                n = np.diff(np.append(new, len(code)))
+                yield pa.RecordBatch.from_arrays([pa.array(row[doc[new]]), pa.array(code[new].view(np.int64)), pa.array(n)], schema=schema)
+
+    return rows.select("row", "text").mapInArrow(run, "row bigint, code bigint, n bigint")
+
+
+def _joined_scores(rows: DataFrame, strings: DataFrame) -> DataFrame:
+    """(row, score): scores of rows with a model that stays a table."""
+    unseen = _byte_strings(rows.filter(F.col("held_out") | F.col("doc_id").isNull())).select("code")
+    costs = written(_log10(strings, unseen), "costs")
+    return _row_strings(rows).join(costs, "code").groupBy("row").agg(F.sum(F.col("n") * F.col("lp")).alias("score"))
+
+
+def _whole(codes: np.ndarray, counts: np.ndarray) -> Model:
+    short, at = np.unique(codes & _mask(2), return_inverse=True)
+    return Model(codes, counts, short, np.bincount(at, counts, len(short)).astype(np.int64))
 
 
-_SCORED = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, "
+_SCORED = ("row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, "
            "tail array<struct<word:binary,n:bigint>>")
 
 
-def _scored(docs: DataFrame, shards: list, short, head, denominator: float, end_count: int) -> DataFrame:
+def _scored(docs: DataFrame, trie, head, denominator: float, end_count: int) -> DataFrame:
     tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = head.value
         frequent = Table(hashes)
         known = np.log10((counts + 1) / denominator) if len(counts) else np.zeros(0)
-        low, low_n = short.value
-        only = Model(*shards[0].value, low, low_n) if len(shards) == 1 else None
+        model = _whole(*trie.value) if trie is not None else None
         for batch in batches:
             texts = batch.column(2)
             docs_here = len(texts)
             score = np.zeros(docs_here)
-            for number, shard in enumerate(shards):
-                model = only or Model(*shard.value, low, low_n)
+            if model is not None:
                 for code, doc in _strings(texts):
-                    if only is None:
-                        mine = (code >> np.uint64(8)) % np.uint64(1 << 16) % np.uint64(len(shards)) == number
-                        code, doc = code[mine], doc[mine]
                     score += np.bincount(doc, model.log10(code), docs_here)
             words = find_words(texts, lower=True)
             of = words.doc_of_word()
@@ -272,18 +345,19 @@ def _scored(docs: DataFrame, shards: list, short, head, denominator: float, end_
             tail = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays(
                 [_word_array(words, order[new]), pa.array(n, pa.int64())], names=["word", "n"]))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(np.diff(words.first) + 1, pa.int64()),
+                batch.column(3), batch.column(0), batch.column(1), pa.array(np.diff(words.first) + 1, pa.int64()),
                 pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), tail.cast(tail_type)],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"])
+                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"])
 
     return docs.mapInArrow(run, _SCORED)
 
 
 def score_texts(docs: DataFrame, shard: int = SHARD, head: int = HEAD) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): the model's score and a unigram baseline, both log10."""
+    """Per row of ``docs`` (doc_id, text): the model's score and a unigram baseline, both log10. A model
+    of more than ``shard`` strings is joined, not broadcast."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"),
-                       F.col("text").cast("string").alias("text"))
+                       F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     train = rows.filter(~F.col("held_out") & F.col("doc_id").isNotNull())
     strings = written(_byte_strings(train), "strings")
     words = written(_words(train), "words")
@@ -291,10 +365,14 @@ def score_texts(docs: DataFrame, shard: int = SHARD, head: int = HEAD) -> DataFr
     ends = train.count()
     tokens, kinds = tokens + ends, kinds + (ends > 0)
     denominator = float(tokens + kinds + 1)
-    shards, low, low_n = _shards(strings, shard)
     share = spark.sparkContext.broadcast
-    scored = _scored(rows, shards, share((low, low_n)), share(_head(words, head)), denominator, ends)
-    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    joined = strings.count() > shard
+    if joined:
+        rows = written(rows, "rows")
+    trie = None if joined else share(_model(strings))
+    scored = written(_scored(rows, trie, share(_head(words, head)), denominator, ends), "scored")
+    if joined:
+        scored = scored.drop("score").join(_joined_scores(rows, strings), "row")
     rare = scored.select("row", F.inline("tail")).join(
         words.select(F.col("word").alias("_w"), F.col("n").alias("c")), F.col("word") == F.col("_w"), "left")
     seen = F.coalesce("c", F.lit(0))

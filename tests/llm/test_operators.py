@@ -241,6 +241,18 @@ def test_scores_equal_a_plain_trie(spark, shard, head):
         assert r["score"] == pytest.approx(score(t))
 
 
+def test_a_large_model_stays_a_table(spark, monkeypatch):
+    """Nothing but words is broadcast or collected, and long texts are summed over their parts."""
+    rng = random.Random(5)
+    texts = {i: " ".join(rng.choice(["The", "of", "ést", f"z{rng.randrange(40)}"]) for _ in range(60)) for i in range(30)}
+    docs = docs_of(spark, texts)
+    want = {r["doc_id"]: r["score"] for r in ppm.score_texts(docs).collect()}
+    monkeypatch.setattr(ppm, "_model", None)
+    monkeypatch.setattr(ppm, "CHUNK", 50)
+    got = {r["doc_id"]: r["score"] for r in ppm.score_texts(docs, 10).collect()}
+    assert got == {i: pytest.approx(x) for i, x in want.items()}
+
+
 def test_next_bytes_add_up_to_one():
     text = np.frombuffer(bytes([ppm.START] * ppm.ORDER) + b"abracadabra abraham" + bytes([ppm.END]), np.uint8).astype(np.uint64)
     code = np.zeros(len(text) - ppm.ORDER, np.uint64)
