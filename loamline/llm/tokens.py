@@ -14,6 +14,9 @@ import numpy as np
 # A lower-case Latin word, perhaps with sentence marks behind it: one pre-token and one more.
 _PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
 
+# A capital that a mark behind it may join: the normalizer composes before it lower-cases.
+_MARKED = re.compile(rb"[A-Z][\x80-\xff]")
+
 
 def _byte_letters() -> list[str]:
     """The letter a byte-level vocabulary writes for each byte: printable ones stand for themselves,
@@ -61,7 +64,13 @@ class WordTokens(dict):
         return np.array(ids, "<u4").tobytes()
 
     def of(self, text: bytes) -> bytes:
-        """All ids of a text. Strings of special tokens keep their case; all else is lower-cased first,
-        as the normalizer would do, so that fewer words differ."""
-        words = (text if b"<|" in text else text.lower()).split()
+        """All ids of a text. Strings of special tokens keep their case, and so do words in which a mark may
+        belong to a capital; all else is lower-cased first, as the normalizer would do, so that fewer words
+        differ."""
+        if b"<|" in text:
+            words = text.split()
+        elif _MARKED.search(text):
+            words = [w if _MARKED.search(w) else w.lower() for w in text.split()]
+        else:
+            words = text.lower().split()
         return b"".join(map(self.__getitem__, words))

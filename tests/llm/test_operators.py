@@ -309,6 +309,16 @@ def test_every_token_is_packed_once(spark):
     assert packing.pack(docs_of(spark, []), WORD_FILE).count() == 0
 
 
+def test_capitals_with_marks():
+    from tokenizers import Tokenizer
+
+    from loamline.llm.tokens import WordTokens
+    tokenizer, cached = Tokenizer.from_file(WORD_FILE), WordTokens(WORD_FILE)
+    for text in ("J\u030c", "H\u0331 T\u0308x W\u030a Y\u030a", "aJ\u0323\u030cB The E\u0301COLE", "Plain J\u030c CAF\u00c9 \u00c9A"):
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(cached.of(text.encode()), "<u4").tolist() == want
+
+
 # --- quality -------------------------------------------------------------------------------------
 
 def plain_counts(text):
