@@ -72,11 +72,11 @@ class MinMax:
             values = shingles[at:at + 2048, None] * self._times + self._plus
             np.minimum(low, values.min(axis=0), out=low)
             np.maximum(high, values.max(axis=0), out=high)
-        return np.concatenate([low, high])
+        return np.concatenate([low, np.roll(high, -1)])
 
     def bands(self, shingles: np.ndarray) -> np.ndarray:
-        """A 64-bit key per band, different between bands. Consecutive values mix minima of some
-        functions with maxima of others, so a band's values belong to different permutations."""
+        """A 64-bit key per band, different between bands. A band has minima of some functions and maxima of
+        the functions next to them, so its values belong to different permutations."""
         values = self.signature(shingles).reshape(self._rows, self._bands).T
         key = mix(np.arange(self._bands, dtype=np.uint64) + np.uint64(0x5BD1E995))
         for column in values.T:

@@ -187,6 +187,13 @@ def test_no_documents_have_no_duplicates(spark):
     assert near_dups.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_values_of_a_band_are_independent():
+    """Sets of four shingles, three of them common: each of a band's four values agrees for 3 in 4."""
+    hasher, rng = near_dups.MinMax(32, 4), np.random.default_rng(7)
+    same = [np.mean(hasher.bands(s) == hasher.bands(s[:3])) for s in rng.integers(1, 2**63, (3000, 4), dtype=np.uint64)]
+    assert np.mean(same) == pytest.approx(.75 ** 4, abs=.015)
+
+
 # --- partial matching ----------------------------------------------------------------------------
 
 def lower(text):
