@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import chats, near_dups, packing, pivots, ppm, pseudonyms, quality, recompression, secrets, segments
+from loamline.llm import (
+    chats, collocations, jaccard_join, near_dups, packing, pivots, ppm, pseudonyms, quality, recompression, secrets, segments,
+    turns,
+)
 from loamline.llm.blocks import documents, small_batches
 from loamline.session import prepare
 
@@ -92,6 +95,18 @@ def op10_nbest_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return segments.digests(documents(prepare(spark), sf), piece_vocabulary)
 
 
+def op11_adaptive_prefix_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.linked_components(documents(prepare(spark), sf), width=5, percent=80)
+
+
+def op12_survivor_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return turns.digests(turns.damage(documents(prepare(spark), sf, "conversations")))
+
+
+def op13_prefix_free_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.mine(documents(prepare(spark), sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_minmax_near_dups": op2_minmax_near_dups,
@@ -103,4 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_multipart_secrets": op8_multipart_secrets,
     "op9_pivot_top_k": op9_pivot_top_k,
     "op10_nbest_pieces": op10_nbest_pieces,
+    "op11_adaptive_prefix_join": op11_adaptive_prefix_join,
+    "op12_survivor_repair": op12_survivor_repair,
+    "op13_prefix_free_phrases": op13_prefix_free_phrases,
 }

@@ -9,7 +9,8 @@ ASCII order.
 The search runs over four states (nothing written yet, or the last role written). Each state has one
 *survivor*, a path in a tree of backpointers whose nodes know how many paths use them. Where a survivor
 is replaced, nodes that nobody uses any more are freed; as soon as all survivors share an ancestor, the
-edits up to it are final: they are emitted, and the tree shrinks to what is unresolved. Equally cheap
+edits up to it are final: they are emitted, and the tree shrinks to what is unresolved. A state whose path
+costs so much more than another's that no cheapest path can go through it has no survivor. Equally cheap
 survivors are compared over their complete unresolved suffixes: two paths first differ below their
 lowest common node, which skip pointers find in logarithmic time.
 
@@ -38,6 +39,11 @@ NOTHING, SYSTEM, USER, ASSISTANT = range(4)
 # For each state the roles that may follow, by initial, and the state they lead to.
 _NEXT = ({"s": SYSTEM, "u": USER}, {"u": USER}, {"a": ASSISTANT}, {"u": USER})
 _GIVEN = {"u": "user", "a": "assistant"}
+# (state, other, cost): whatever follows ``state`` can follow ``other`` for at most ``cost`` more, by inserting
+# the missing row or deleting a system row that ``state`` alone may keep.
+_INSTEAD = ((NOTHING, ASSISTANT, DELETE), (NOTHING, USER, INSERT + DELETE), (SYSTEM, NOTHING, 0), (SYSTEM, ASSISTANT, 0),
+            (SYSTEM, USER, INSERT), (USER, NOTHING, INSERT), (USER, SYSTEM, INSERT), (USER, ASSISTANT, INSERT),
+            (ASSISTANT, NOTHING, 0), (ASSISTANT, USER, INSERT))
 _ROWS = "conv_id bigint, turn bigint, role string, text string, gone boolean, copy int"
 Edit = tuple[str, str | None, str | None]
 
@@ -45,10 +51,10 @@ Edit = tuple[str, str | None, str | None]
 class Node:
     """One edit of a path. ``jump`` is an ancestor further up; ``uses`` counts children and survivors."""
 
-    __slots__ = ("up", "jump", "depth", "edit", "uses", "child")
+    __slots__ = ("up", "jump", "depth", "edit", "uses", "children")
 
     def __init__(self, up: Node | None, edit: Edit | None):
-        self.up, self.edit, self.uses, self.child = up, edit, 0, 0
+        self.up, self.edit, self.uses, self.children = up, edit, 0, ()
         if up is None:
             self.depth, self.jump = 0, None
         else:
@@ -120,7 +126,7 @@ class Survivors:
                 # Nodes of this step hang themselves into the tree when a survivor first uses them.
                 while node.uses == 1 and node.up is not None:
                     node.up.uses += 1
-                    node.up.child = node
+                    node.up.children += (node,)
                     node = node.up
         for path in self._paths:
             if path is not None:
@@ -130,22 +136,23 @@ class Survivors:
                     up = node.up
                     node.up = node.jump = None
                     up.uses -= 1
+                    up.children = tuple(c for c in up.children if c is not node)
                     node = up
         self._paths = found
-        ends = {id(path[1]) for path in found if path is not None}
-        lowest = self._root
-        if lowest.uses == 1 and id(lowest) not in ends:
-            some = next(path[1] for path in found if path is not None)
-            way = []
-            while some is not lowest:
-                way.append(some)
-                some = some.up
-            for node in reversed(way):
-                if self._root.uses != 1 or id(self._root) in ends:
-                    break
-                self._emit(node.edit)
-                self._root.child = 0
-                self._root, node.up, node.jump = node, None, None
+        while self._root.uses == 1 and self._root.children:
+            node, = self._root.children
+            self._emit(node.edit)
+            self._root.children = ()
+            self._root, node.up, node.jump = node, None, None
+
+    @staticmethod
+    def _drop_beaten(found: list) -> None:
+        """Forget states that no cheapest path can go through: another state could follow the same way for
+        ``_INSTEAD`` at most and still cost less. Without this the path that deletes everything would live on."""
+        costs = [path and path[0] for path in found]
+        for state, other, more in _INSTEAD:
+            if costs[state] is not None and costs[other] is not None and costs[state] > costs[other] + more:
+                found[state] = None
 
     def row(self, role: str, text: str, must_go: bool, cut_short: bool) -> None:
         found: list[tuple[int, Node] | None] = [None] * 4
@@ -163,6 +170,7 @@ class Survivors:
                 elif initial in _GIVEN:
                     self._better(found, following, cost + RELABEL + extra, node, ("R", _GIVEN[initial], text))
         self._insert(found)
+        self._drop_beaten(found)
         self._replace(found)
 
     def end(self) -> int:
