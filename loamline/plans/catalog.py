@@ -20,7 +20,8 @@ from loamline.operators import (
 )
 from loamline.plans import event_feed
 from loamline.session import prepare, scratch_dir
-from loamline.sources.lake import load_hourly, materialize, read_lake, write_backfill
+from loamline.sources.lake import load_hourly, materialize, read_lake, write_backfill, write_partitioned
+from loamline.sources.mart_store import MartStore
 from loamline.sources.state_table import DeviceStateTable
 from loamline.streaming.job import judged, start_file_sink
 from loamline.streaming.progress import PROGRESS_SCHEMA, RULES, log_progress, with_gate_counts
@@ -160,6 +161,34 @@ def mart_validation(spark, sf):
     return df.withColumn("problems", F.concat_ws("; ", "problems"))
 
 
+def _arrivals(spark, sf):
+    """A mart store that sees the lake grow: days up to the 20th without some readings of the 15th, then the
+    later days, then those readings, late."""
+    root = scratch_dir(prepare(spark), "arrivals")
+    rows = materialize(clean(spark, sf), f"{root}/rows")
+    late = (F.col("date") == "2024-01-15") & (F.col("kafka_partition") == 2)
+    store = MartStore(spark, f"{root}/marts")
+    for part in ((F.col("date") <= "2024-01-20") & ~late, F.col("date") > "2024-01-20", late):
+        write_partitioned(rows.filter(part), f"{root}/lake", CLEAN_PARTITIONS)
+        store.refresh([f"{root}/lake"], AS_OF)
+    return store
+
+
+def mart_refreshes(spark, sf):
+    """The fact after three refreshes; it equals one that is built whole."""
+    return _arrivals(spark, sf).read()["fct_readings_hourly"]
+
+
+def dimension_refreshes(spark, sf):
+    return _arrivals(spark, sf).read()["dim_devices"]
+
+
+def mart_changes(spark, sf):
+    """The days that each refresh worked on."""
+    return _arrivals(spark, sf).changes().select("version", "day", (F.col("added") > 0).alias("grown"),
+                                                 F.col("removed").alias("lost_files"))
+
+
 def check_not_null(spark, sf):
     """Failing rows per declared column, on parsed records as well as on the staging view."""
     raw = parse_flatten(spark, sf).withColumnRenamed("ts", "measured_at")
@@ -438,6 +467,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fct_readings_hourly": facts,
     "dim_devices": dims,
     "mart_validation": mart_validation,
+    "mart_refreshes": mart_refreshes,
+    "dimension_refreshes": dimension_refreshes,
+    "mart_changes": mart_changes,
     "check_not_null": check_not_null,
     "check_unique": check_unique,
     "check_accepted_range": check_accepted_range,

@@ -2,7 +2,7 @@
 
 Every event becomes one message (two where it is sent twice). The value is the soil moisture, so
 values above 100 are out of range by themselves. The number k in ``props`` (0 to 99) decides which
-fault a message carries, if any; nothing is left out.
+fault a message carries, if any; nothing is left out. Moisture, temperature and humidity have nine decimals.
 """
 
 from __future__ import annotations
@@ -27,6 +27,12 @@ def _text(number: Column, kind: str) -> Column:
     return number.cast(kind).cast("string")
 
 
+def _more_digits(text: Column, factor: int, digits: int) -> Column:
+    """Further decimals behind a number, made from the event's id."""
+    tail = (F.col("event_id") * factor) % (10 ** digits)
+    return F.concat(text, F.lpad(tail.cast("string"), digits, "0"))
+
+
 def _field(name: str, value: Column, *, quoted: bool = False, absent: Column | None = None) -> Column:
     """``"name":value``, or NULL where the field is absent."""
     body = F.concat(F.lit('"'), value, F.lit('"')) if quoted else value
@@ -51,10 +57,12 @@ def payload() -> Column:
     stamp = F.when(k == BAD_TS, "yesterday").otherwise(
         F.date_format(sent, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
     moisture = (F.when(k.isin(NO_MOISTURE, NO_SITE_NO_MOISTURE), "null")
-                .when(k == TEXT_MOISTURE, '"oops"').otherwise(_text(F.col("value"), "decimal(10,2)")))
+                .when(k == TEXT_MOISTURE, '"oops"').otherwise(_more_digits(_text(F.col("value"), "decimal(10,2)"), 7919, 7)))
     raw = F.when(k == TWO_RANGES, "5000").otherwise(_text(3200 - F.col("value") * 20, "int"))
-    temp = F.when(k == TOO_HOT, "999.9").otherwise(_text((k * 9 - 200) / 10, "decimal(5,1)"))
-    humidity = F.when(k == NO_HUMIDITY, "null").otherwise(_text(40 + k * 6 / 10, "decimal(5,1)"))
+    temp = F.when(k == TOO_HOT, "999.9").otherwise(
+        _more_digits(_text((k * 9 - 200) / 10, "decimal(5,1)"), 104729, 8))
+    humidity = F.when(k == NO_HUMIDITY, "null").otherwise(
+        _more_digits(_text(40 + k * 6 / 10, "decimal(5,1)"), 15485863, 8))
     battery = F.when(k == TWO_RANGES, "9.9").otherwise(_text(3 + k / 100, "decimal(4,2)"))
     firmware = F.concat(F.lit("1."), (F.col("user_id") % 12).cast("string"), F.lit(".0"))
     device = F.when(k == BLANK_DEVICE, "").otherwise(_device())

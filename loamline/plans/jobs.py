@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from loamline.contract import CLEAN_SCHEMA, QUARANTINE_SCHEMA
 from loamline.operators import checks, features, marts, models, state
-from loamline.sources.lake import load_hourly, materialize, read_lake, read_with_backfill
+from loamline.sources.lake import load_hourly, read_lake, read_with_backfill
+from loamline.sources.mart_store import MartStore
 from loamline.sources.model_store import ModelStore
 from loamline.sources.state_table import DeviceStateTable
 from loamline.streaming.job import Paths
@@ -29,23 +30,27 @@ def clean_table(spark: SparkSession, paths: Paths) -> DataFrame:
 
 
 def build_marts(spark: SparkSession, paths: Paths, as_of: dt.datetime | None = None) -> dict[str, DataFrame]:
-    """Rebuild fact and dimension, run every declared check, and validate size and freshness.
+    """Bring fact and dimension up to date: days that got or lost files since the last run are worked on, all
+    others stay. Declared checks run on what is new (on
+    everything when the declarations changed), size and freshness are validated on the whole, and
+    only then do readers see the new marts; an error leaves the old ones in place.
 
     Staging stays a view over the lake; all three can be queried in SQL by name afterwards.
     """
-    view = marts.staging(clean_table(spark, paths))
-    fact = materialize(marts.hourly_facts(view), paths.mart("fct_readings_hourly"))
-    dim = materialize(marts.device_dimension(view, as_of), paths.mart("dim_devices"))
-    built = {"stg_telemetry": view, "fct_readings_hourly": fact, "dim_devices": dim}
+    def check(built: dict[str, DataFrame], fresh: dict[str, DataFrame]) -> None:
+        verdicts = (checks.run_checks(fresh["stg_telemetry"], checks.STAGING_CHECKS)
+                    .unionByName(checks.run_checks(fresh["fct_readings_hourly"], checks.FACT_CHECKS))
+                    .unionByName(checks.run_checks(fresh["dim_devices"], checks.DEVICE_CHECKS)))
+        failed = [f"{r['check_name']} ({r['failures']})" for r in verdicts.filter(~F.col("passed")).collect()]
+        if failed:
+            raise FailedChecks(", ".join(sorted(failed)))
+        checks.require_valid_marts(checks.mart_validation(built["fct_readings_hourly"], built["dim_devices"], as_of))
+
+    rules = repr([checks.STAGING_CHECKS, checks.FACT_CHECKS, checks.DEVICE_CHECKS])
+    built = {"stg_telemetry": marts.staging(clean_table(spark, paths)),
+             **MartStore(spark, paths.marts).refresh([paths.clean, paths.backfill], as_of, check, rules)}
     for name, model in built.items():
         model.createOrReplaceTempView(name)
-    verdicts = (checks.run_checks(view, checks.STAGING_CHECKS)
-                .unionByName(checks.run_checks(fact, checks.FACT_CHECKS))
-                .unionByName(checks.run_checks(dim, checks.DEVICE_CHECKS)))
-    failed = [f"{r['check_name']} ({r['failures']})" for r in verdicts.filter(~F.col("passed")).collect()]
-    if failed:
-        raise FailedChecks(", ".join(sorted(failed)))
-    checks.require_valid_marts(checks.mart_validation(fact, dim, as_of))
     return built
 
 
@@ -59,7 +64,7 @@ def check_freshness(spark: SparkSession, paths: Paths, status_messages: DataFram
 
 def retrain(spark: SparkSession, paths: Paths, as_of: dt.datetime | None = None, **options) -> dict:
     """Train a candidate on the fact table, store it, and promote it only if it is better."""
-    fact = spark.read.parquet(paths.mart("fct_readings_hourly"))
+    fact = MartStore(spark, paths.marts).read()["fct_readings_hourly"]
     run = models.train(features.build_features(load_hourly(fact)), as_of=as_of, **options)
     store = ModelStore(spark, paths.models)
     store.save(run)

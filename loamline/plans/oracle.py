@@ -39,12 +39,15 @@ SELECT device AS kafka_key,
            ELSE '"ts":"' || strftime(CASE k WHEN 3 THEN measured - INTERVAL 30 HOUR WHEN 4 THEN measured + INTERVAL 1 HOUR
                                      ELSE measured END, '%Y-%m-%dT%H:%M:%S.%fZ') || '"' END,
          '"soil_moisture_pct":' || CASE WHEN k IN (6, 10) THEN 'null' WHEN k = 20 THEN '"oops"'
-                                   ELSE cast(cast(value AS decimal(10,2)) AS varchar) END,
+                                   ELSE cast(cast(value AS decimal(10,2)) AS varchar)
+                                     || lpad(cast(event_id * 7919 % 10000000 AS varchar), 7, '0') END,
          '"soil_raw":' || CASE WHEN k = 18 THEN '5000' ELSE cast(cast(trunc(3200 - value * 20) AS int) AS varchar) END,
          '"air_temp_c":' || CASE WHEN k = 8 THEN '999.9'
-                            ELSE cast(cast((k * 9 - 200) / 10.0 AS decimal(5,1)) AS varchar) END,
+                            ELSE cast(cast((k * 9 - 200) / 10.0 AS decimal(5,1)) AS varchar)
+                              || lpad(cast(event_id * 104729 % 100000000 AS varchar), 8, '0') END,
          '"air_humidity_pct":' || CASE WHEN k = 16 THEN 'null'
-                                  ELSE cast(cast(40 + k * 6 / 10.0 AS decimal(5,1)) AS varchar) END,
+                                  ELSE cast(cast(40 + k * 6 / 10.0 AS decimal(5,1)) AS varchar)
+                                  || lpad(cast(event_id * 15485863 % 100000000 AS varchar), 8, '0') END,
          '"battery_v":' || CASE WHEN k = 18 THEN '9.9' ELSE cast(cast(3 + k / 100.0 AS decimal(4,2)) AS varchar) END,
          '"fw_version":"1.' || (user_id % 12) || '.0"') || '}' END AS raw_value
 FROM (SELECT *, unnest(CASE WHEN k = 7 THEN [0, 1] ELSE [0] END) AS copy FROM numbered)""")
@@ -122,8 +125,7 @@ def _round(value: str, digits: int) -> str:
 
 
 def _mean(column: str, digits: int = 2) -> str:
-    total = f"sum(cast(floor({column} * 1000000.0::double + 0.5::double) AS bigint))"
-    return _round(f"cast({total} AS double) / (count({column}) * 1000000.0::double)", digits)
+    return f"round(avg({column}), {digits})"
 
 
 _step("facts", "stg")(f"""
@@ -131,12 +133,12 @@ SELECT device_id, site_id, date_trunc('hour', measured_at) AS hour_start,
        cast(date_trunc('hour', measured_at) AS date) AS measured_date,
        count(*) AS reading_count,
        {_mean('soil_moisture_pct')} AS avg_soil_moisture_pct,
-       {_round('min(soil_moisture_pct)', 2)} AS min_soil_moisture_pct,
-       {_round('max(soil_moisture_pct)', 2)} AS max_soil_moisture_pct,
-       {_round('max(soil_moisture_pct) - min(soil_moisture_pct)', 2)} AS soil_moisture_range_pct,
+       round(min(soil_moisture_pct), 2) AS min_soil_moisture_pct,
+       round(max(soil_moisture_pct), 2) AS max_soil_moisture_pct,
+       round(max(soil_moisture_pct) - min(soil_moisture_pct), 2) AS soil_moisture_range_pct,
        {_mean('air_temp_c')} AS avg_air_temp_c,
        {_mean('air_humidity_pct')} AS avg_air_humidity_pct,
-       {_round('min(battery_v)', 3)} AS min_battery_v
+       round(min(battery_v), 3) AS min_battery_v
 FROM stg GROUP BY 1, 2, 3, 4""")
 
 _step("dims", "stg")(f"""
@@ -144,10 +146,10 @@ SELECT device_id, max(site_id) AS site_id, max(fw_version) AS fw_version,
        min(measured_at) AS first_seen_at, max(measured_at) AS last_seen_at,
        date_diff('minute', max(measured_at), {AS_OF}) AS minutes_since_last_reading,
        count(*) AS total_readings, count(DISTINCT measured_date) AS active_days,
-       {_round('min(battery_v)', 3)} AS min_battery_v,
+       round(min(battery_v), 3) AS min_battery_v,
        {_mean('soil_moisture_pct')} AS avg_soil_moisture_pct,
-       {_round('min(soil_moisture_pct)', 2)} AS min_soil_moisture_pct,
-       {_round('max(soil_moisture_pct)', 2)} AS max_soil_moisture_pct
+       round(min(soil_moisture_pct), 2) AS min_soil_moisture_pct,
+       round(max(soil_moisture_pct), 2) AS max_soil_moisture_pct
 FROM stg GROUP BY 1""")
 
 _step("newest", "passed")("""
@@ -301,6 +303,11 @@ ORACLE: dict[str, str] = {
         FROM (SELECT count(*) AS fact_rows, (SELECT count(*) FROM dims) AS devices,
                      count(*) FILTER (WHERE reading_count < 1) AS empty_buckets,
                      date_diff('hour', max(hour_start), timestamp '2024-02-05 00:00:00') AS lag_hours FROM facts)"""),
+    "mart_refreshes": _query("facts", "SELECT * FROM facts"),
+    "dimension_refreshes": _query("dims", "SELECT * FROM dims"),
+    "mart_changes": _query("clean", """SELECT DISTINCT CASE WHEN date > '2024-01-20' THEN 2
+        WHEN date = '2024-01-15' AND kafka_partition = 2 THEN 3 ELSE 1 END::bigint AS version, date AS day, true AS grown,
+        0::bigint AS lost_files FROM clean"""),
     "check_not_null": _query(("parsed", "stg"), " UNION ALL ".join(
         f"SELECT *, '{label}' AS stage FROM ({_checks(source, _NULLS)})"
         for source, label in (("(SELECT *, ts AS measured_at FROM parsed)", "parsed"), ("stg", "staging")))),

@@ -49,8 +49,9 @@ class Paths:
     def models(self) -> str:
         return f"{self.lake}/models"
 
-    def mart(self, name: str) -> str:
-        return f"{self.lake}/marts/{name}"
+    @property
+    def marts(self) -> str:
+        return f"{self.lake}/marts"
 
     @property
     def accepted(self) -> str:

@@ -1,5 +1,7 @@
 import datetime as dt
 import math
+import random
+from fractions import Fraction
 
 import pytest
 from conftest import utc
@@ -53,11 +55,47 @@ def test_rounding_follows_the_decimal_reading(spark):
     assert math.isnan(one(spark, numbers.round_exact(F.lit(float("nan")), 2)))
 
 
+def mean(df, digits=2):
+    return df.agg(numbers.exact_sum("v").alias("s")).select(numbers.mean_of("s", digits).alias("m")).first()["m"]
+
+
 def test_mean_is_exact_and_skips_null(spark):
     df = spark.createDataFrame([(0.1,), (0.2,), (None,)], "v double")
-    assert df.agg(numbers.mean_rounded(F.col("v"), 2).alias("m")).first()["m"] == 0.15
-    empty = df.filter("v > 5")
-    assert empty.agg(numbers.mean_rounded(F.col("v"), 2).alias("m")).first()["m"] is None
+    assert mean(df) == 0.15
+    assert mean(df.filter("v > 5")) is None
+    for value, rounded in ((0.0049999996, 0.0), (1e13, 1e13), (2.0 ** 82, 2.0 ** 82), (3e300, 3e300), (-7e-12, 0.0)):
+        assert mean(spark.createDataFrame([(value,)] * 3, "v double")) == rounded
+    assert math.isnan(mean(spark.createDataFrame([(1.0,), (float("nan"),)], "v double")))
+    assert mean(spark.createDataFrame([(1.0,), (float("inf"),)], "v double")) == float("inf")
+
+
+def totals(df):
+    return df.groupBy("g").agg(numbers.exact_sum("v").alias("s")).select("g", F.expr(numbers.total_text("s")).alias("t"))
+
+
+def test_sums_are_exact_in_any_order(spark):
+    """Against rationals: nine decimals, sizes far apart, and terms that cancel."""
+    rng = random.Random(3)
+    values = [(g, v) for g in range(6) for v in
+              [round(rng.uniform(-100, 100), 9) for _ in range(300)] + [1e13 * rng.random(), -3.3e20, 3.3e20, 1e-6 * rng.random()]]
+    want = {g: float(sum(Fraction(v) for k, v in values if k == g)) for g in range(6)}
+    seen = set()
+    for parts in (1, 5, 13):
+        rng.shuffle(values)
+        got = {r["g"]: r["t"] for r in totals(spark.createDataFrame(values, "g int, v double").repartition(parts)).collect()}
+        seen.add(tuple(sorted(got.items())))
+        assert all(abs(got[g] - want[g]) <= math.ulp(want[g]) for g in want)
+    assert len(seen) == 1
+
+
+def test_states_merge(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("g"), (F.rand(5) * 1e6 - 4e5).alias("v"))
+    halves = df.groupBy("g", (F.col("g") + F.spark_partition_id()).alias("h")).agg(numbers.exact_sum("v").alias("s"))
+    kept = halves.select("g", numbers.carried("s").alias("s"))
+    merged = kept.groupBy("g").agg(numbers.merged_sum("s").alias("s")).select("g", F.expr(numbers.total_text("s")).alias("t"))
+    assert sorted(merged.collect()) == sorted(totals(df).collect())
+    largest = kept.select(F.max(F.greatest(*[F.abs(f"s.l{i}") for i in range(numbers.LIMBS - 1)]))).first()[0]
+    assert largest <= 1 << (numbers.LIMB - 1)
 
 
 def test_ratio_and_clamp(spark):
