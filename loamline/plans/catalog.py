@@ -8,7 +8,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.contract import (
@@ -18,12 +18,12 @@ from loamline.contract import (
 from loamline.operators import (
     checks, features, gates, marts, monitoring, parsing, recalibration, scoring, state, structure,
 )
-from loamline.plans import event_feed
+from loamline.plans import event_feed, jobs
 from loamline.session import prepare, scratch_dir
 from loamline.sources.lake import load_hourly, materialize, read_lake, write_backfill, write_partitioned
 from loamline.sources.mart_store import MartStore
 from loamline.sources.state_table import DeviceStateTable
-from loamline.streaming.job import judged, start_file_sink
+from loamline.streaming.job import Paths, judged, start_file_sink, start_pipeline
 from loamline.streaming.progress import PROGRESS_SCHEMA, RULES, log_progress, with_gate_counts
 
 AS_OF = "2024-01-30 18:00:00"
@@ -412,6 +412,52 @@ def progress_log(spark, sf):
     return read_lake(spark, f"{root}/log", PROGRESS_SCHEMA).groupBy("query").agg(*[F.sum(c).alias(c) for c in counted])
 
 
+def _part(day: Column, k: Column) -> Column:
+    """The arrival a message comes with: eight days each, some messages one arrival late."""
+    return F.least(F.floor((day - 1) / 8) + F.when(k.between(40, 49), 1).otherwise(0), F.lit(3))
+
+
+def _arriving_stream(spark, sf):
+    """The job over four arrivals, each of which moves the watermark; its paths."""
+    root = scratch_dir(prepare(spark), "arriving")
+    paths = Paths(f"{root}/lake", f"{root}/ckpt")
+    rows = events(spark, sf)
+    number = _part(F.dayofmonth("ts"), F.get_json_object("props", "$.k").cast("int"))
+    for part in range(4):
+        event_feed.messages(rows.filter(number == part)).write.mode("append").parquet(paths.accepted)
+        onward = spark.readStream.schema(spark.read.parquet(paths.accepted).schema).parquet(paths.accepted)
+        start_pipeline(onward, paths, with_state=False, with_monitor=False, every=None).finish()
+    return paths
+
+
+def _recovered(spark, sf):
+    paths = _arriving_stream(spark, sf)
+    return paths, jobs.close_days(spark, paths, dt.date(2024, 1, 1), dt.date(2024, 12, 31))
+
+
+def late_records(spark, sf):
+    """What the watermark dropped, found again."""
+    return _recovered(spark, sf)[1]
+
+
+def stream_recovered(spark, sf):
+    """Clean and late records together: all that a batch run keeps."""
+    paths, _ = _recovered(spark, sf)
+    return jobs.clean_table(spark, paths).drop("kafka_partition", "kafka_offset")
+
+
+def watermark_drops(spark, sf):
+    """Rows that the micro-batches of the last hour dropped, by the job's own log."""
+    log = read_lake(spark, _arriving_stream(spark, sf).progress, PROGRESS_SCHEMA)
+    return monitoring.watermark_drops(log)
+
+
+def last_batch_duration(spark, sf):
+    """The queries whose newest micro-batch the log has timed; the time itself differs from run to run."""
+    log = read_lake(spark, _arriving_stream(spark, sf).progress, PROGRESS_SCHEMA)
+    return monitoring.last_batch_duration(log).select("query", (F.col("duration_s") >= 0).alias("timed"))
+
+
 # --- models --------------------------------------------------------------------------------------
 
 def _scores(spark, sf, model):
@@ -501,6 +547,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_dead_letters": stream_dead_letters,
     "stream_state": stream_state,
     "progress_log": progress_log,
+    "late_records": late_records,
+    "stream_recovered": stream_recovered,
+    "watermark_drops": watermark_drops,
+    "last_batch_duration": last_batch_duration,
     "roc_auc": roc_auc,
     "lr_scores": lr_scores,
     "rf_scores": rf_scores,

@@ -18,6 +18,7 @@ from loamline.sources.mart_store import MartStore
 from loamline.sources.model_store import ModelStore
 from loamline.sources.state_table import DeviceStateTable
 from loamline.streaming.job import Paths
+from loamline.streaming.late import recover_late
 
 
 class FailedChecks(RuntimeError):
@@ -25,8 +26,14 @@ class FailedChecks(RuntimeError):
 
 
 def clean_table(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Streamed and backfilled readings."""
-    return read_with_backfill(spark, paths.clean, paths.backfill, CLEAN_SCHEMA)
+    """Streamed and backfilled readings, and those that came too late for the stream."""
+    return (read_with_backfill(spark, paths.clean, paths.backfill, CLEAN_SCHEMA)
+            .unionByName(read_lake(spark, paths.late, CLEAN_SCHEMA)))
+
+
+def close_days(spark: SparkSession, paths: Paths, first: dt.date, last: dt.date | None = None) -> DataFrame:
+    """Recover what the stream dropped of the messages ingested on days it has left behind."""
+    return recover_late(spark, spark.read.parquet(paths.accepted), paths, first, last)
 
 
 def build_marts(spark: SparkSession, paths: Paths, as_of: dt.datetime | None = None) -> dict[str, DataFrame]:
@@ -48,7 +55,7 @@ def build_marts(spark: SparkSession, paths: Paths, as_of: dt.datetime | None = N
 
     rules = repr([checks.STAGING_CHECKS, checks.FACT_CHECKS, checks.DEVICE_CHECKS])
     built = {"stg_telemetry": marts.staging(clean_table(spark, paths)),
-             **MartStore(spark, paths.marts).refresh([paths.clean, paths.backfill], as_of, check, rules)}
+             **MartStore(spark, paths.marts).refresh([paths.clean, paths.backfill, paths.late], as_of, check, rules)}
     for name, model in built.items():
         model.createOrReplaceTempView(name)
     return built

@@ -157,6 +157,16 @@ SELECT device_id, site_id, ts, soil_moisture_pct, battery_v, fw_version, kafka_p
 FROM passed
 QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY ts DESC, kafka_offset, kafka_partition) = 1""")
 
+_step("parts", "passed", "numbered")("""
+SELECT p.*, least((day(n.measured) - 1) // 8 + CASE WHEN n.k BETWEEN 40 AND 49 THEN 1 ELSE 0 END, 3) AS part
+FROM passed p JOIN numbered n ON n.event_id = p.kafka_offset // 2""")
+
+_step("late", "parts")("""
+SELECT * FROM parts p JOIN (
+  SELECT q.part AS part_no, max(date_trunc('millisecond', ts)) - INTERVAL 10 MINUTE AS watermark
+  FROM (SELECT DISTINCT part FROM parts) q JOIN parts o ON o.part < q.part GROUP BY 1) w ON w.part_no = p.part
+WHERE p.ts <= w.watermark""")
+
 _step("status", "numbered")("""
 SELECT device AS device_id,
        CASE event_type WHEN 'click' THEN 'unknown' WHEN 'error' THEN 'offline' ELSE 'online' END AS status,
@@ -303,6 +313,12 @@ ORACLE: dict[str, str] = {
         FROM (SELECT count(*) AS fact_rows, (SELECT count(*) FROM dims) AS devices,
                      count(*) FILTER (WHERE reading_count < 1) AS empty_buckets,
                      date_diff('hour', max(hour_start), timestamp '2024-02-05 00:00:00') AS lag_hours FROM facts)"""),
+    "late_records": _query("late", """SELECT device_id, ts, soil_moisture_pct, soil_raw, air_temp_c, air_humidity_pct, battery_v,
+        fw_version, kafka_partition, kafka_offset, site_id, cast(ts AS date) AS date FROM late
+        QUALIFY row_number() OVER (PARTITION BY device_id, ts ORDER BY kafka_offset, kafka_partition) = 1"""),
+    "stream_recovered": _query("clean", "SELECT * EXCLUDE (kafka_partition, kafka_offset) FROM clean"),
+    "watermark_drops": _query("late", "SELECT count(*) AS dropped_rows FROM late"),
+    "last_batch_duration": "SELECT unnest(['clean', 'quarantine']) AS query, true AS timed",
     "mart_refreshes": _query("facts", "SELECT * FROM facts"),
     "dimension_refreshes": _query("dims", "SELECT * FROM dims"),
     "mart_changes": _query("clean", """SELECT DISTINCT CASE WHEN date > '2024-01-20' THEN 2

@@ -15,7 +15,7 @@ from loamline.operators.gates import apply_gates, clean_records, passing, quaran
 from loamline.operators.parsing import parse_messages
 from loamline.operators.structure import accepted, check_structure, dead_letters
 from loamline.sources.state_table import DeviceStateTable
-from loamline.streaming.progress import with_gate_counts
+from loamline.streaming.progress import ProgressLog, with_gate_counts
 
 # Fixed processing-time triggers.
 FILE_TRIGGER = "30 seconds"
@@ -45,6 +45,14 @@ class Paths:
     def backfill(self) -> str:
         return f"{self.lake}/telemetry_backfill"
 
+    @property
+    def late(self) -> str:
+        return f"{self.lake}/telemetry_late"
+
+    @property
+    def progress(self) -> str:
+        return f"{self.lake}/progress"
+
     @property
     def models(self) -> str:
         return f"{self.lake}/models"
@@ -136,11 +144,24 @@ def start_rule_monitor(quarantine: DataFrame, path: str, checkpoints: str,
             .foreachBatch(write_rule_counts(path)).start())
 
 
+class Running(dict[str, StreamingQuery]):
+    """The queries by name, and the log of their micro-batches."""
+
+    progress: ProgressLog
+
+    def finish(self) -> None:
+        """Wait for all queries and for the last row of their log."""
+        for query in self.values():
+            query.awaitTermination()
+        self.progress.finish()
+
+
 def start_pipeline(messages: DataFrame, paths: Paths, contract: Contract = TELEMETRY, *,
                    with_state: bool = True, with_monitor: bool = True,
                    every: str | None = FILE_TRIGGER,
-                   files: int = FILES_PER_DIRECTORY, salts: int = 1) -> dict[str, StreamingQuery]:
-    """Start the queries; ``every=None`` processes what is available and stops.
+                   files: int = FILES_PER_DIRECTORY, salts: int = 1) -> Running:
+    """Start the queries; ``every=None`` processes what is available and stops. What each micro-batch did goes
+    to the progress table.
 
     Clean and quarantine are plain file sinks. State and monitor are optional and use foreachBatch.
     The clean query counts the verdicts of each micro-batch on its way; ``salts`` above 1 spreads the
@@ -148,16 +169,18 @@ def start_pipeline(messages: DataFrame, paths: Paths, contract: Contract = TELEM
     """
     checked = judged(messages, contract)
     bad = quarantined_records(checked, contract)
-    queries = {
+    queries = Running({
         "clean": start_file_sink(clean_records(with_gate_counts(checked), contract, salts), "clean",
                                  paths.clean, CLEAN_PARTITIONS, paths.checkpoints, every, files),
         "quarantine": start_file_sink(bad, "quarantine", paths.quarantine,
                                       QUARANTINE_PARTITIONS, paths.checkpoints, every, files),
-    }
+    })
     if with_state:
         table = DeviceStateTable(messages.sparkSession, paths.state, contract, COMPACT_EVERY)
         queries["device-state"] = start_state_sink(
             passing(checked), table, paths.checkpoints, every and STATE_TRIGGER)
     if with_monitor:
         queries["quality-monitor"] = start_rule_monitor(bad, paths.rule_counts, paths.checkpoints, every)
+    queries.progress = ProgressLog(messages.sparkSession, queries.values(), paths.progress)
+    queries.progress.start()
     return queries

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import threading
+import time
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,6 +104,43 @@ def _log_new(spark: SparkSession, query: StreamingQuery, path: str, last: int |
     return new[-1][2]
 
 
+class ProgressLog(threading.Thread):
+    """Writes the micro-batches of running queries to one table, keyed by (query, run, batch), until all end.
+
+    It reads what the queries remember, far more often than they forget, and opens no port. A batch that
+    ended unseen is an error, which ``finish`` raises; the queries themselves go on.
+    """
+
+    def __init__(self, spark: SparkSession, queries: Iterable[StreamingQuery], path: str, every: float = 1.0,
+                 rows: int = 25):
+        super().__init__(name="progress-log", daemon=True)
+        self._spark, self._queries, self._path = spark, list(queries), path
+        self._every, self._rows = every, rows
+        self._kept = int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100"))
+        self._last: dict[str, int | None] = {}
+        self.error: Exception | None = None
+
+    def run(self) -> None:
+        try:
+            waiting = list(self._queries)
+            while waiting:
+                time.sleep(self._every)
+                for query in list(waiting):
+                    ended = not query.isActive
+                    self._last[query.name] = _log_new(self._spark, query, self._path, self._last.get(query.name),
+                                                      self._kept, 1 if ended else self._rows)
+                    if ended:
+                        waiting.remove(query)
+        except Exception as error:
+            self.error = error
+
+    def finish(self) -> None:
+        """Wait until all is written."""
+        self.join()
+        if self.error:
+            raise self.error
+
+
 class ProgressListener(StreamingQueryListener):
     """Hands one row per micro-batch to a callback, for jobs that run for long."""
 

@@ -5,6 +5,7 @@ from types import SimpleNamespace
 
 import pytest
 from conftest import NOON, messages, payload
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from loamline.contract import CLEAN_SCHEMA, DEAD_LETTER_SCHEMA, QUARANTINE_SCHEMA
@@ -15,6 +16,7 @@ from loamline.sources.state_table import DeviceStateTable
 from loamline.streaming.job import (
     Paths, judged, start_file_sink, start_pipeline, start_router, write_rule_counts,
 )
+from loamline.streaming.late import recover_late
 from loamline.streaming.progress import (
     PROGRESS_SCHEMA, ProgressListener, append_progress, progress_row, progress_table,
 )
@@ -276,3 +278,40 @@ def test_state_table_takes_batches_of_a_stream(spark, tmp_path):
     for number, minute in enumerate((5, 1, 9)):
         table.apply(gates.passing(judged(messages(spark, [at(minute)], NOON + 10 * MINUTE, number))), number)
     assert table.read().first()["ts"] == (NOON + 9 * MINUTE).replace(tzinfo=None)
+
+
+def test_late_records_are_recovered(spark, topic):
+    """Six arrivals; what the watermark drops is found again, once, and the job's log counted it. A batch
+    drops by the watermark of the batch before it, so the third still takes its old records."""
+    sent = [[at(0), at(5)], [at(90), at(60)], [at(1), at(1)], [at(200), at(0)], [at(30)],
+            [at(6, device_id="late-too"), at(31)]]
+    for number, texts in enumerate(sent):
+        topic.send(*texts, ingested=NOON + (number * 90 + 95) * MINUTE)
+    topic.drain().finish()
+    log = read_lake(spark, topic.paths.progress, PROGRESS_SCHEMA)
+    assert monitoring.watermark_drops(log).first()["dropped_rows"] == 4
+    assert {r["query"]: r["n"] for r in log.groupBy("query").agg(F.sum("input_rows").alias("n")).collect()} == {
+        "clean": 11, "quarantine": 11}
+    accepted = spark.read.parquet(topic.path)
+    day = NOON.date()
+    for _ in range(2):
+        late = recover_late(spark, accepted, topic.paths, day, day + dt.timedelta(days=1))
+        assert sorted((r["device_id"], r["ts"].minute) for r in late.collect()) == [
+            ("late-too", 6), ("probe-7", 30), ("probe-7", 31)]
+    both = topic.clean().unionByName(late).select("device_id", "ts")
+    whole = gates.clean_records(judged(accepted)).select("device_id", "ts")
+    assert sorted(both.collect()) == sorted(whole.collect())
+    assert recover_late(spark, accepted, topic.paths, day - dt.timedelta(days=9)).count() == 3
+
+
+def test_a_failing_log_says_so(spark, topic, monkeypatch):
+    from loamline.streaming import progress
+
+    def refuse(*_):
+        raise OSError("disk")
+
+    monkeypatch.setattr(progress, "append_progress", refuse)
+    topic.send(at(0))
+    with pytest.raises(OSError, match="disk"):
+        topic.drain().finish()
+    assert topic.clean().count() == 1
