@@ -10,9 +10,10 @@ of the whole are then the best of every part with few alternatives: an alternati
 the n - 1 cheapest ones of the text cannot occur, since each of those alone would be better.
 
 Scores are the vocabulary's own (in a BPE vocabulary, minus the rank). A character that no piece holds
-is written in byte pieces, at a score below all others. Equal scores go to the earlier and then to
-the smaller ids. Null texts read as empty: one segmentation without pieces. Repeated rows get equal
-results.
+is written in byte pieces, at a score below all others. Which of several equally good segmentations come
+first follows from the order of the search, the same in every run; their number does not slow it down.
+Null texts read as empty: one segmentation without pieces. Repeated rows get equal results, an empty table
+gives none. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -90,6 +91,7 @@ class Lattice:
             self._joints.update(piece[k:k + 2] for k in range(len(piece) - 1))
         self._byte_score = floor - 10.0
         self._n = n
+        self._latest: tuple[str | None, list[Segmentation]] = (None, [])
         self._cache, self._sections, self._searched = Recent(limit), Recent(limit), Recent(limit // 20)
 
     def part(self, text: str) -> Part:
@@ -115,7 +117,7 @@ class Lattice:
         found = [known(s) or self._sections.get(s) or self._section(s) for s in sections]
         gap = min([f[2] for f in found])
         if gap == 0:
-            score, ids = self.search(text)[0]
+            score, ids = self._search_once(text)[0]
             return score, struct.pack(f"<{len(ids)}I", *ids), gap
         if len(found) == 1:
             return found[0]
@@ -182,12 +184,14 @@ class Lattice:
                 raw = tuple(self.bytes[b] for b in text[at].encode("utf-8", "replace"))
                 ending[at + 1].append((at, self._byte_score, raw))
                 best[at + 1] = max(best[at + 1], best[at] + self._byte_score)
-        # (estimate of the whole, place, behind it: score and pieces as a linked list)
+        # (estimate of the whole, place, behind it: score and pieces as a linked list). Among equal estimates the
+        # one nearest the beginning goes first. Whatever leads to a place, only its n best ways on to the end can
+        # be part of the result, so a place is left at most n times and ties cannot multiply.
         out: list[Segmentation] = []
-        turn = 0
-        heap: list[tuple] = [(-best[size], turn, size, 0.0, None)]
+        turn, left = 0, [0] * (size + 1)
+        heap: list[tuple] = [(-best[size], size, turn, 0.0, None)]
         while heap and len(out) < self._n:
-            estimate, _, place, behind, tail = heapq.heappop(heap)
+            estimate, place, _, behind, tail = heapq.heappop(heap)
             if place == 0:
                 ids: list[int] = []
                 while tail:
@@ -195,16 +199,25 @@ class Lattice:
                     tail = tail[1]
                 out.append((-estimate, tuple(ids)))
                 continue
+            if left[place] == self._n:
+                continue
+            left[place] += 1
             for start, score, ids in ending[place]:
                 turn += 1
-                heapq.heappush(heap, (-(best[start] + score + behind), turn, start, score + behind, (ids, tail)))
+                heapq.heappush(heap, (-(best[start] + score + behind), start, turn, score + behind, (ids, tail)))
         return out
 
+    def _search_once(self, text: str) -> list[Segmentation]:
+        """The search of the same text again, as for its first path and then for the others, is remembered."""
+        if self._latest[0] != text:
+            self._latest = (text, self.search(text))
+        return self._latest[1]
+
     def _alternatives(self, text: str) -> list[Segmentation]:
         """All of the n best of a part but the first."""
         found = self._searched.get(text)
         if found is None:
-            found = self.search(text)[1:]
+            found = self._search_once(text)[1:]
             if len(text) <= 64:
                 self._searched.put(text, found)
         return found
