@@ -18,7 +18,8 @@ the figure falls fast. The rest is exact:
   (``_around``); all of them are compared. Pairs inside a component are never made.
 
 Rows without a ``doc_id`` link with nothing and are kept. Repeated rows get equal results; where one
-``doc_id`` has several texts, each row follows its own text. Other columns are not read.
+``doc_id`` has several texts, each row follows its own text. An empty table gives an empty result. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -198,9 +199,31 @@ def _around(compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return written(pairs.distinct(), "pairs")
 
 
+def numbered(docs: DataFrame, number: str) -> DataFrame | None:
+    """``docs`` as a table with a number per row, where a ``doc_id`` occurs more than once; else None."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").isEmpty():
+        return None
+    return written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: int = 32, rows: int = 4) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text"))
+    apart = numbered(docs, "row")
+    if apart is None:
+        return _of_ids(docs, width, percent, bands, rows)
+    # Ids do not tell rows apart, so the search goes by row numbers; components get their smallest id at the end.
+    by_row = apart.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text")
+    found = written(_of_ids(by_row, width, percent, bands, rows).select(
+        F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("group")), "found")
+    named = found.join(apart.select("row", "doc_id"), "row", "left")
+    least = named.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    out = named.join(least, "group", "left").select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+
+
+def _of_ids(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """The same for documents with ids of their own."""
     sketch = written(sketches(docs, width, bands, rows), "sketches")
 
     # Equal word sequences: one class, one representative.

@@ -183,6 +183,19 @@ def test_near_duplicates_equal_all_pairs(spark):
             assert (n, component, kept) == (len(sets.get(i, ())), want, want == i)
 
 
+def test_texts_that_share_an_id(spark):
+    """Each row follows its own text, and the pipeline keeps every distinct text once."""
+    a, b = " ".join(words(80, 5000, 1)), " ".join(words(80, 5000, 2))
+    rows = [(3, a), (5, a + " more"), (5, b), (3, a), (7, "z " + b), (None, a)]
+    got = sorted(map(tuple, near_dups.near_duplicates(docs_of(spark, rows)).collect()), key=repr)
+    assert got == sorted([(3, 76, 3, True), (3, 76, 3, True), (5, 77, 3, False), (5, 76, 5, True), (7, 77, 5, False),
+                          (None, 76, None, True)], key=repr)
+    import corpus_pipeline
+    kept = corpus_pipeline.keep_one_of_each(spark, docs_of(spark, rows, extra=True), "")
+    assert sorted((r["doc_id"], r["text"]) for r in kept.filter("doc_id IS NOT NULL").collect()) == [(3, a), (5, b)]
+    assert kept.count() == 3 and kept.columns == ["doc_id", "text", "n_words", "component_id"]
+
+
 def test_no_documents_have_no_duplicates(spark):
     assert near_dups.near_duplicates(docs_of(spark, [])).count() == 0
 
@@ -505,6 +518,22 @@ def test_top_k_equals_all_products(spark):
     assert pivots.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("largest", [9e6, 3e8, 1e12, 1e30, 1e200])
+def test_large_components(spark, largest):
+    rng = np.random.default_rng(int(np.log10(largest)))
+    rows = [(i, (rng.normal(size=4) * 10.0 ** rng.uniform(-2, np.log10(largest))).tolist()) for i in range(120)]
+    rows += [(150, [largest, 1.0, 0.0, 0.0]), (151, [largest, 1.0, 0.0, 0.0]), (152, [-largest, 2.0, 1.0, 0.0]), (153, [1e306] * 4)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {tuple(r) for r in pivots.top_k(df, F.col("vec_id") % 50 == 0).collect()}
+    valid = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i != 153]
+    want = set()
+    for i, v in valid:
+        if i % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in valid if j != i)
+            want |= {(i, k + 1, j, min(max(-s, -2**63), 2**63 - 1)) for k, (s, j) in enumerate(scored[:5])}
+    assert got == want
+
+
 # --- segmentation --------------------------------------------------------------------------------
 
 def test_n_best_equal_all_paths():
@@ -535,6 +564,25 @@ def test_n_best_equal_all_paths():
         assert all(paths[ids] == s and lattice.decode(ids) == text for s, ids in found)
 
 
+def test_ties_do_not_multiply():
+    """Every place of a run is a tie; the n best of short runs equal all paths' best."""
+    import time
+    lattice = segments.Lattice(PIECE_FILE, 4)
+    lattice.text("warm up")
+    for sign in ".-=!a_ ":
+        start = time.process_time()
+        found = lattice.text(sign * 10_000)
+        assert time.process_time() - start < 1.5
+        assert len({ids for _, ids in found}) == 4 and all(lattice.decode(ids) == sign * 10_000 for _, ids in found)
+        assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+    for size in range(1, 12):
+        text, scores = segments.SPACE + "." * size, {0: [0.0]}
+        for stop in range(1, len(text) + 1):
+            ways = [s + lattice.pieces[text[at:stop]][1] for at in range(stop) if text[at:stop] in lattice.pieces for s in scores[at]]
+            scores[stop] = sorted(ways, reverse=True)
+        assert [s for s, _ in lattice.text("." * size)] == scores[len(text)][:4]
+
+
 def test_segmentations_of_rows(spark):
     texts = [(1, None), (2, ""), (3, "abc " * 20000), (4, "x" * 3000), (4, "x" * 3000)]
     rows = segments.digests(docs_of(spark, texts, extra=True), PIECE_FILE).collect()
