@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a frame; it is written as Parquet and read again
 before the next one. All but the last return the columns of ``documents``.
+
+Null and empty texts count as texts without words: the rules reject them. Rows without a ``doc_id`` are judged
+and cleaned, but are no one's duplicate. Repeated rows leave one. An empty table stays empty in every stage.
+Further columns, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -26,11 +30,21 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; repeated rows count as one document."""
+    """One document of each group of near duplicates, the one with the smallest id; repeated rows count as
+    one document, and a text that shares its id with another is judged by itself."""
     small_batches(spark)
-    gone = (near_dups.near_duplicates(docs).filter(~F.col("kept"))
-            .select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    number = free_name(docs, "_row")
+    apart = near_dups.numbered(docs, number)
+    if apart is None:
+        gone = (near_dups.near_duplicates(docs).filter(~F.col("kept"))
+                .select(F.col("doc_id").alias("_gone")).distinct())
+        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    by_row = apart.select(F.when(F.col("doc_id").isNotNull(), F.col(number)).alias("doc_id"), "text")
+    found = near_dups.near_duplicates(by_row).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    ids = apart.select(F.col(number).alias("_row"), F.col("doc_id").alias("_id"))
+    first = found.join(ids, "_row").groupBy("_group").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_first"))
+    kept = apart.join(first, apart[number] == first["_first"], "left_semi")
+    return kept.unionByName(apart.filter(F.col("doc_id").isNull())).select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
