@@ -19,10 +19,13 @@ smaller of both, which both prefixes cover. The work is done in this order:
 - each document takes the l with the least estimated cost: rows to join, plus candidates to verify,
   of which there can be at most (rows to join) / l;
 - in the list of each token one document, the one with the smallest share of private tokens, is the
-  centre; members that meet it often enough are verified against it, and links join components;
-- then pairs of different components with enough common prefix tokens are verified. In each list the
-  largest component is only compared with the others, never with itself, so a large group of copies
-  costs its size, not its square.
+  centre; all other members are compared with it on full sets, and links join components;
+- what is left are pairs of different components around a common centre. Two linked sets are in one
+  list, so both were compared with its centre: what they can share is bounded by the smaller of their
+  parts in the centre plus tokens it lacks. Prefixes are therefore taken once more, over the tokens that
+  the centre lacks (``near_dups._around``, a general step on compared pairs); of the pairs that share one
+  there, or need none, those with at least l tokens in both l-prefixes are verified. Pairs inside a component are never made, so
+  a large group of copies costs its size, not its square.
 
 Links are verified on full sets (64-bit shingle hashes). Nothing is capped: every linked pair of
 different texts is either verified or inside a component that verified links already join.
@@ -40,9 +43,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamline.llm import near_dups
 from loamline.llm.blocks import find_words, rolling
 from loamline.llm.graphs import components, written
 
@@ -94,7 +98,7 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(class, m, half, tokens, some): all tokens, how many lie in the lower half of the hash range (top bit
+    """(class, m, half, shingles, some): all tokens in one value, how many lie in the lower half of the hash range (top bit
     clear), and those that take part in counting: that half, or all where the half may not hold the prefix."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,13 +108,13 @@ def whole_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     half = int(np.searchsorted(s, np.uint64(1 << 63)))
                     sure = half >= len(s) - _shared_at_least(len(s), percent) + 1 + len(s) // STEP
                     tokens = s.view(np.int64)
-                    rows.append((_key(s), len(s), half, tokens, tokens[:half] if sure else tokens))
+                    rows.append((_key(s), len(s), half, s.tobytes(), tokens[:half] if sure else tokens))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(),
-                                                                pa.list_(pa.int64()), pa.list_(pa.int64())))],
-                    names=["class", "m", "half", "tokens", "some"])
+                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.binary(),
+                                                                pa.list_(pa.int64())))],
+                    names=["class", "m", "half", "shingles", "some"])
 
-    return docs.mapInArrow(run, "class binary, m bigint, half bigint, tokens array<bigint>, some array<bigint>")
+    return docs.mapInArrow(run, "class binary, m bigint, half bigint, shingles binary, some array<bigint>")
 
 
 def choose_prefix(tokens: np.ndarray, df: np.ndarray, m: int, half: int, taken: int, percent: int
@@ -161,49 +165,20 @@ def prefixes(counted: DataFrame, percent: int) -> DataFrame:
     return counted.mapInArrow(run, "token bigint, node bigint, m bigint, ell bigint, level bigint, private double")
 
 
-def _enough(x: str, a: str) -> Column:
-    """The token lies in the prefixes of both at the smaller l."""
-    return F.greatest(f"{x}.level", f"{a}.level") <= F.least(f"{x}.ell", f"{a}.ell")
+def _stars(posts: DataFrame) -> DataFrame:
+    """(x, c): members of a token's list with the centre of that list."""
+    centre = posts.groupBy("token").agg(F.min(F.struct("private", "m", "node"))["node"].alias("c"), F.count("*").alias("n"))
+    met = posts.join(centre.filter("n > 1"), "token").filter(F.col("node") != F.col("c"))
+    return met.select(F.col("node").alias("x"), "c").distinct()
 
 
-def _alike(x: str, a: str, percent: int) -> Column:
-    return F.lit(100) * F.least(f"{x}.m", f"{a}.m") >= F.lit(percent) * F.greatest(f"{x}.m", f"{a}.m")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, a) with whether they link."""
-    left = sets.select(F.col("node").alias("x"), F.col("tokens").alias("s"))
-    right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("t"))
-    both = F.size(F.array_intersect("s", "t"))
-    return pairs.select("x", "a").join(left, "x").join(right, "a").select(
-        "x", "a", (F.lit(100 + percent) * both >= F.lit(percent) * (F.size("s") + F.size("t"))).alias("hit"))
-
-
-def _centre_pairs(posts: DataFrame, percent: int) -> DataFrame:
-    """(x, a): members of a token's list that meet its centre in half the tokens their prefixes ask for."""
-    me = F.struct("node", "m", "ell", "level")
-    centre = posts.groupBy("token").agg(F.min_by(me, F.struct("private", "m", "node")).alias("c"), F.count("*").alias("n"))
-    met = posts.alias("x").join(centre.filter("n > 1"), "token").filter(
-        (F.col("x.node") != F.col("c.node")) & _enough("x", "c") & _alike("x", "c", percent))
-    pairs = met.groupBy(F.col("x.node").alias("x"), F.col("c.node").alias("a")).agg(
-        F.count("*").alias("met"), F.max(F.least("x.ell", "c.ell")).alias("asked"))
-    return pairs.filter("2 * met >= asked").select("x", "a")
-
-
-def _cross_pairs(posts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(x, a): all pairs of different components with as many common prefix tokens as their prefixes ask for."""
-    posts = posts.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lists = posts.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(
-        F.max_by("component", F.struct("n", "component")).alias("home"), F.count("*").alias("parts"))
-    posts = written(posts.join(lists.filter("parts > 1"), "token"), "lists")
-    guests = posts.filter("component != home")
-    met = guests.alias("x").join(posts.alias("a"), "token").filter(
-        (F.col("x.component") != F.col("a.component"))
-        & ((F.col("a.component") == F.col("a.home")) | (F.col("x.node") < F.col("a.node")))
-        & _enough("x", "a") & _alike("x", "a", percent))
-    pairs = met.groupBy(F.least("x.node", "a.node").alias("x"), F.greatest("x.node", "a.node").alias("a")).agg(
-        F.count("*").alias("met"), F.max(F.least("x.ell", "a.ell")).alias("asked"))
-    return pairs.filter("met >= asked").select("x", "a")
+def _matched(pairs: DataFrame, posts: DataFrame) -> DataFrame:
+    """Pairs (x, c) that share as many prefix tokens as the smaller of their l asks for."""
+    mine = pairs.join(posts.withColumnRenamed("node", "x").alias("p"), "x")
+    met = mine.join(posts.withColumnRenamed("node", "c").alias("q"), ["c", "token"]).filter(
+        F.greatest("p.level", "q.level") <= F.least("p.ell", "q.ell"))
+    counted = met.groupBy("x", "c").agg(F.count("*").alias("met"), F.max(F.least("p.ell", "q.ell")).alias("asked"))
+    return counted.filter("met >= asked").select("x", "c")
 
 
 def linked_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -233,13 +208,14 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     counted = shared.join(sets.select("node", "m", "half", F.size("some").cast("bigint").alias("taken")), "node")
     posts = written(prefixes(counted.select("node", "m", "half", "taken", "shared"), percent), "prefixes")
 
-    tried = written(_verified(_centre_pairs(posts, percent), sets, percent), "centres")
-    first = tried.filter("hit").select(F.col("x").alias("u"), F.col("a").alias("v"))
-    labels = components(first, "u", "v")
-    seen = tried.select(F.least("x", "a").alias("x"), F.greatest("x", "a").alias("a"))
-    rest = written(_cross_pairs(posts, labels, percent).join(seen, ["x", "a"], "left_anti"), "pairs")
+    by_node = sets.select(F.col("node").alias("doc_id"), "shingles")
+    compared = written(near_dups._compare(written(_stars(posts), "stars"), by_node, private=True), "compared")
+    hit = near_dups._similar(percent, F.col("both"), F.col("m") + F.col("n"))
+    links = compared.filter(hit).select(F.col("x").alias("u"), F.col("c").alias("v"))
+    labels = components(links, "u", "v")
+    rest = near_dups._around(compared, labels, percent)
     if not rest.isEmpty():
-        more = _verified(rest, sets, percent).filter("hit").select(F.col("x").alias("u"), F.col("a").alias("v"))
+        more = near_dups._compare(_matched(rest, posts), by_node, private=False).filter(hit).select(F.col("x").alias("u"), F.col("c").alias("v"))
         labels = components(more.union(labels.select("component", "node")), "u", "v")
 
     # From nodes to documents: the smallest id of any class in the component.
