@@ -126,13 +126,13 @@ def mart_validation(facts: DataFrame, devices: DataFrame, as_of=None,
     timed = merged.withColumn(
         "lag_hours", boundaries_crossed("hour", F.col("newest_hour"), as_of_column(as_of)))
     problems = F.array_compact(F.array(
-        F.when(F.col("fact_rows") == 0, "fct_readings_hourly is empty"),
-        F.when(F.col("devices") == 0, "dim_devices is empty"),
+        F.when(F.col("fact_rows") == 0, "no rows in fct_readings_hourly"),
+        F.when(F.col("devices") == 0, "no rows in dim_devices"),
         F.when(F.col("empty_buckets") > 0,
-               F.concat(F.col("empty_buckets"), F.lit(" hourly buckets with reading_count < 1"))),
+               F.concat(F.col("empty_buckets"), F.lit(" hours hold no reading"))),
         F.when(F.col("lag_hours") > max_lag_hours,
-               F.concat(F.lit("most recent hour is "), F.col("lag_hours"),
-                        F.lit(f"h old (limit {max_lag_hours}h)"))),
+               F.concat(F.lit("newest hour lies "), F.col("lag_hours"),
+                        F.lit(f"h back, {max_lag_hours}h are allowed"))),
     ))
     return timed.select("fact_rows", "devices", "empty_buckets", "lag_hours",
                         problems.alias("problems"))
@@ -142,7 +142,7 @@ def require_valid_marts(validation: DataFrame) -> dict:
     """The validation row as a dict, or an error that lists the problems."""
     row = validation.first().asDict()
     if row["problems"]:
-        raise InvalidMarts("mart validation failed: " + "; ".join(row["problems"]))
+        raise InvalidMarts("marts not fit for use: " + "; ".join(row["problems"]))
     return row
 
 

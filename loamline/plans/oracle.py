@@ -306,10 +306,10 @@ ORACLE: dict[str, str] = {
     "fct_readings_hourly": _query("facts", "SELECT * FROM facts"),
     "dim_devices": _query("dims", "SELECT * FROM dims"),
     "mart_validation": _query(("facts", "dims"), """SELECT fact_rows, devices, empty_buckets, lag_hours, concat_ws('; ',
-        CASE WHEN fact_rows = 0 THEN 'fct_readings_hourly is empty' END,
-        CASE WHEN devices = 0 THEN 'dim_devices is empty' END,
-        CASE WHEN empty_buckets > 0 THEN empty_buckets || ' hourly buckets with reading_count < 1' END,
-        CASE WHEN lag_hours > 26 THEN 'most recent hour is ' || lag_hours || 'h old (limit 26h)' END) AS problems
+        CASE WHEN fact_rows = 0 THEN 'no rows in fct_readings_hourly' END,
+        CASE WHEN devices = 0 THEN 'no rows in dim_devices' END,
+        CASE WHEN empty_buckets > 0 THEN empty_buckets || ' hours hold no reading' END,
+        CASE WHEN lag_hours > 26 THEN 'newest hour lies ' || lag_hours || 'h back, 26h are allowed' END) AS problems
         FROM (SELECT count(*) AS fact_rows, (SELECT count(*) FROM dims) AS devices,
                      count(*) FILTER (WHERE reading_count < 1) AS empty_buckets,
                      date_diff('hour', max(hour_start), timestamp '2024-02-05 00:00:00') AS lag_hours FROM facts)"""),
@@ -375,10 +375,10 @@ ORACLE: dict[str, str] = {
         n.f1 AS candidate_score, n.baseline_f1 AS baseline_score, o.version AS current_version,
         CASE WHEN n.f1 > n.baseline_f1 THEN o.f1 END AS current_score,
         n.f1 > n.baseline_f1 AND (o.version IS NULL OR n.f1 > o.f1) AS promoted,
-        CASE WHEN n.f1 <= n.baseline_f1 THEN 'candidate f1=' || n.f1 || ' does not beat the rule baseline (' || n.baseline_f1 || ')'
-             WHEN o.version IS NULL THEN 'first model promoted'
-             WHEN n.f1 <= o.f1 THEN 'candidate f1=' || n.f1 || ' does not beat production (' || o.f1 || ', version ' || o.version || ')'
-             ELSE 'f1 ' || o.f1 || ' -> ' || n.f1 END AS reason
+        CASE WHEN n.f1 <= n.baseline_f1 THEN 'f1 ' || n.f1 || ' is not above the rule with ' || n.baseline_f1
+             WHEN o.version IS NULL THEN 'no model in use yet'
+             WHEN n.f1 <= o.f1 THEN 'f1 ' || n.f1 || ' is not above ' || o.f1 || ' of version ' || o.version || ' in use'
+             ELSE 'f1 rises from ' || o.f1 || ' to ' || n.f1 END AS reason
         FROM (SELECT * FROM versions ORDER BY version DESC LIMIT 1) n
         LEFT JOIN (SELECT * FROM versions WHERE version = '20240110T000000Z') o ON true"""),
     "recalibrated": _query("stg", f"""SELECT s.device_id, s.measured_at, s.soil_raw, s.soil_moisture_pct,

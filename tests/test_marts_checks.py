@@ -90,13 +90,13 @@ def test_mart_validation(spark):
     dim = spark.createDataFrame([("a",)], "device_id string")
     good = checks.require_valid_marts(checks.mart_validation(fact, dim, "2026-01-02T12:59:00"))
     assert (good["fact_rows"], good["devices"], good["lag_hours"]) == (1, 1, 26)
-    with pytest.raises(checks.InvalidMarts, match="most recent hour is 27h old"):
+    with pytest.raises(checks.InvalidMarts, match="newest hour lies 27h back"):
         checks.require_valid_marts(checks.mart_validation(fact, dim, "2026-01-02T13:00:00"))
     empty = fact.withColumn("reading_count", F.lit(0).cast("bigint"))
     row = checks.mart_validation(empty, dim.limit(0), "2026-01-01T12:00:00").first()
-    assert row["problems"] == ["dim_devices is empty", "1 hourly buckets with reading_count < 1"]
+    assert row["problems"] == ["no rows in dim_devices", "1 hours hold no reading"]
     nothing = checks.mart_validation(fact.limit(0), dim, "2026-01-01T12:00:00").first()
-    assert nothing["problems"] == ["fct_readings_hourly is empty"]      # an unknown lag is no problem
+    assert nothing["problems"] == ["no rows in fct_readings_hourly"]      # an unknown lag is no problem
     assert nothing["lag_hours"] is None
 
 
