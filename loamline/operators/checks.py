@@ -164,6 +164,21 @@ def rejection_rate(clean: DataFrame, quarantine: DataFrame) -> DataFrame:
                     F.try_divide(F.col("quarantined").cast("double"), total).alias("rejection_rate")))
 
 
+def rejection_rate_of(checked: DataFrame, *key: str) -> DataFrame:
+    """The same row from judged records, in one pass: a clean record is a distinct key among those that passed.
+
+    Rejected records share one group, which every task reduces to a row before the shuffle.
+    """
+    good = F.col("quality_reason").isNull()
+    keys = [F.when(good, F.col(c)).alias(c) for c in key or ("device_id", "ts")]
+    groups = checked.groupBy(good.alias("_good"), *keys).agg(F.count("*").alias("n"))
+    total = F.col("clean") + F.col("quarantined")
+    return (groups.agg(F.count_if("_good").alias("clean"),
+                       F.coalesce(F.sum(F.when(~F.col("_good"), F.col("n"))), F.lit(0)).alias("quarantined"))
+            .select("clean", "quarantined", total.alias("total"),
+                    F.try_divide(F.col("quarantined").cast("double"), total).alias("rejection_rate")))
+
+
 def range_violations(clean: DataFrame, column: str = "soil_moisture_pct",
                      low: float = 0.0, high: float = 100.0) -> DataFrame:
     """Number of clean rows whose value is missing or out of range; must be 0."""

@@ -14,34 +14,54 @@ from loamline.functions.times import age_minutes, as_of_column
 from loamline.functions.texts import topic_segment
 
 
-def keep_newest(df: DataFrame, key: str, order: Column) -> DataFrame:
-    """One row per key, the one with the highest order; reduced before the shuffle."""
-    rest = [c for c in df.columns if c != key]
-    best = df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_best"))
-    return best.select(key, "_best.*")
+def keep_newest(df: DataFrame, key: str | list[str], order: Column) -> DataFrame:
+    """One row per key, the one with the highest order; reduced before the shuffle.
+
+    A row with texts in it is no fixed-width buffer, and by itself would make Spark sort all rows first. Beside an
+    aggregate whose buffer is an object it is kept in a hash table; ``collect_list`` of nothing is the smallest
+    one. A task that meets more keys than the fallback threshold of the session goes on by sorting.
+    """
+    keys = [key] if isinstance(key, str) else key
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_best"),
+                                 F.collect_list(F.lit(None).cast("int")).alias("_nothing"))
+    # Looking at the empty list keeps the optimizer from dropping it, and hash tables with it.
+    return best.filter(F.size("_nothing") == 0).select(*keys, "_best.*")
 
 
 def latest_state(records: DataFrame, contract: Contract = TELEMETRY) -> DataFrame:
     """The newest record of each device."""
-    order = F.struct(contract.event_time, -F.col("kafka_offset"), -F.col("kafka_partition"))
-    rows = records.select(contract.entity, contract.site, contract.event_time, *contract.measures,
-                          "kafka_partition", "kafka_offset")
-    return keep_newest(rows, contract.entity, order)
+    return keep_newest(state_rows(records, contract), contract.entity, newest_first(contract))
+
+
+def newest_first(contract: Contract = TELEMETRY) -> Column:
+    """The order of records of a device: newest event time, then the first received."""
+    return F.struct(contract.event_time, -F.col("kafka_offset"), -F.col("kafka_partition"))
+
+
+def state_rows(records: DataFrame, contract: Contract = TELEMETRY, *further: str) -> DataFrame:
+    """The columns that a device state holds."""
+    return records.select(contract.entity, contract.site, contract.event_time, *contract.measures,
+                          "kafka_partition", "kafka_offset", *further)
 
 
 def merge_latest(stored: DataFrame, batch: DataFrame, contract: Contract = TELEMETRY) -> DataFrame:
     """Fold newer rows into a stored state: insert new devices, replace strictly older rows."""
-    tagged = (stored.withColumn("_age", F.lit(1))
-              .unionByName(batch.withColumn("_age", F.lit(0))))
+    return merge_ages(stored.withColumn("_age", F.lit(1)).unionByName(batch.withColumn("_age", F.lit(0))),
+                      contract)
+
+
+def merge_ages(tagged: DataFrame, contract: Contract = TELEMETRY) -> DataFrame:
+    """The same for rows that say by ``_age`` which side they are from, 1 for stored ones and 0 for newer ones."""
     order = F.struct(contract.event_time, "_age", -F.col("kafka_offset"), -F.col("kafka_partition"))
     return keep_newest(tagged, contract.entity, order).drop("_age")
 
 
 def last_known(records: DataFrame, measure: str, contract: Contract = TELEMETRY) -> DataFrame:
     """The newest non-NULL value of one measure per device."""
-    order = F.struct(contract.event_time, -F.col("kafka_offset"), -F.col("kafka_partition"))
-    return (records.filter(F.col(measure).isNotNull())
-            .groupBy(contract.entity).agg(F.max_by(measure, order).alias(measure)))
+    rows = records.filter(F.col(measure).isNotNull()).select(
+        contract.entity, measure, newest_first(contract).alias("_order"))
+    return keep_newest(rows, contract.entity, F.col("_order")).drop("_order")
 
 
 def status_events(messages: DataFrame, value: str = "value", topic: str = "topic") -> DataFrame:

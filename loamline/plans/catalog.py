@@ -16,12 +16,13 @@ from loamline.contract import (
     QUARANTINE_SCHEMA, TELEMETRY,
 )
 from loamline.operators import (
-    checks, features, gates, marts, monitoring, parsing, recalibration, scoring, state, structure,
+    checks, features, gates, marts, models, monitoring, parsing, recalibration, scoring, state, structure,
 )
 from loamline.plans import event_feed, jobs
 from loamline.session import prepare, scratch_dir
 from loamline.sources.lake import load_hourly, materialize, read_lake, write_backfill, write_partitioned
 from loamline.sources.mart_store import MartStore
+from loamline.sources.model_store import ModelStore
 from loamline.sources.state_table import DeviceStateTable
 from loamline.streaming.job import Paths, judged, start_file_sink, start_pipeline
 from loamline.streaming.progress import PROGRESS_SCHEMA, RULES, log_progress, with_gate_counts
@@ -83,6 +84,17 @@ def dims(spark, sf):
     return marts.device_dimension(stg(spark, sf), AS_OF)
 
 
+def written(spark, df, label):
+    """A stage several branches of a query read; written once, so that none starts from JSON again."""
+    return materialize(df, scratch_dir(prepare(spark), label))
+
+
+def written_marts(spark, sf):
+    """Fact and dimension of one written staging view, which holds the columns they use."""
+    view = written(spark, stg(spark, sf), "staging")
+    return marts.hourly_facts(view), marts.device_dimension(view, AS_OF)
+
+
 def newest(spark, sf):
     return state.latest_state(gates.passing(checked(spark, sf)))
 
@@ -139,25 +151,28 @@ def quarantine_by_rule(spark, sf):
 
 
 def rejection_rate(spark, sf):
-    return checks.rejection_rate(clean(spark, sf), quarantine(spark, sf))
+    return checks.rejection_rate_of(checked(spark, sf))
 
 
 def clean_range_violations(spark, sf):
     """Counted on all parsed records, where there is something to find, and on the clean ones."""
-    parsed = checks.range_violations(parse_flatten(spark, sf)).withColumn("stage", F.lit("parsed"))
-    kept = checks.range_violations(clean(spark, sf)).withColumn("stage", F.lit("clean"))
+    rows = written(spark, checked(spark, sf).drop("raw_value"), "judged")
+    parsed = checks.range_violations(rows).withColumn("stage", F.lit("parsed"))
+    kept = checks.range_violations(gates.clean_records(rows)).withColumn("stage", F.lit("clean"))
     return parsed.unionByName(kept)
 
 
 def duplicate_keys(spark, sf):
     """Before and after deduplication."""
-    passed = checks.duplicate_keys(gates.passing(checked(spark, sf))).withColumn("stage", F.lit("passing"))
-    kept = checks.duplicate_keys(clean(spark, sf)).withColumn("stage", F.lit("clean"))
+    rows = written(spark, gates.passing(checked(spark, sf)).select(
+        *TELEMETRY.key, "kafka_partition", "kafka_offset"), "passing-keys")
+    passed = checks.duplicate_keys(rows).withColumn("stage", F.lit("passing"))
+    kept = checks.duplicate_keys(gates.deduplicate(rows)).withColumn("stage", F.lit("clean"))
     return passed.unionByName(kept)
 
 
 def mart_validation(spark, sf):
-    df = checks.mart_validation(facts(spark, sf), dims(spark, sf), "2024-02-05 00:00:00")
+    df = checks.mart_validation(*written_marts(spark, sf), "2024-02-05 00:00:00")
     return df.withColumn("problems", F.concat_ws("; ", "problems"))
 
 
@@ -191,25 +206,27 @@ def mart_changes(spark, sf):
 
 def check_not_null(spark, sf):
     """Failing rows per declared column, on parsed records as well as on the staging view."""
-    raw = parse_flatten(spark, sf).withColumnRenamed("ts", "measured_at")
+    rows = written(spark, checked(spark, sf).drop("raw_value"), "judged")
+    view = marts.staging(gates.clean_records(rows))
     rules = [c for c in checks.STAGING_CHECKS if c.kind == "not_null"]
-    return (checks.run_checks(raw, rules).withColumn("stage", F.lit("parsed"))
-            .unionByName(checks.run_checks(stg(spark, sf), rules).withColumn("stage", F.lit("staging"))))
+    return (checks.run_checks(rows.withColumnRenamed("ts", "measured_at"), rules).withColumn("stage", F.lit("parsed"))
+            .unionByName(checks.run_checks(view, rules).withColumn("stage", F.lit("staging"))))
 
 
 def check_unique(spark, sf):
     """The dimension is unique by device; the fact's declared grain breaks where a device moved."""
-    dim = checks.repeated_values(dims(spark, sf), "device_id").select(
+    all_facts, all_devices = written_marts(spark, sf)
+    dim = checks.repeated_values(all_devices, "device_id").select(
         F.lit("dim_devices").alias("model"), "device_id",
         F.lit(None).cast("timestamp").alias("hour_start"), "occurrences")
-    fact = checks.repeated_values(facts(spark, sf), "device_id", "hour_start").select(
+    fact = checks.repeated_values(all_facts, "device_id", "hour_start").select(
         F.lit("fct_readings_hourly").alias("model"), "device_id", "hour_start", "occurrences")
     return dim.unionByName(fact)
 
 
 def check_accepted_range(spark, sf):
     """Offending values of the raw air temperature and of moisture, bounds excluded for the latter."""
-    raw = parse_flatten(spark, sf)
+    raw = written(spark, parse_flatten(spark, sf).select("air_temp_c", "soil_moisture_pct"), "measures")
     temp = checks.out_of_range(raw, "air_temp_c", -40, 80).withColumn("column", F.lit("air_temp_c"))
     wet = (checks.out_of_range(raw, "soil_moisture_pct", 0, 100, inclusive=False)
            .withColumn("column", F.lit("soil_moisture_pct")))
@@ -243,12 +260,12 @@ def latest_state(spark, sf):
 
 
 def state_merge(spark, sf):
-    """A stored state from messages before a cut, merged with those after it."""
-    passed = gates.passing(checked(spark, sf))
+    """A state of the messages before a cut, merged with that of those after it; both from one pass."""
     cut = F.lit("2024-01-15 00:00:00").cast("timestamp")
-    stored = state.latest_state(passed.filter(F.col("kafka_ts") < cut))
-    batch = state.latest_state(passed.filter(F.col("kafka_ts") >= cut))
-    return state.merge_latest(stored, batch).select(*_STATE_OUT)
+    passed = gates.passing(checked(spark, sf)).withColumn("_age", (F.col("kafka_ts") < cut).cast("int"))
+    rows = state.state_rows(passed, TELEMETRY, "_age")
+    sides = state.keep_newest(rows, [TELEMETRY.entity, "_age"], state.newest_first())
+    return state.merge_ages(sides).select(*_STATE_OUT)
 
 
 def device_status(spark, sf):
@@ -289,7 +306,7 @@ def state_table(spark, sf):
 # --- features, split, scores ---------------------------------------------------------------------
 
 def next_hour_match(spark, sf):
-    hourly = load_hourly(facts(spark, sf))
+    hourly = load_hourly(written(spark, facts(spark, sf), "facts"))
     return features.next_hour_match(features.build_features(hourly), hourly)
 
 
@@ -461,9 +478,8 @@ def last_batch_duration(spark, sf):
 # --- models --------------------------------------------------------------------------------------
 
 def _scores(spark, sf, model):
-    from loamline.operators.models import score_table, train
-    run = train(feature_table(spark, sf), models=(model,), trees=50, max_depth=8)
-    return score_table(run.predictions[model])
+    run = models.train(feature_table(spark, sf), models=(model,))
+    return models.score_table(run.predictions[model])
 
 
 def lr_scores(spark, sf):
@@ -474,26 +490,61 @@ def rf_scores(spark, sf):
     return _scores(spark, sf, "random_forest")
 
 
+def lr_optimality(spark, sf):
+    """The fitted regression is the optimum: no derivative of its loss exceeds a millionth."""
+    run = models.train(feature_table(spark, sf), models=("logistic_regression",))
+    return models.logistic_gradient(run.models["logistic_regression"], run.learned).select(
+        "coefficient", (F.abs("gradient") < 1e-6).alias("optimal"))
+
+
 def roc_auc(spark, sf):
     """Exact area under the curve when dryness itself is the score; many rows share a score."""
-    from pyspark.ml.functions import array_to_vector
-
-    from loamline.operators import models
-    dryness = (F.lit(100.0) - F.col("min_soil_moisture_pct")) / 100.0
-    scored = feature_table(spark, sf).select(
-        features.LABEL, array_to_vector(F.array(F.lit(1.0) - dryness, dryness)).alias("probability"))
-    area = models.roc_auc(materialize(scored, scratch_dir(spark, "auc")))
-    return spark.range(1).select(F.lit(None if area is None else round(area, 6)).cast("double").alias("roc_auc"))
+    scored = feature_table(spark, sf).select(features.LABEL, (-F.col("min_soil_moisture_pct")).alias("score"))
+    return models.area_under_roc(scored).select(F.round("roc_auc", 6).alias("roc_auc"))
 
 
 def model_results(spark, sf):
     """Scores of the rule and of both models on the later part, and which model was selected."""
-    from loamline.operators.models import train
-    run = train(feature_table(spark, sf), trees=50, max_depth=8)
+    run = models.train(feature_table(spark, sf))
     return run.metrics.select(F.explode("results").alias("model", "scores"), "selected_model").select(
         "model", "scores.*", (F.col("model") == F.col("selected_model")).alias("selected"))
 
 
+def _trained_store(spark, sf):
+    """A store after two runs, on the history up to the 25th and on all of it, with the decision after each."""
+    store = ModelStore(spark, scratch_dir(prepare(spark), "model-store"))
+    table = written(spark, feature_table(spark, sf), "features")
+    decisions = []
+    for day in (dt.datetime(2024, 1, 26, tzinfo=dt.timezone.utc), dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)):
+        store.save(models.train(table.filter(F.col("hour_start") < F.lit(day)), as_of=day))
+        decisions.append(store.promote_if_better(now=day))
+    return store, decisions
+
+
+def stored_versions(spark, sf):
+    """Every stored version: what it was trained on, and the scores of the rule it had to beat."""
+    store, _ = _trained_store(spark, sf)
+    rule = F.col("results")[scoring.BASELINE]
+    return store.metrics().select(
+        "version", *[F.col("dataset")[c].alias(c) for c in ("rows_total", "rows_train", "rows_test", "devices",
+                                                            "positive_rate_train", "positive_rate_test")],
+        *[rule[c].alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+def stored_promotions(spark, sf):
+    """The decision about the newest stored version, and which version is in use after it."""
+    store, decisions = _trained_store(spark, sf)
+    before = decisions[-1]["current_version"]
+    return scoring.promotion_decision(store.metrics(), before).withColumn("in_use", F.lit(store.current_version()))
+
+
+def feature_importances(spark, sf):
+    """Shares of the forest's newest stored version by feature, largest first."""
+    store, _ = _trained_store(spark, sf)
+    newest_run = store.metrics().agg(F.max_by("feature_importances", "version").alias("shares"))
+    return newest_run.select(F.posexplode("shares").alias("place", "share")).select("place", "share.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_flatten": parse_flatten,
     "structural_verdicts": structural_verdicts,
@@ -554,5 +605,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "roc_auc": roc_auc,
     "lr_scores": lr_scores,
     "rf_scores": rf_scores,
+    "lr_optimality": lr_optimality,
     "model_results": model_results,
+    "stored_versions": stored_versions,
+    "stored_promotions": stored_promotions,
+    "feature_importances": feature_importances,
 }

@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     # Device and site names such as "01" must stay text when read from directory names.
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
+    # Devices a task keeps in a hash table before it sorts; a row of state is a few hundred bytes.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
     # A message that repeats a JSON key is still readable; the last value counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
     # Deduplication state lives in RocksDB, outside the executor heap.

@@ -122,3 +122,14 @@ def test_recalibration(spark):
     own = spark.createDataFrame([("a", 3000, 1000), ("c", 9, 9)], "device_id string, adc_dry int, adc_wet int")
     got = {r["device_id"]: r["recalibrated_pct"] for r in recalibrate(readings, own).collect()}
     assert got == {"a": 40.0, "b": 50.0, "c": None}
+
+
+def test_rejection_rate_in_one_pass(spark):
+    judged = spark.createDataFrame(
+        [("a", utc("2026-01-01T10:00:00"), None)] * 3 + [("a", utc("2026-01-01T11:00:00"), None)]
+        + [("a", utc("2026-01-01T10:00:00"), "range:x")] * 2 + [(None, None, "completeness:device_id")],
+        "device_id string, ts timestamp, quality_reason string")
+    row = checks.rejection_rate_of(judged).first()
+    assert tuple(row) == (2, 3, 5, 0.6)
+    empty = checks.rejection_rate_of(judged.limit(0)).first()
+    assert tuple(empty) == (0, 0, 0, None)

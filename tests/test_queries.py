@@ -8,10 +8,12 @@ import pytest
 from conftest import SF
 
 import __spark_entry__ as entry_point
+from loamline.plans import catalog
 from loamline.plans.catalog import QUERIES
 from loamline.plans.oracle import ORACLE
+from loamline.sources.lake import materialize
 
-ROWS_ONLY = {"lr_scores", "rf_scores", "model_results"}
+ROWS_ONLY = {"lr_scores", "rf_scores", "model_results", "stored_promotions", "feature_importances"}
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +64,12 @@ def test_model_results_hold_the_rule(spark, duck):
     assert tuple(got["baseline_rule"][c] for c in ("accuracy", "precision", "recall", "f1")) == want
 
 
+def test_promotion_reads_stored_versions(spark):
+    row = QUERIES["stored_promotions"](spark, SF).first()
+    assert row["candidate_version"] == "20240201T000000Z"
+    assert row["in_use"] == ("20240201T000000Z" if row["promoted"] else row["current_version"])
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
 
@@ -73,7 +81,8 @@ def plan_of(df):
 # Queries that write tables or run a stream before they return a plan.
 WRITING = {"stream_clean", "stream_quarantine", "stream_dead_letters", "stream_state", "progress_log",
            "state_table", "backfill_rows", "check_summary", "roc_auc", "mart_refreshes", "dimension_refreshes",
-           "mart_changes", "late_records", "stream_recovered", "watermark_drops", "last_batch_duration"}
+           "mart_changes", "late_records", "stream_recovered", "watermark_drops", "last_batch_duration",
+           "stored_versions", "lr_optimality"}
 LAZY = sorted(set(ORACLE) - WRITING)
 
 
@@ -90,6 +99,31 @@ def test_json_is_parsed_once(spark, name):
     assert plan_of(QUERIES[name](spark, SF)).count("from_json(") == 1
 
 
+@pytest.mark.parametrize("name, parses", [
+    ("next_hour_match", 1), ("mart_validation", 1), ("check_unique", 1), ("rejection_rate", 1), ("duplicate_keys", 1),
+    ("clean_range_violations", 1), ("check_not_null", 1), ("check_accepted_range", 1), ("state_merge", 1),
+    ("fleet_status", 1), ("silent_devices", 2)])
+def test_shared_inputs_run_once(spark, monkeypatch, name, parses):
+    """Written stages included; silent devices read readings and announcements, which are two texts."""
+    stages = []
+
+    def recorded(df, path):
+        stages.append(plan_of(df))
+        return materialize(df, path)
+
+    monkeypatch.setattr(catalog, "materialize", recorded)
+    df = QUERIES[name](spark, SF)
+    df.collect()
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    assert sum(p.count("from_json(") for p in [*stages, final]) == parses
+
+
+@pytest.mark.parametrize("name", ["latest_state", "state_merge", "silent_devices", "fleet_status", "moisture_series"])
+def test_latest_rows_are_found_without_sorting(spark, name):
+    plan = plan_of(QUERIES[name](spark, SF))
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" in plan
+
+
 def test_features_run_their_input_once(spark):
     df = QUERIES["features"](spark, SF)
     df.collect()

@@ -28,6 +28,27 @@ def test_newest_wins_and_the_first_of_equals(spark):
     assert content(state.latest_state(df)) == {"a": ("11:00", 3.0), "b": ("09:00", 4.0)}
 
 
+def test_more_devices_than_a_task_keeps_in_its_hash_table(spark):
+    setting = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(setting)
+    df = spark.range(4000).select(
+        F.concat(F.lit("d"), F.col("id") % 500).alias("device_id"), F.lit("s").alias("site_id"),
+        F.timestamp_seconds(F.col("id") * 7 % 4000).alias("ts"), F.lit(0).alias("kafka_partition"),
+        F.col("id").alias("kafka_offset"))
+    order = F.struct("ts", -F.col("kafka_offset"))
+    want = {r["device_id"]: r["ts"] for r in df.groupBy("device_id").agg(F.max("ts").alias("ts")).collect()}
+    try:
+        spark.conf.set(setting, "8")
+        got = {r["device_id"]: r["ts"] for r in state.keep_newest(df, "device_id", order).collect()}
+    finally:
+        spark.conf.set(setting, before)
+    assert got == want and len(got) == 500
+
+
+def test_no_devices(spark):
+    assert state.latest_state(rows(spark)).count() == 0
+
+
 def test_merge(spark):
     stored = rows(spark, ("late", "2026-01-01T10:00:00", 1.0, 1), ("tie", "2026-01-01T10:00:00", 1.0, 9),
                   ("newer", "2026-01-01T10:00:00", 1.0, 2), ("kept", "2026-01-01T10:00:00", 1.0, 3))
