@@ -11,8 +11,9 @@ asks for more shared tokens before a pair is verified. Each document chooses its
 smaller of both, which both prefixes cover. The work is done in this order:
 
 - equal sets are one class, found by grouping;
-- a first filter in the order of hashes, with l growing with the size: a document goes on only if
-  enough tokens of that prefix occur in another class;
+- a first filter in the order of hashes, with l growing with the size: a class goes on only if enough
+  tokens of that prefix occur in another row. Copies of a text count as rows here, so that prefixes need not be
+  moved to keep one row per class; a class that has only copies drops out at the next step;
 - of what is left, document frequencies are counted over the lower half of the hash range, which comes
   first in the order, rare tokens before common ones. Documents too small to be sure of their prefix
   within that half take part with all their tokens;
@@ -79,19 +80,24 @@ def _shared_at_least(size: int, percent: int) -> int:
 
 
 def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, class, low): the class names the set, ``low`` is the first filter's prefix."""
+    """(doc_id, n_shingles, class, low): the class names the set, ``low`` is the first filter's prefix. Of equal
+    sets in a batch only the first row with an id has one; so the first such row of a class always does."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()),
                         ("low", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingles(batch.column(1), width))
-            low = [s[:len(s) - _shared_at_least(len(s), percent) + 1 + len(s) // STEP].view(np.int64) for s in sets]
+            keys = [_key(s) for s in sets]
+            named = batch.column(0).is_valid().to_pylist()
+            first = {key: i for i, key in reversed(list(enumerate(keys))) if named[i]}
+            low = [s[:len(s) - _shared_at_least(len(s), percent) + 1 + len(s) // STEP if first.get(key) == i else 0]
+                   .view(np.int64) for i, (s, key) in enumerate(zip(sets, keys))]
             ends = np.cumsum([0, *map(len, low)]).astype(np.int32)
             flat = np.concatenate(low) if low else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([_key(s) for s in sets], pa.binary()),
+                 pa.array(keys, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=schema)
 
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, class binary, low array<bigint>")
@@ -191,8 +197,7 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
         F.min("row").alias("node"), F.min_by("doc_id", "row").alias("reader"), F.min("doc_id").alias("least"),
         F.max("n_shingles").alias("m")), "classes")
 
-    low = sketch.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(
-        F.col("row").alias("node"), F.explode("low").alias("token"))
+    low = sketch.filter("doc_id IS NOT NULL").select(F.col("row").alias("node"), F.explode("low").alias("token"))
     common = low.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
     hits = low.join(common, "token", "left_semi").groupBy("node").agg(F.count("*").alias("hits"))
     # A partner has at least T tokens, so its prefix asks for at least this many.

@@ -93,6 +93,16 @@ def test_no_rows_link_nothing(spark):
     assert {tuple(r) for r in jaccard_join.linked_components(lone).collect()} == {(None, 2, None), (4, 2, 4)}
 
 
+def test_copies_in_one_batch_lose_no_link(spark):
+    """Only one of equal rows brings its prefix; a row without an id before it must not be that one."""
+    words = [f"w{i}" for i in range(60)]
+    base, near, copied = " ".join(words), " ".join(words + ["more"]), " ".join(f"x{i}" for i in range(60))
+    rows = [(None, base), (7, base), (9, base), (8, near), (None, near), (3, copied), (5, copied)]
+    got = jaccard_join.linked_components(docs_of(spark, rows).coalesce(1))
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect() if r["doc_id"] is not None) == [
+        (3, 3), (5, 3), (7, 7), (8, 7), (9, 7)]
+
+
 # --- conversation repair -------------------------------------------------------------------------
 
 def cheapest(rows):
