@@ -4,7 +4,7 @@ Parquet has no conditional update, and rewriting the state of a whole fleet for
 would cost as much as the fleet is large. A batch therefore writes only its own devices, into a
 folder named after the batch, so a replayed batch overwrites itself. Readers merge the newest base
 with the deltas written after it; ``compact`` folds them into the next base, and readers no longer
-list the folded ones. The merge keeps the strictly newest row per device, and among equal times the
+list the folded ones, which ``vacuum`` removes. The merge keeps the strictly newest row per device, and among equal times the
 one of the earlier batch, so its result does not depend on when it is done. There is one writer, the
 streaming query; readers in other sessions see either the old or the new base, both complete.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from loamline.contract import TELEMETRY, Contract
 from loamline.operators.state import keep_newest, latest_state
+from loamline.sources.commits import CommitLog
 from loamline.sources.lake import read_lake
 
 
@@ -41,6 +42,7 @@ class DeviceStateTable:
             f"{self._delta_root(self._base_batch())}/batch_id={batch_id}")
         if self.compact_every and (batch_id + 1) % self.compact_every == 0:
             self.compact()
+            self.vacuum()
 
     def read(self) -> DataFrame:
         """The state now, one row per device."""
@@ -57,6 +59,23 @@ class DeviceStateTable:
          .write.mode("append").parquet(f"{self.root}/published"))
         return through
 
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Remove what the newest ``keep`` bases do not need: older bases, and deltas folded into them.
+
+        For the writer to call. A reader that listed one of the bases kept goes on undisturbed, so ``keep`` says how
+        many compactions a read may last. The published numbers stay.
+        """
+        if keep < 1:
+            raise ValueError("the newest base must stay")
+        published = read_lake(self.spark, f"{self.root}/published", "through bigint").distinct()
+        newest = [r["through"] for r in published.orderBy(F.desc("through")).limit(keep).collect()]
+        if not newest:
+            return []
+        after = [f"after={n}" for n in newest] + (["after=start"] if len(newest) < keep else [])
+        files = CommitLog(self.spark, self.root)
+        return (files.remove_all_but(f"{self.root}/base", [f"through={n}" for n in newest])
+                + files.remove_all_but(f"{self.root}/deltas", after))
+
     def _base_batch(self) -> int | None:
         published = read_lake(self.spark, f"{self.root}/published", "through bigint")
         return published.agg(F.max("through")).first()[0]

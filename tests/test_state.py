@@ -85,6 +85,22 @@ def test_table_merges_batches_and_survives_replay(spark, table):
     assert table.compact() == 2         # nothing new
 
 
+def test_vacuum_leaves_what_two_bases_need(spark, table, tmp_path):
+    assert table.vacuum() == []
+    held = None
+    for number in range(4):
+        table.apply(rows(spark, ("a", f"2026-01-01T1{number}:00:00", float(number), number)), number)
+        held = table.read() if number == 3 else held    # lists base 2 and the delta behind it
+        table.compact()
+    assert table.vacuum() == ["through=0", "through=1", "after=0", "after=1", "after=start"]
+    assert content(table.read()) == {"a": ("13:00", 3.0)} == content(held)
+    assert table.vacuum() == []
+    table.apply(rows(spark, ("a", "2026-01-01T15:00:00", 5.0, 9)), 4)
+    assert content(table.read()) == {"a": ("15:00", 5.0)}
+    with pytest.raises(ValueError, match="must stay"):
+        table.vacuum(keep=0)
+
+
 def test_table_goes_on_after_compaction(spark, table):
     table.apply(rows(spark, ("a", "2026-01-01T10:00:00", 1.0, 1)), 0)
     table.compact()
