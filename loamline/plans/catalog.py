@@ -381,15 +381,35 @@ def stream_clean(spark, sf):
 
 
 def stream_state(spark, sf):
-    """Passing records streamed to a log, then taken into the device state as one batch."""
-    root = scratch_dir(prepare(spark), "stream-state")
-    passed = gates.passing(judged(event_feed.messages(events_stream(spark, sf)))).select(
-        *TELEMETRY.columns, "kafka_partition", "kafka_offset")
-    start_file_sink(passed, "state-log", f"{root}/log", [], f"{root}/ckpt",
-                    every=None).awaitTermination()
-    table = DeviceStateTable(spark, f"{root}/state")
-    table.apply(spark.read.schema(passed.schema).parquet(f"{root}/log"), 0)
-    return table.read().select(*_STATE_OUT)
+    """Four arrivals judged once each; the state follows the judged table and folds every second batch."""
+    paths = _new_paths(spark, "stream-state")
+    for onward in _arrivals(spark, sf, paths):
+        start_pipeline(onward, paths, with_state=False, with_monitor=False, every=None, staged=True).finish()
+        jobs.update_state(spark, paths, compact_every=2)
+    return DeviceStateTable(spark, paths.state).read().select(*_STATE_OUT)
+
+
+def _staged(spark, sf):
+    """The job with one parse for all its queries; its paths."""
+    paths = _new_paths(spark, "staged")
+    start_pipeline(event_feed.messages(events_stream(spark, sf)), paths, with_state=False, with_monitor=False,
+                   every=None, staged=True).finish()
+    return paths
+
+
+def staged_clean(spark, sf):
+    """The clean table of the staged job; the coordinates are left out as above."""
+    table = read_lake(spark, _staged(spark, sf).clean, CLEAN_SCHEMA)
+    return table.drop("kafka_partition", "kafka_offset")
+
+
+def staged_quarantine(spark, sf):
+    return read_lake(spark, _staged(spark, sf).quarantine, QUARANTINE_SCHEMA)
+
+
+def _new_paths(spark, label):
+    root = scratch_dir(prepare(spark), label)
+    return Paths(f"{root}/lake", f"{root}/ckpt")
 
 
 def _drain(df, name, schema, partitions, spark):
@@ -434,15 +454,19 @@ def _part(day: Column, k: Column) -> Column:
     return F.least(F.floor((day - 1) / 8) + F.when(k.between(40, 49), 1).otherwise(0), F.lit(3))
 
 
-def _arriving_stream(spark, sf):
-    """The job over four arrivals, each of which moves the watermark; its paths."""
-    root = scratch_dir(prepare(spark), "arriving")
-    paths = Paths(f"{root}/lake", f"{root}/ckpt")
+def _arrivals(spark, sf, paths):
+    """The accepted messages as a stream, after each of four arrivals."""
     rows = events(spark, sf)
     number = _part(F.dayofmonth("ts"), F.get_json_object("props", "$.k").cast("int"))
     for part in range(4):
         event_feed.messages(rows.filter(number == part)).write.mode("append").parquet(paths.accepted)
-        onward = spark.readStream.schema(spark.read.parquet(paths.accepted).schema).parquet(paths.accepted)
+        yield spark.readStream.schema(spark.read.parquet(paths.accepted).schema).parquet(paths.accepted)
+
+
+def _arriving_stream(spark, sf):
+    """The job over four arrivals, each of which moves the watermark; its paths."""
+    paths = _new_paths(spark, "arriving")
+    for onward in _arrivals(spark, sf, paths):
         start_pipeline(onward, paths, with_state=False, with_monitor=False, every=None).finish()
     return paths
 
@@ -597,6 +621,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_quarantine": stream_quarantine,
     "stream_dead_letters": stream_dead_letters,
     "stream_state": stream_state,
+    "staged_clean": staged_clean,
+    "staged_quarantine": staged_quarantine,
     "progress_log": progress_log,
     "late_records": late_records,
     "stream_recovered": stream_recovered,

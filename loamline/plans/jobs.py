@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from loamline.contract import CLEAN_SCHEMA, QUARANTINE_SCHEMA
 from loamline.operators import checks, features, marts, models, state
+from loamline.operators.gates import passing
 from loamline.sources.lake import load_hourly, read_lake, read_with_backfill
 from loamline.sources.mart_store import MartStore
+from loamline.sources.messages import MESSAGE_SCHEMA
 from loamline.sources.model_store import ModelStore
 from loamline.sources.state_table import DeviceStateTable
-from loamline.streaming.job import Paths
+from loamline.streaming.job import COMPACT_EVERY, Paths, judged_schema
 from loamline.streaming.late import recover_late
 
 
@@ -61,6 +63,12 @@ def build_marts(spark: SparkSession, paths: Paths, as_of: dt.datetime | None = N
     return built
 
 
+def update_state(spark: SparkSession, paths: Paths, compact_every: int = COMPACT_EVERY) -> int | None:
+    """Bring the device state up to date with the table of a staged job, without a parse of its own."""
+    schema = judged_schema(spark.createDataFrame([], MESSAGE_SCHEMA))
+    return DeviceStateTable(spark, paths.state, compact_every=compact_every).follow(paths.judged, schema, passing)
+
+
 def check_freshness(spark: SparkSession, paths: Paths, status_messages: DataFrame,
                     as_of: dt.datetime | None = None) -> DataFrame:
     """Classify silent devices; fails when one claims to be online."""

@@ -434,6 +434,8 @@ ORACLE: dict[str, str] = {
     "stream_quarantine": _query("quarantine", "SELECT * FROM quarantine"),
     "stream_dead_letters": _query("structured", _LETTERS),
     "stream_clean": _query("clean", "SELECT * EXCLUDE (kafka_partition, kafka_offset) FROM clean"),
+    "staged_clean": _query("clean", "SELECT * EXCLUDE (kafka_partition, kafka_offset) FROM clean"),
+    "staged_quarantine": _query("quarantine", "SELECT * FROM quarantine"),
     "stream_state": _query("newest", f"SELECT {_STATE} FROM newest"),
     "progress_log": _query("checked", """SELECT 'clean' AS query, (SELECT count(*) FROM events) AS input_rows,
         0::bigint AS dropped_rows, count(*) FILTER (WHERE quality_reason IS NULL) AS passing_rows, """ + ", ".join(

@@ -12,9 +12,12 @@ streaming query; readers in other sessions see either the old or the new base, b
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loamline.contract import TELEMETRY, Contract
 from loamline.operators.state import keep_newest, latest_state
@@ -44,6 +47,29 @@ class DeviceStateTable:
             self.compact()
             self.vacuum()
 
+    def follow(self, log: str, schema: StructType | str,
+               pick: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> int | None:
+        """Take in what a stream has appended to the table ``log`` since the last call, as the next batch; its
+        number, or None where nothing is new. ``pick`` chooses the records.
+
+        Which files a batch took is committed after its delta. A call that dies in between is made good by
+        the next, which writes the same folder again; of two callers at once the slower one fails. A table
+        that follows a log gets no other batches.
+        """
+        taken = CommitLog(self.spark, f"{self.root}/taken")
+        number = len(taken.numbers())
+        known = set()
+        if number:
+            documents = self.spark.read.schema("files array<string>").json(f"{self.root}/taken")
+            known = {r[0] for r in documents.select(F.explode("files")).collect()}
+        fresh = [f for f in read_lake(self.spark, log, schema).inputFiles() if f not in known]
+        if not fresh:
+            return None
+        rows = self.spark.read.schema(schema).option("basePath", log).parquet(*map(unquote, fresh))
+        self.apply(pick(rows), number)
+        taken.commit(number + 1, {"files": fresh})
+        return number
+
     def read(self) -> DataFrame:
         """The state now, one row per device."""
         return self._merged(self._base_batch()).drop("batch_id")

@@ -79,7 +79,7 @@ def plan_of(df):
 
 
 # Queries that write tables or run a stream before they return a plan.
-WRITING = {"stream_clean", "stream_quarantine", "stream_dead_letters", "stream_state", "progress_log",
+WRITING = {"stream_clean", "stream_quarantine", "stream_dead_letters", "stream_state", "progress_log", "staged_clean", "staged_quarantine",
            "state_table", "backfill_rows", "check_summary", "roc_auc", "mart_refreshes", "dimension_refreshes",
            "mart_changes", "late_records", "stream_recovered", "watermark_drops", "last_batch_duration",
            "stored_versions", "lr_optimality"}

@@ -220,6 +220,83 @@ def test_all_four_queries(spark, topic, monkeypatch):
     assert spark.read.parquet(topic.paths.rule_counts).first()["n"] == 1
 
 
+def plan_of(query, capsys):
+    query.explain()
+    return capsys.readouterr().out
+
+
+def test_one_parse_for_all_branches(spark, topic, capsys, monkeypatch):
+    """With a staged table only the judging query parses; tables equal those of the job without it."""
+    monkeypatch.setattr(DataStreamWriter, "foreachBatch", lambda writer, function: writer.format("noop"))
+    topic.send(at(0), at(0), at(1, soil_moisture_pct=148.0), "not json", at(2))
+    options = dict(with_monitor=False, every=None)
+    source = read_message_files(spark, topic.path)
+    staged = start_pipeline(source, topic.paths, staged=True, **options)
+    staged.finish()
+    assert list(staged) == ["judged", "clean", "quarantine", "device-state"]
+    plans = {name: plan_of(query, capsys) for name, query in staged.items()}
+    assert {name: plan.count("from_json(") for name, plan in plans.items()} == {
+        "judged": 1, "clean": 0, "quarantine": 0, "device-state": 0}
+    assert "Exchange" not in plans["judged"] and "raw_value" not in plans["clean"]
+    got = [sorted(topic.clean().collect()), sorted(topic.quarantine().collect(), key=str)]
+    topic.paths = Paths(topic.paths.lake + "2", topic.paths.checkpoints + "2")
+    start_pipeline(source, topic.paths, **options).finish()
+    assert got == [sorted(topic.clean().collect()), sorted(topic.quarantine().collect(), key=str)]
+    assert len(got[0]) == 2 and len(got[1]) == 2
+
+
+def test_a_replayed_batch_changes_nothing(spark, topic):
+    """A sink that stopped after its files and before its checkpoint is given the same batch again."""
+    topic.send(at(0), at(1, soil_moisture_pct=148.0))
+    topic.drain(staged=True)
+    topic.send(at(2), "x")
+    topic.drain(staged=True)
+    before = [sorted(topic.clean().collect()), sorted(topic.quarantine().collect(), key=str)]
+    for name in ("judged", "clean", "quarantine"):
+        commits = f"{topic.paths.checkpoints}/{name}/commits"
+        last = max((f for f in os.listdir(commits) if f.isdigit()), key=int)
+        for file in (last, f".{last}.crc"):
+            if os.path.exists(f"{commits}/{file}"):
+                os.remove(f"{commits}/{file}")
+    topic.drain(staged=True)
+    assert before == [sorted(topic.clean().collect()), sorted(topic.quarantine().collect(), key=str)]
+    assert [len(rows) for rows in before] == [2, 2]
+
+
+def test_state_follows_the_judged_table(spark, topic, monkeypatch):
+    """Every arrival is one batch; a call without news, and one after a call that died, change nothing."""
+    from loamline.plans import jobs
+    from loamline.sources.commits import CommitConflict, CommitLog
+
+    def state():
+        return {r["device_id"]: r["ts"].minute for r in DeviceStateTable(spark, topic.paths.state).read().collect()}
+
+    topic.send(at(3), at(1, device_id="d2"), at(5, soil_moisture_pct=148.0))
+    topic.drain(staged=True)
+    assert jobs.update_state(spark, topic.paths, compact_every=2) == 0
+    assert jobs.update_state(spark, topic.paths, compact_every=2) is None
+    assert state() == {"probe-7": 3, "d2": 1}
+
+    def die(*_):
+        raise CommitConflict("died")
+
+    topic.send(at(2), at(4, device_id="d2"))
+    topic.drain(staged=True)
+    with monkeypatch.context() as patch:
+        patch.setattr(CommitLog, "commit", die)
+        with pytest.raises(CommitConflict):
+            jobs.update_state(spark, topic.paths, compact_every=2)
+    topic.send(at(9), ingested=NOON + 9 * MINUTE)
+    topic.drain(staged=True)
+    assert jobs.update_state(spark, topic.paths, compact_every=2) == 1
+    assert state() == {"probe-7": 9, "d2": 4}
+    for minute in (10, 11):
+        topic.send(at(minute, device_id="d3"), ingested=NOON + 9 * MINUTE)
+        topic.drain(staged=True)
+        jobs.update_state(spark, topic.paths, compact_every=2)
+    assert state() == {"probe-7": 9, "d2": 4, "d3": 11}
+
+
 def test_branches_are_optional(spark, topic):
     topic.send(at(0))
     assert set(topic.drain()) == {"clean", "quarantine"}
