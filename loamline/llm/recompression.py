@@ -12,7 +12,8 @@ choose equal symbols, so a window that occurs twice has an anchor that occurs tw
 2. Mark shared anchors in a bit table of fixed size. A wrong mark costs work, never a result.
 3. Windows of shared anchors meet by anchor, carrying a hash of all their words; the first by
    (doc_id, start) stays. Of equal windows in one batch only the first travels. Windows of anchors
-   that hold more than a 2^-20 share meet by window instead, so no anchor gathers in one task.
+   that hold more than a 2^-20 share meet by window instead, first among those of one share of the batches, then
+   the first of each share, so neither an anchor nor a window that all batches hold gathers in one task.
 4. The words of all other such windows are cut from their documents.
 
 Nulls and empty texts have no words. Rows without a ``doc_id`` are left whole and are no one's source.
@@ -47,6 +48,8 @@ _INVERSE = pow(_POWER, -1, 1 << 64)
 BITS = 28
 HOT_SHARE = 2.0 ** -20
 HOT_LEAST = 4096
+# Equal windows of a frequent anchor meet in so many shares before they meet all together.
+SHARES = 64
 
 
 @dataclass
@@ -218,28 +221,45 @@ def _firsts(key: np.ndarray, hashes: np.ndarray, doc: np.ndarray, start: np.ndar
     return out
 
 
-_FOUND = "route bigint, key bigint, doc_id bigint, sig bigint, starts binary, hashes binary"
-_FOUND_ARROW = pa.schema([("route", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("sig", pa.int64()),
-                          ("starts", pa.binary()), ("hashes", pa.binary())])
-_CUT = "doc_id bigint, sig bigint, starts binary"
-_CUT_ARROW = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("starts", pa.binary())])
+_FOUND_ARROW = pa.schema([("route", pa.int64()), ("again", pa.bool_()), ("key", pa.int64()), ("doc_id", pa.int64()),
+                          ("sig", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary())])
+_FOUND = "route bigint, again boolean, key bigint, doc_id bigint, sig bigint, start int, n int, hashes binary"
 
 
-def _grouped(new: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
-    """Where groups begin, and each column's values of a group as one binary value."""
+def _runs(*same: np.ndarray, start: np.ndarray, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of consecutive starts with equal values of ``same`` begin, and their lengths."""
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] != start[:-1] + 1
+    for column in same:
+        new[1:] |= column[1:] != column[:-1]
+    if alone is not None:
+        new |= alone
+        new[1:] |= alone[:-1]
     begin = np.flatnonzero(new)
-    edges = np.append(begin, len(new))
-    out = []
-    for column in columns:
-        offsets = (edges * column.dtype.itemsize).astype(np.int32)
-        out.append(pa.Array.from_buffers(pa.binary(), len(begin), [
-            None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(column).tobytes())]))
-    return begin, out
+    return begin, np.diff(np.append(begin, len(start)))
+
+
+def _found(route, again, key, doc, sig, start, n, hashes: pa.Array | None = None) -> pa.RecordBatch:
+    """Rows of consecutive windows; without hashes they are to be cut."""
+    count = len(doc)
+    route, key = (np.broadcast_to(x, count).astype(np.uint64).view(np.int64) for x in (route, key))
+    again = np.broadcast_to(again, count).astype(bool)
+    columns = (route, again, key, doc, sig, start.astype(np.int32), n.astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [*map(pa.array, columns), pa.nulls(count, pa.binary()) if hashes is None else hashes], schema=_FOUND_ARROW)
+
+
+def _binaries(values: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """Values from each of ``begin`` to the next as one binary value."""
+    offsets = (np.append(begin, len(values)) * values.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begin), [
+        None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
 def _candidates(docs: DataFrame, width: int, table, hot) -> DataFrame:
     """Windows of marked anchors. Rows with hashes go on to be compared; rows without hold windows that
-    an equal one in the same batch has already beaten."""
+    an equal one in the same batch has already beaten. A window of a frequent anchor is a row of its own
+    and meets its equals among those of one share of the batches first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,55 +273,53 @@ def _candidates(docs: DataFrame, width: int, table, hot) -> DataFrame:
             take = np.flatnonzero(_marked(table.value, w.key) & known[row])
             if not len(take):
                 continue
-            row, start = row[take], w.start[w.at[take]].astype(np.int32)
+            row, start = row[take], w.start[w.at[take]]
             key, hashes, anchor, doc = w.key[take], w.hash[take], w.anchor[take], ids[row]
             first = _firsts(key, hashes, doc, start)
-            busy = np.isin(key, hot.value)
-            for part, final in ((np.flatnonzero(first), False), (np.flatnonzero(~first), True)):
-                if not len(part):
-                    continue
-                r, a, b = row[part], anchor[part], busy[part]
-                new = np.concatenate([[True], (r[1:] != r[:-1]) | ((a[1:] != a[:-1]) & (not final))])
-                if not final:
-                    new |= b
-                begin, (starts, found) = _grouped(new, start[part], hashes[part])
-                at = part[begin]
-                route = np.where(busy[at], mix(hashes[at]), key[at]) if not final else mix(doc[at].astype(np.uint64))
-                none = pa.nulls(len(begin), pa.binary())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(route.view(np.int64)), pa.array(key[at].view(np.int64)), pa.array(doc[at]),
-                    pa.array(sigs[row[at]]), starts, none if final else found], schema=_FOUND_ARROW)
+            lost = np.flatnonzero(~first)
+            begin, n = _runs(row[lost], start=start[lost])
+            at = lost[begin]
+            yield _found(mix(doc[at].astype(np.uint64)), False, 0, doc[at], sigs[row[at]], start[at], n)
+            kept = np.flatnonzero(first)
+            busy = np.isin(key[kept], hot.value)
+            begin, n = _runs(row[kept], anchor[kept], start=start[kept], alone=busy)
+            at, again = kept[begin], busy[begin]
+            share = mix(sigs[:1].astype(np.uint64)) % np.uint64(SHARES)
+            route = np.where(again, mix(hashes[at] ^ mix(share + _RUN)), key[at])
+            yield _found(route, again, key[at], doc[at], sigs[row[at]], start[at], n, _binaries(hashes[kept], begin))
 
     return docs.select("doc_id", F.xxhash64("text").alias("sig"), "text").mapInArrow(run, _FOUND)
 
 
 def _beaten(candidates: DataFrame, most: int = 500_000) -> DataFrame:
-    """Windows that are not the first of their kind, per document. Rows arrive sorted by route; equal
+    """Rows without hashes: windows that are not the first of their kind. Rows with hashes: windows that were the
+    first in their share, to be compared ``again`` with those of the others. Rows arrive sorted by route; equal
     windows have equal routes, and a batch of whole routes is compared at a time."""
 
-    def resolve(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    def resolve(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows).combine_chunks()
-        key, doc, sig = (table[c].to_numpy().view(np.uint64 if c == "key" else np.int64) for c in ("key", "doc_id", "sig"))
-        starts = table["starts"].to_pylist()
-        count = np.array([len(x) // 4 for x in starts])
-        start = np.frombuffer(b"".join(starts), np.int32)
+        key, doc, sig, start, n, again = (
+            table[c].to_numpy() for c in ("key", "doc_id", "sig", "start", "n", "again"))
         hashes = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint64)
-        of = np.repeat(np.arange(len(count)), count)
-        lost = np.flatnonzero(~_firsts(key[of], hashes, doc[of], start))
-        if not len(lost):
-            return None
-        r = of[lost]
-        begin, (cut,) = _grouped(np.concatenate([[True], r[1:] != r[:-1]]), start[lost])
-        return pa.RecordBatch.from_arrays([pa.array(doc[r[begin]]), pa.array(sig[r[begin]]), cut], schema=_CUT_ARROW)
+        of = np.repeat(np.arange(len(n)), n)
+        begin = np.cumsum(n) - n
+        at = start[of] + (np.arange(len(of)) - begin[of])
+        first = _firsts(key.view(np.uint64)[of], hashes, doc[of], at)
+        lost = np.flatnonzero(~first)
+        begin, length = _runs(of[lost], start=at[lost])
+        r = of[lost][begin]
+        yield _found(0, False, 0, doc[r], sig[r], at[lost][begin], length)
+        kept = np.flatnonzero(first & again[of])
+        r = of[kept]
+        yield _found(mix(hashes[kept]), False, key[r], doc[r], sig[r], start[r], n[r],
+                     _binaries(hashes[kept], np.arange(len(kept))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            done = batch.filter(batch.column(5).is_null())
-            if len(done):
-                yield done.select(["doc_id", "sig", "starts"])
-            batch = batch.filter(batch.column(5).is_valid())
+            yield batch.filter(batch.column("hashes").is_null())
+            batch = batch.filter(batch.column("hashes").is_valid())
             if not len(batch):
                 continue
             if size > most:
@@ -311,26 +329,30 @@ def _beaten(candidates: DataFrame, most: int = 500_000) -> DataFrame:
                                                         route[1:] != route[:-1]]))
                 if len(change):
                     head, batch = batch.slice(0, change[-1]), batch.slice(change[-1])
-                    out = resolve([*held, head])
-                    if out is not None:
-                        yield out
+                    yield from resolve([*held, head])
                     held, size = [], 0
             held.append(batch)
-            size += batch.column(5).nbytes // 8
+            size += batch.column("hashes").nbytes // 8
         if held:
-            out = resolve(held)
-            if out is not None:
-                yield out
+            yield from resolve(held)
+
+    return candidates.repartition("route").sortWithinPartitions("route").mapInArrow(run, _FOUND)
+
 
-    return candidates.repartition("route").sortWithinPartitions("route").mapInArrow(run, _CUT)
+def _all_beaten(candidates: DataFrame) -> DataFrame:
+    """Runs of windows to be cut: (doc_id, sig, start, n)."""
+    judged = written(_beaten(candidates), "cuts")
+    done, again = judged.filter("hashes IS NULL"), judged.filter("hashes IS NOT NULL")
+    return (done.unionByName(_beaten(again).filter("hashes IS NULL"))
+            .select("doc_id", "sig", "start", "n"))
 
 
-def _cut_text(text: bytes, words: Words, lo: int, hi: int, starts: np.ndarray, width: int) -> tuple[int, bytes]:
-    """Number of words covered by the windows, and the text without them."""
+def _cut_text(text: bytes, words: Words, lo: int, hi: int, runs: np.ndarray, width: int) -> tuple[int, bytes]:
+    """Number of words covered by runs (start, n) of windows, and the text without them."""
     n = hi - lo
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + width, -1)
+    np.add.at(edge, runs[:, 0], 1)
+    np.add.at(edge, runs[:, 0] + runs[:, 1] - 1 + width, -1)
     gone = np.cumsum(edge[:-1]) > 0
     turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
     base = words.starts[lo:hi]
@@ -352,12 +374,14 @@ def cut_repeats(docs: DataFrame, width: int = 20, into: str = "_cut") -> DataFra
     hot = shared.filter(F.col("n") > max(HOT_LEAST, total * HOT_SHARE)).select("key").toArrow()["key"].to_numpy()
     table = spark.sparkContext.broadcast(_bit_table(shared))
     busy = spark.sparkContext.broadcast(hot.view(np.uint64))
-    cuts = written(_beaten(_candidates(plain, width, table, busy)), "cuts")
-    sig, windows = free_name(docs, "_sig"), free_name(docs, "_windows")
-    per_doc = cuts.groupBy(F.col("doc_id").alias("_cut_doc"), F.col("sig").alias("_cut_sig")).agg(
-        F.collect_list("starts").alias(windows))
+    sig, windows, cut_doc, cut_sig = (free_name(docs, c) for c in ("_sig", "_windows", "_cut_doc", "_cut_sig"))
+    # A run is one number, which a list holds in eight bytes.
+    packed = F.shiftleft(F.col("start").cast("bigint"), 32).bitwiseOR(F.col("n").cast("bigint"))
+    per_doc = (_all_beaten(_candidates(plain, width, table, busy))
+               .groupBy(F.col("doc_id").alias(cut_doc), F.col("sig").alias(cut_sig))
+               .agg(F.collect_list(packed).alias(windows)))
     marked = docs.withColumn(sig, F.xxhash64(F.col("text").cast("string")))
-    joined = marked.join(per_doc, (F.col("doc_id") == F.col("_cut_doc")) & (F.col(sig) == F.col("_cut_sig")), "left").select(
+    joined = marked.join(per_doc, (F.col("doc_id") == F.col(cut_doc)) & (F.col(sig) == F.col(cut_sig)), "left").select(
         *docs.columns, windows)
     at, where = docs.columns.index("text"), len(docs.columns)
     kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
@@ -376,8 +400,9 @@ def cut_repeats(docs: DataFrame, width: int = 20, into: str = "_cut") -> DataFra
                     kept.append((hi - lo, 0, raw[i] or b""))
                     continue
                 own = Words(words.data, words.starts[lo:hi] - begin[i], words.ends[lo:hi] - begin[i], words.first)
-                starts = np.frombuffer(b"".join(lists), np.int32)
-                kept.append((hi - lo, *_cut_text(raw[i], own, 0, hi - lo, starts, width)))
+                packed = np.array(lists, np.int64)
+                runs = np.stack([packed >> 32, packed & 0xFFFFFFFF], axis=1)
+                kept.append((hi - lo, *_cut_text(raw[i], own, 0, hi - lo, runs, width)))
             columns = zip(*kept) if kept else ([], [], [])
             result = pa.StructArray.from_arrays(
                 [pa.array(c, pa.binary()).cast(f.type) if f.name == "text" else pa.array(c, f.type)

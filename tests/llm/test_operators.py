@@ -451,6 +451,32 @@ def test_hot_anchors_meet_by_window(spark, monkeypatch):
     assert recompression.cut_repeats(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("shares", [1, 3, 64])
+def test_hot_windows_meet_in_shares(spark, monkeypatch, shares):
+    """Winners of the shares meet again; batches of one document, texts that hold a window several times, and equal
+    rows in several batches."""
+    monkeypatch.setattr(recompression, "HOT_LEAST", 1)
+    monkeypatch.setattr(recompression, "SHARES", shares)
+    passage, texts = words(60, 50, 1), {}
+    for i in range(24):
+        own = words(15, 10**6, i) + passage[i % 5:40 + i % 7] + words(9, 10**6, -i - 1)
+        texts[i] = " ".join(own + (passage if i % 4 == 0 else []) + words(3, 10**6, 99 * i))
+    docs = docs_of(spark, [*texts.items(), (3, texts[3]), (0, texts[0])]).repartition(13)
+    want = without_repeats(texts)
+    for r in recompression.cut_repeats(docs).select("doc_id", "_cut.*").collect():
+        assert (r["n_words"], r["n_removed"], " ".join(r["text"].split())) == want[r["doc_id"]]
+
+
+def test_cuts_next_to_columns_with_names_of_ours(spark):
+    text = " ".join(words(30, 50, 1))
+    docs = docs_of(spark, {1: text, 2: text})
+    for name in ("_cut_doc", "_CUT_SIG", "_sig", "_windows", "start", "n"):
+        docs = docs.withColumn(name, F.lit("kept"))
+    got = {r["doc_id"]: r for r in recompression.cut_repeats(docs).collect()}
+    assert [got[i]["_cut"]["n_removed"] for i in (1, 2)] == [0, 30]
+    assert {got[2][c] for c in ("_cut_doc", "_CUT_SIG", "_sig", "_windows", "start", "n")} == {"kept"}
+
+
 # --- secrets -------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
