@@ -318,6 +318,7 @@ def _beaten(candidates: DataFrame, most: int = 500_000) -> DataFrame:
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
+            batch = pa.RecordBatch.from_arrays(batch.columns, schema=_FOUND_ARROW)
             yield batch.filter(batch.column("hashes").is_null())
             batch = batch.filter(batch.column("hashes").is_valid())
             if not len(batch):
