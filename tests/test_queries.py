@@ -1,7 +1,9 @@
 """Every registered query against its SQL on the smallest tables, and the shape of the plans."""
 
+import ast
 import math
 import re
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -70,6 +72,11 @@ def test_promotion_reads_stored_versions(spark):
     assert row["in_use"] == ("20240201T000000Z" if row["promoted"] else row["current_version"])
 
 
+def test_no_function_of_the_catalog_hides_another():
+    names = [n.name for n in ast.parse(Path(catalog.__file__).read_text()).body if isinstance(n, ast.FunctionDef)]
+    assert sorted(names) == sorted(set(names))
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
 
