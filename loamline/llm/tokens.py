@@ -8,11 +8,15 @@ than texts: most are answered from the cache.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
-import numpy as np
+# Marks that may stand behind a word: together they are one pre-token. Quotes and what special tokens begin or end
+# with are left to the tokenizer.
+_MARKS = b"!#$%&()*+,-./:;=?@[]^_{}~"
 
-# A lower-case Latin word, perhaps with sentence marks behind it: one pre-token and one more.
-_PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
+# A Latin word, which is one pre-token; ASCII capitals are not in it, as texts come in lower case.
+_LATIN = re.compile("[a-zß-öø-ÿÀ-ÖØ-Þ]+")
 
 # A capital that a mark behind it may join: the normalizer composes before it lower-cases.
 _MARKED = re.compile(rb"[A-Z][\x80-\xff]")
@@ -26,6 +30,13 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+def _bytes_of(ids: list[int]) -> bytes:
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
 class WordTokens(dict):
     """Word (bytes) -> its ids as little-endian 32-bit numbers; filled on demand.
 
@@ -41,6 +52,7 @@ class WordTokens(dict):
         self._letters = _byte_letters()
         self._limit = limit
         self._before: dict[bytes, bytes] = {}
+        self._marks: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         found = self._before.get(word)
@@ -53,15 +65,23 @@ class WordTokens(dict):
         return found
 
     def _encode(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        plain = _PLAIN.fullmatch(text)
-        if plain:
-            ids = [t.id for t in self._model.tokenize("".join([self._letters[b] for b in plain[1].encode()]))]
-            if plain[2]:
-                ids += [t.id for t in self._model.tokenize(plain[2])]
-        else:
-            ids = self._tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        letters = word.rstrip(_MARKS)
+        if not (letters.isalpha() and letters.islower()) and not _LATIN.fullmatch(letters.decode("utf-8", "replace")):
+            return _bytes_of(self._tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        if len(letters) < len(word):
+            # The word without its marks is likely to occur as well, and the marks are few.
+            return self[letters] + self._of_marks(word[len(letters):])
+        shown = letters.decode() if letters.isascii() else "".join(
+            [self._letters[b] for b in letters.decode().lower().encode()])
+        return _bytes_of([t.id for t in self._model.tokenize(shown)])
+
+    def _of_marks(self, marks: bytes) -> bytes:
+        found = self._marks.get(marks)
+        if found is None:
+            found = _bytes_of([t.id for t in self._model.tokenize(marks.decode())])
+            if len(marks) <= 8 and len(self._marks) < 4096:
+                self._marks[marks] = found
+        return found
 
     def of(self, text: bytes) -> bytes:
         """All ids of a text. Strings of special tokens keep their case, and so do words in which a mark may

@@ -339,6 +339,33 @@ def test_capitals_with_marks():
         assert np.frombuffer(cached.of(text.encode()), "<u4").tolist() == want
 
 
+def test_marks_behind_a_word_are_looked_up():
+    """Words with marks or capitals beyond ASCII need no run of the whole tokenizer, and give the same ids."""
+    from tokenizers import Tokenizer
+
+    from loamline.llm.tokens import WordTokens
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.calls = inner, 0
+
+        def encode(self, *args, **kwargs):
+            self.calls += 1
+            return self.inner.encode(*args, **kwargs)
+
+    tokenizer, cached = Tokenizer.from_file(WORD_FILE), WordTokens(WORD_FILE, limit=3)
+    cached._tokenizer = counting = Counting(tokenizer)
+    for text in ("auxtre$$$ comente%%% haanon,%%% haanon", "\u00c9onauxan. \u00d8re ouvieauen.### (..) a_b"):
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(cached.of(text.encode()), "<u4").tolist() == want
+    assert counting.calls == 2
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice("abst'\u00e9\u00c9\u00d7\u00f7\u00df.,;#$&*-_^`<>|\\\"09\u0301\u0130A") for _ in range(rng.randint(1, 9)))
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(cached.of(text.encode()), "<u4").tolist() == want
+
+
 # --- quality -------------------------------------------------------------------------------------
 
 def plain_counts(text):
