@@ -8,10 +8,11 @@ not yet ruled out are equally probable. A text ends with a symbol of its own; pr
 texts add up to one. Letters A-Z are read as a-z.
 
 All counts come from counting (context, byte) strings over the corpus. Up to ``SHARD`` distinct strings,
-the model is broadcast. Beyond that it stays a Spark table: counts per level are aggregated, each distinct
-string of the corpus gets its probability by joins with the levels, and (document, string) counts are
-joined with these, so that neither driver nor task holds the model. Of the words, the most frequent
-``HEAD`` are broadcast, the others are joined.
+the model is broadcast. Beyond that it stays a Spark table, cut by the last three context bytes (two, if the
+corpus has more than ``PART`` strings of three bytes): a part has everything about contexts of that length and
+more, and the shorter ones are broadcast. A task holds one part, and neither driver nor task the model. The most frequent strings, ``SHARD``
+at most, are costed once and broadcast; only the others are sent from the documents to the part that knows
+what they cost. Of the words, the most frequent ``HEAD`` are broadcast, the others are joined.
 
 Null texts are empty, and an empty text is its end symbol. Rows without a ``doc_id`` train nothing and
 are not held out. Repeated rows count as often as they occur and get equal scores. Without training
@@ -20,7 +21,7 @@ texts every byte has the same probability.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,9 @@ ORDER = 5
 SHARD = 4_000_000
 HEAD = 1 << 18
 CHUNK = 1 << 20
+# Strings of a part of a model that stays a table, about; and strings whose costs are looked up at a time.
+PART = 1 << 19
+ASKED = 1 << 17
 # Bytes that UTF-8 never uses: before the first byte of a text, and after the last.
 START, END = 0xFE, 0xFF
 _FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -115,17 +119,20 @@ def _mask(size: int) -> np.uint64:
 
 
 class Model:
-    """A whole trie. ``codes`` are strings of ORDER context bytes and a byte, in order."""
+    """A trie, or a part of one. ``codes`` are strings of ORDER context bytes and a byte, ``short`` those of
+    fewer than ``cut`` context bytes."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, short: np.ndarray, short_counts: np.ndarray):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, short: np.ndarray, short_counts: np.ndarray, cut: int = 2):
         self.levels: list[Level] = []
         for size in range(ORDER + 1):
-            source, n = (codes, counts) if size >= 2 else (short, short_counts)
+            source, n = (codes, counts) if size >= cut else (short, short_counts)
             key, at = np.unique(source & _mask(size + 1), return_inverse=True)
             self.levels.append(Level(key, np.bincount(at, n, len(key)).astype(np.int64)))
         for size in range(ORDER):
             self.levels[size].exclude(self.levels[size + 1], _mask(size + 1))
         self.rest = 256 - (self.levels[0].kinds[0] if len(self.levels[0].kinds) else 0)
+        for level in self.levels:
+            del level.codes, level.counts, level.context, level.total, level.kinds
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of each byte after its context."""
@@ -159,6 +166,28 @@ class Model:
         return out
 
 
+class Known:
+    """Costs of some strings."""
+
+    def __init__(self, codes: np.ndarray, costs: np.ndarray):
+        self.where, self.costs = Table(codes), np.append(costs, np.nan)
+
+    def log10(self, codes: np.ndarray) -> np.ndarray:
+        """Costs of the codes, NaN for those that are absent."""
+        return self.costs[self.where.find(codes)]
+
+
+_made: list = [None, None]
+
+
+def _once(shared, make: Callable):
+    """``make`` of a broadcast's values, kept by the worker for the tasks that follow."""
+    if _made[0] is not shared:
+        _made[:] = None, None
+        _made[:] = shared, make(*shared.value)
+    return _made[1]
+
+
 def _strings(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(codes, document) of all positions of a batch, in chunks: each byte of a text and its end, after
     ORDER bytes of context."""
@@ -217,92 +246,81 @@ def _head(words: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return found.hashes(), top["n"].to_numpy()
 
 
-def _model(strings: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """All strings in order, and their counts."""
+def _collected(strings: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = strings.toArrow()
     code, n = rows["code"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(code)
     return code[order], n[order]
 
 
-def _levels(strings: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """The trie as tables, per context length: (code, n) of (context, byte) strings; and per context
-    what ``Level`` holds of it: norm, escape, and after an escape from it then_norm, then_escape."""
-    counts = [strings]
-    for size in range(ORDER - 1, -1, -1):
-        code = F.col("code").bitwiseAND(int(_mask(size + 1)))
-        counts.insert(0, written(counts[0].groupBy(code.alias("code")).agg(F.sum("n").alias("n")), "level"))
-    contexts: list[DataFrame] = []
-    for size, level in enumerate(counts):
-        context = F.shiftrightunsigned("code", 8).alias("context")
-        if size == 0:
-            per = level.groupBy(context).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).select(
-                "*", F.lit(0).alias("left"), F.lit(0).alias("more"))
-        else:
-            shorter = counts[size - 1].select(F.col("code").alias("_c"), F.col("n").alias("_n"))
-            per = level.join(shorter, level["code"].bitwiseAND(int(_mask(size))) == F.col("_c")).groupBy(context).agg(
-                F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("_n").alias("gone"))
-            home = contexts[-1].select(F.col("context").alias("_h"), F.col("total").alias("_total"), F.col("kinds").alias("_kinds"))
-            per = per.join(home, F.col("context").bitwiseAND(int(_mask(size - 1)) if size > 1 else 0) == F.col("_h")).select(
-                "context", "total", "kinds", (F.col("_total") - F.col("gone")).alias("left"),
-                (F.col("_kinds") - F.col("kinds")).alias("more"))
-        norm, then_norm = F.log10(F.col("total") + F.col("kinds")), F.log10(F.col("left") + F.col("more"))
-        some = F.col("more") > 0
-        contexts.append(written(per.select(
-            "context", "total", "kinds", norm.alias("norm"), (F.log10("kinds") - norm).alias("escape"),
-            F.when(some, then_norm).otherwise(0.0).alias("then_norm"),
-            F.when(some, F.log10("more") - then_norm).otherwise(0.0).alias("then_escape")), "contexts"))
-    return counts, contexts
-
-
-def _log10(strings: DataFrame, codes: DataFrame) -> DataFrame:
-    """(code, lp): log10 probability of the byte of each string, for the strings of the model and for
-    ``codes``; the steps of ``Model.log10`` as joins."""
-    counts, contexts = _levels(strings)
-    longest = contexts[ORDER].select("context", "norm")
-    known = strings.join(longest, F.shiftrightunsigned(strings["code"], 8) == longest["context"]).select(
-        "code", (F.log10("n") - F.col("norm")).alias("lp"))
-    rows = codes.join(strings, "code", "left_anti").select(
-        "code", F.lit(0.0).alias("lp"), F.lit(False).alias("done"), F.lit(False).alias("came"),
-        F.lit(0.0).alias("tn"), F.lit(0.0).alias("te"))
-    for size in range(ORDER, -1, -1):
-        level = counts[size].select(F.col("code").alias("_c"), F.col("n").alias("_n"))
-        node = contexts[size].select(F.col("context").alias("_h"), *[F.col(c).alias(f"_{c}") for c in ("norm", "escape", "then_norm", "then_escape")])
-        context = F.shiftrightunsigned("code", 8).bitwiseAND(int(_mask(size)) if size else 0)
-        met = rows.join(level, F.col("code").bitwiseAND(int(_mask(size + 1))) == F.col("_c"), "left").join(
-            node, context == F.col("_h"), "left")
-        hit = F.col("_n").isNotNull()
-        cost = F.when(hit, F.log10("_n") - F.when(F.col("came"), F.col("tn")).otherwise(F.col("_norm"))).otherwise(
-            F.when(F.col("came"), F.col("te")).otherwise(F.coalesce("_escape", F.lit(0.0))))
-        rows = met.select("code", F.when(F.col("done"), F.col("lp")).otherwise(F.col("lp") + cost).alias("lp"),
-                          (F.col("done") | hit).alias("done"), F.col("_h").isNotNull().alias("came"),
-                          F.coalesce("_then_norm", F.lit(0.0)).alias("tn"), F.coalesce("_then_escape", F.lit(0.0)).alias("te"))
-    rest = float(np.log10(max(256 - counts[0].count(), 1)))
-    return known.unionByName(rows.select("code", F.when(F.col("done"), F.col("lp")).otherwise(F.col("lp") - rest).alias("lp")))
-
-
-def _row_strings(rows: DataFrame) -> DataFrame:
-    """(row, code, n): how often each string occurs in each row; parts of a long text may repeat a string."""
-    schema = pa.schema([("row", pa.int64()), ("code", pa.int64()), ("n", pa.int64())])
+def _model(strings: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All strings in order, and their counts."""
+    return _collected(strings)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row = batch.column(0).to_numpy()
-            for code, doc in _strings(batch.column(1)):
-                order = np.lexsort((code, doc))
-                code, doc = code[order], doc[order]
-                new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])]))
-                n = np.diff(np.append(new, len(code)))
-                yield pa.RecordBatch.from_arrays([pa.array(row[doc[new]]), pa.array(code[new].view(np.int64)), pa.array(n)], schema=schema)
 
-    return rows.select("row", "text").mapInArrow(run, "row bigint, code bigint, n bigint")
+def _shortest(strings: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Strings of fewer context bytes than a model is cut by, their counts, and that number of bytes."""
+    for cut in (3, 2):
+        short = strings.groupBy(F.col("code").bitwiseAND(int(_mask(cut))).alias("code")).agg(F.sum("n").alias("n"))
+        if cut == 2 or short.count() <= PART:
+            return *_collected(short), cut
+
 
+def _frequent(strings: DataFrame, size: int) -> DataFrame:
+    """The most frequent strings: at most ``size`` rows, and all of a count or none."""
+    rows = strings.groupBy("n").agg(F.count("*").alias("kinds")).toArrow()
+    n, kinds = rows["n"].to_numpy(), rows["kinds"].to_numpy()
+    order = np.argsort(-n)
+    fits = np.cumsum(kinds[order]) <= size
+    return strings.filter(F.col("n") >= (int(n[order][fits][-1]) if fits.any() else int(n.max()) + 1))
 
-def _joined_scores(rows: DataFrame, strings: DataFrame) -> DataFrame:
-    """(row, score): scores of rows with a model that stays a table."""
-    unseen = _byte_strings(rows.filter(F.col("held_out") | F.col("doc_id").isNull())).select("code")
-    costs = written(_log10(strings, unseen), "costs")
-    return _row_strings(rows).join(costs, "code").groupBy("row").agg(F.sum(F.col("n") * F.col("lp")).alias("score"))
+
+def _costs(strings: DataFrame, asked: DataFrame, short, cut: int, parts: int) -> DataFrame:
+    """(row, score): what the strings of each row of ``asked`` (row, code, n) cost together.
+
+    Strings of the model and those asked for meet by their last ``cut`` context bytes. In a task the model comes
+    first, as the rows are sorted, and the others stream past it.
+    """
+    schema = pa.schema([("row", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _made[:] = None, None
+        model, held, size = None, [], 0
+
+        def answer() -> pa.RecordBatch:
+            row, code, n = map(np.concatenate, zip(*held))
+            key, at = np.unique(row, return_inverse=True)
+            score = np.bincount(at, n * model.log10(code.view(np.uint64)), len(key))
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(score)], schema=schema)
+
+        mine = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for batch in batches:
+            row, code, n = (batch.column(i) for i in range(3))
+            begin = row.null_count
+            if begin:
+                mine.append((code[:begin].to_numpy(), n[:begin].to_numpy()))
+            if begin == len(row):
+                continue
+            if model is None:
+                codes, counts = map(np.concatenate, zip(*mine))
+                model, mine = Model(codes.view(np.uint64), counts, *short.value, cut), None
+            held.append((row[begin:].to_numpy(), code[begin:].to_numpy(), n[begin:].to_numpy()))
+            size += len(row) - begin
+            if size >= ASKED:
+                yield answer()
+                held, size = [], 0
+        if held:
+            yield answer()
+
+    both = strings.select(F.lit(None).cast("bigint").alias("row"), "code", "n").unionByName(asked.select("row", "code", "n"))
+    dealt = both.repartition(parts, F.shiftrightunsigned("code", 8).bitwiseAND(int(_mask(cut))))
+    return dealt.sortWithinPartitions(F.col("row").isNotNull()).mapInArrow(run, "row bigint, score double").groupBy("row").agg(
+        F.sum("score").alias("score"))
+
+
+def _cost_arrays(costs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rows = costs.toArrow()
+    return rows["row"].to_numpy().view(np.uint64), rows["score"].to_numpy()
 
 
 def _whole(codes: np.ndarray, counts: np.ndarray) -> Model:
@@ -311,24 +329,47 @@ def _whole(codes: np.ndarray, counts: np.ndarray) -> Model:
 
 
 _SCORED = ("row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, "
-           "tail array<struct<word:binary,n:bigint>>")
+           "tail array<struct<word:binary,n:bigint>>, rest array<struct<code:bigint,n:bigint>>")
+
+
+def _counted(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by document and key, and where in it another key or document begins, with the end."""
+    order = np.lexsort((key, doc))
+    key, doc = key[order], doc[order]
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(order) else order
+    return order, np.append(new, len(order))
+
+
+def _lists(doc: np.ndarray, docs: int, fields: dict[str, pa.Array]) -> pa.Array:
+    """A list of structs per document; ``doc`` is in order."""
+    edges = np.searchsorted(doc, np.arange(docs + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
 
 
-def _scored(docs: DataFrame, trie, head, denominator: float, end_count: int) -> DataFrame:
+def _scored(docs: DataFrame, trie, make: Callable, head, denominator: float, end_count: int) -> DataFrame:
     tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+    rest_type = pa.list_(pa.struct([("code", pa.int64()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = head.value
         frequent = Table(hashes)
         known = np.log10((counts + 1) / denominator) if len(counts) else np.zeros(0)
-        model = _whole(*trie.value) if trie is not None else None
+        model = _once(trie, make)
         for batch in batches:
             texts = batch.column(2)
             docs_here = len(texts)
             score = np.zeros(docs_here)
-            if model is not None:
-                for code, doc in _strings(texts):
-                    score += np.bincount(doc, model.log10(code), docs_here)
+            rest = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for code, doc in _strings(texts):
+                cost = model.log10(code)
+                left = np.flatnonzero(np.isnan(cost))
+                cost[left] = 0.0
+                score += np.bincount(doc, cost, docs_here)
+                if len(left):
+                    order, new = _counted(code[left], doc[left])
+                    at = left[order[new[:-1]]]
+                    rest.append((doc[at], code[at].view(np.int64), np.diff(new)))
+            of_rest, rest_code, rest_n = map(np.concatenate, zip(*rest))
             words = find_words(texts, lower=True)
             of = words.doc_of_word()
             hashed = words.hashes()
@@ -337,24 +378,21 @@ def _scored(docs: DataFrame, trie, head, denominator: float, end_count: int) ->
             n_known = np.bincount(of[hit], minlength=docs_here) + (end_count > 0)
             base = np.bincount(of[hit], known[at[hit]], docs_here) + np.log10((end_count + 1) / denominator)
             rare = np.flatnonzero(~hit)
-            order = rare[np.lexsort((hashed[rare], of[rare]))]
-            h, d = hashed[order], of[order]
-            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])) if len(order) else order
-            n = np.diff(np.append(new, len(order)))
-            edges = np.searchsorted(d[new], np.arange(docs_here + 1)).astype(np.int32)
-            tail = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays(
-                [_word_array(words, order[new]), pa.array(n, pa.int64())], names=["word", "n"]))
+            order, new = _counted(hashed[rare], of[rare])
+            first = rare[order[new[:-1]]]
+            tail = _lists(of[first], docs_here, {"word": _word_array(words, first), "n": pa.array(np.diff(new), pa.int64())})
+            more = _lists(of_rest, docs_here, {"code": pa.array(rest_code), "n": pa.array(rest_n, pa.int64())})
             yield pa.RecordBatch.from_arrays([
                 batch.column(3), batch.column(0), batch.column(1), pa.array(np.diff(words.first) + 1, pa.int64()),
-                pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), tail.cast(tail_type)],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"])
+                pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), tail.cast(tail_type), more.cast(rest_type)],
+                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail", "rest"])
 
     return docs.mapInArrow(run, _SCORED)
 
 
 def score_texts(docs: DataFrame, shard: int = SHARD, head: int = HEAD) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the model's score and a unigram baseline, both log10. A model
-    of more than ``shard`` strings is joined, not broadcast."""
+    of more than ``shard`` strings stays a table; so many strings at most are broadcast with their costs."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"),
                        F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
@@ -366,13 +404,20 @@ def score_texts(docs: DataFrame, shard: int = SHARD, head: int = HEAD) -> DataFr
     tokens, kinds = tokens + ends, kinds + (ends > 0)
     denominator = float(tokens + kinds + 1)
     share = spark.sparkContext.broadcast
-    joined = strings.count() > shard
-    if joined:
-        rows = written(rows, "rows")
-    trie = None if joined else share(_model(strings))
-    scored = written(_scored(rows, trie, share(_head(words, head)), denominator, ends), "scored")
-    if joined:
-        scored = scored.drop("score").join(_joined_scores(rows, strings), "row")
+    kinds_of_strings = strings.count()
+    if kinds_of_strings <= shard:
+        trie, make = share(_model(strings)), _whole
+    else:
+        *low, cut = _shortest(strings)
+        short = share(tuple(low))
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-kinds_of_strings // PART))
+        wanted = _frequent(strings, shard).select("code", F.col("code").alias("row"), F.lit(1).cast("bigint").alias("n"))
+        trie, make = share(_cost_arrays(_costs(strings, wanted, short, cut, parts))), Known
+    scored = written(_scored(rows, trie, make, share(_head(words, head)), denominator, ends), "scored")
+    if kinds_of_strings > shard:
+        rest = _costs(strings, scored.select("row", F.inline("rest")), short, cut, parts)
+        scored = scored.join(rest.withColumnRenamed("score", "more"), "row", "left").withColumn(
+            "score", F.col("score") + F.coalesce("more", F.lit(0.0)))
     rare = scored.select("row", F.inline("tail")).join(
         words.select(F.col("word").alias("_w"), F.col("n").alias("c")), F.col("word") == F.col("_w"), "left")
     seen = F.coalesce("c", F.lit(0))

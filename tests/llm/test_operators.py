@@ -273,6 +273,32 @@ def test_a_large_model_stays_a_table(spark, monkeypatch):
     assert got == {i: pytest.approx(x) for i, x in want.items()}
 
 
+def test_only_rare_strings_are_sent_to_the_table(spark, monkeypatch):
+    """Texts of a large model are not shuffled as strings: what the most frequent ones cost is known where texts are."""
+    rng = random.Random(9)
+    texts = {i: " ".join(rng.choice(["tion", "of", "ing"]) for _ in range(200)) + f" q{i}" for i in range(30)}
+    docs, sent, costs = docs_of(spark, texts), [], ppm._costs
+    want = {r["doc_id"]: r["score"] for r in ppm.score_texts(docs).collect()}
+    strings = ppm._byte_strings(docs).count()
+    monkeypatch.setattr(ppm, "_costs", lambda strings, asked, *rest: sent.append(asked.agg(F.sum("n")).first()[0]) or costs(strings, asked, *rest))
+    got = {r["doc_id"]: r["score"] for r in ppm.score_texts(docs, strings // 2).collect()}
+    assert got == {i: pytest.approx(x) for i, x in want.items()}
+    assert len(sent) == 2 and 0 < sent[0] <= strings // 2 and 0 < sent[1] < sum(map(len, texts.values())) / 10
+
+
+@pytest.mark.parametrize("part", [200, 1000])
+def test_a_task_holds_a_part_of_the_model(spark, monkeypatch, part):
+    """Parts are cut by two context bytes or three."""
+    rng = random.Random(11)
+    texts = {i: "".join(rng.choice("abcdé ") for _ in range(300)) for i in range(20)}
+    docs = docs_of(spark, texts)
+    want = {r["doc_id"]: r["score"] for r in ppm.score_texts(docs).collect()}
+    monkeypatch.setattr(ppm, "PART", part)
+    assert ppm._shortest(ppm._byte_strings(docs))[2] == (2 if part == 200 else 3)
+    got = {r["doc_id"]: r["score"] for r in ppm.score_texts(docs, 0).collect()}  # no string is known to all tasks
+    assert got == {i: pytest.approx(x) for i, x in want.items()}
+
+
 def test_next_bytes_add_up_to_one():
     text = np.frombuffer(bytes([ppm.START] * ppm.ORDER) + b"abracadabra abraham" + bytes([ppm.END]), np.uint8).astype(np.uint64)
     code = np.zeros(len(text) - ppm.ORDER, np.uint64)
